@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from .mixing import OP9_SQL, op9_source_mix
 from .quality_rules import op1_quality_rules
+from .warc import OP8_SQL, op8_warc_archive
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op8_warc_archive": op8_warc_archive,
+    "op9_source_mix": op9_source_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc_archive": OP8_SQL,
+    "op9_source_mix": OP9_SQL,
+}
