@@ -7,8 +7,7 @@ rows in a batch or partition.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settled, shared_dir, stored  # noqa: F401
+
 #: ASCII white space, the separators of the word pattern ``[^\x20\x09-\x0D]+``.
 SPACES = b" \t\n\x0b\x0c\r"
 IS_SPACE = np.zeros(256, bool)
@@ -29,33 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        made = spark.sparkContext.getCheckpointDir()
-        folder = made or f"file://{tempfile.mkdtemp(prefix='strandloom-')}"
-        if not made:
-            spark.sparkContext.setCheckpointDir(folder)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder; lineage ends here."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a compressed Parquet table in the shared folder, for what is too wide to checkpoint as rows."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Working column names that clash with none of the frame's own (Spark compares them without case)."""
     taken = {c.lower() for c in df.columns}
@@ -69,8 +43,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def crc(text: str) -> int:
-    import zlib
-
     return zlib.crc32(text.encode())
 
 
@@ -160,15 +132,3 @@ def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(flags) + 1, np.float64 if flags.dtype.kind == "f" else np.int64)
     np.cumsum(flags, out=sums[1:])
     return sums[offsets[1:]] - sums[offsets[:-1]]
-
-
-def local_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-def null_safe(left, right, *names: str):
-    """Equality of the named columns in which null equals null."""
-    out = F.lit(True)
-    for name in names:
-        out = out & left[name].eqNullSafe(right[name])
-    return out

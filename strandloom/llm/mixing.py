@@ -53,7 +53,7 @@ def targets(sizes: DataFrame, seed: int = SEED) -> DataFrame:
     line = line.withColumn("total", F.sum("source_size").over(everything))
     # the level if all sources before this one are at their most
     level = (F.col("total") - (F.col("most_upto") - F.col("most"))) / F.col("weight_from")
-    line = line.withColumn("rate", F.min(F.when(level * F.col("weight") <= F.col("most"), level)).over(everything))
+    line = line.withColumn("rate", F.max(F.when(level * F.col("weight") <= F.col("most"), level)).over(everything))
     target = F.least(F.col("most").cast("double"), F.coalesce(F.col("rate") * F.col("weight"), F.col("most").cast("double")))
     return line.select(
         "source", "source_size", target.alias("target"),
@@ -134,7 +134,7 @@ WITH d AS (
     CAST(sum(source_size) OVER () AS BIGINT) AS total
   FROM w
 ), rated AS (
-  SELECT *, min(CASE WHEN (total - most_before) / weight_from * weight <= most THEN (total - most_before) / weight_from END) OVER () AS rate FROM line
+  SELECT *, max(CASE WHEN (total - most_before) / weight_from * weight <= most THEN (total - most_before) / weight_from END) OVER () AS rate FROM line
 ), t AS (
   SELECT source, source_size, least(CAST(most AS DOUBLE), coalesce(rate * weight, CAST(most AS DOUBLE))) AS target,
     (rank * 40503 + 10007) % 65536 / 65536.0::DOUBLE AS shift FROM rated
