@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .mixing import OP9_SQL, op9_source_mix
+from .quality_classifier import op4_quality_classifier
 from .quality_rules import op1_quality_rules
 from .simhash import op10_simhash_pivots
 from .warc import OP8_SQL, op8_warc_archive
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
     "op8_warc_archive": op8_warc_archive,
     "op9_source_mix": op9_source_mix,
     "op10_simhash_pivots": op10_simhash_pivots,
