@@ -6,11 +6,13 @@ from .mixing import OP9_SQL, op9_source_mix
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op1_quality_rules
 from .simhash import op10_simhash_pivots
+from .tokens import op5_token_archive
 from .warc import OP8_SQL, op8_warc_archive
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_token_archive": op5_token_archive,
     "op8_warc_archive": op8_warc_archive,
     "op9_source_mix": op9_source_mix,
     "op10_simhash_pivots": op10_simhash_pivots,
