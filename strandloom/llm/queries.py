@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP9_SQL, op9_source_mix
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op1_quality_rules
@@ -13,12 +14,14 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_archive": op5_token_archive,
+    "op6_line_dedup": op6_line_dedup,
     "op8_warc_archive": op8_warc_archive,
     "op9_source_mix": op9_source_mix,
     "op10_simhash_pivots": op10_simhash_pivots,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": OP6_SQL,
     "op8_warc_archive": OP8_SQL,
     "op9_source_mix": OP9_SQL,
 }
