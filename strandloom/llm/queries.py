@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP3_SQL, op3_decontamination
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP9_SQL, op9_source_mix
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op1_quality_rules
 from .simhash import op10_simhash_pivots
+from .span_dedup import op2_span_dedup
 from .tokens import op5_token_archive
 from .warc import OP8_SQL, op8_warc_archive
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_span_dedup": op2_span_dedup,
+    "op3_decontamination": op3_decontamination,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_archive": op5_token_archive,
     "op6_line_dedup": op6_line_dedup,
@@ -21,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": OP3_SQL,
     "op6_line_dedup": OP6_SQL,
     "op8_warc_archive": OP8_SQL,
     "op9_source_mix": OP9_SQL,
