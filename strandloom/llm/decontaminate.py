@@ -59,7 +59,7 @@ def sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
     hashes = items.select("item_id", F.xxhash64("text").alias("item_hash"), F.array_sort(shingle_hashes(words(F.col("text")))).alias("hashes")).distinct()
     sized = hashes.withColumn("n", F.size("hashes")).where("n > 0")
     part = F.floor(F.log2("n")).cast("int")  # the size partition: 2**part to 2**(part + 1) - 1 shingles
-    largest = F.shiftleft(F.lit(1), part + 1) - 1
+    largest = F.pow(F.lit(2.0), part + 1) - 1
     k = F.least(F.col("n"), F.floor(largest * (100 - percent) / 100) + 3).cast("int")
     lacking = F.floor(F.col("n") * (100 - percent) / F.lit(100)).cast("int")
     return sized.withColumn("k", k).withColumn("need", F.greatest(F.lit(1), F.col("k") - lacking)).select("item_id", "item_hash", "n", "need", F.explode(F.slice(F.col("hashes"), F.lit(1), F.col("k"))).alias("h"))
