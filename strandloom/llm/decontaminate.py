@@ -36,6 +36,7 @@ MOST_BROADCAST_ROWS = 500_000
 
 
 def words(text) -> F.Column:
+    """The words as an array; project it before shingling, or every shingle would split the text again."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     return F.split(plain, " ")
 
@@ -56,21 +57,23 @@ def shingle_texts(w) -> F.Column:
 
 def sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(item_id, item_hash, h, n, need): the searched shingle hashes of each item and the hits it needs."""
-    hashes = items.select("item_id", F.xxhash64("text").alias("item_hash"), F.array_sort(shingle_hashes(words(F.col("text")))).alias("hashes")).distinct()
-    sized = hashes.withColumn("n", F.size("hashes")).where("n > 0")
-    part = F.floor(F.log2("n")).cast("int")  # the size partition: 2**part to 2**(part + 1) - 1 shingles
+    worded = items.select("item_id", F.xxhash64("text").alias("item_hash"), words(F.col("text")).alias("w"))
+    hashes = worded.select("item_id", "item_hash", F.array_sort(shingle_hashes(F.col("w"))).alias("hashes")).distinct()
+    sized = hashes.withColumn("n", F.size("hashes"))
+    part = F.floor(F.log2(F.greatest("n", F.lit(1)))).cast("int")  # the size partition: 2**part to 2**(part + 1) - 1 shingles
     largest = F.pow(F.lit(2.0), part + 1) - 1
-    k = F.least(F.col("n"), F.floor(largest * (100 - percent) / 100) + 3).cast("int")
+    k = F.greatest(F.lit(1), F.least(F.col("n"), F.floor(largest * (100 - percent) / 100) + 3)).cast("int")
     lacking = F.floor(F.col("n") * (100 - percent) / F.lit(100)).cast("int")
-    return sized.withColumn("k", k).withColumn("need", F.greatest(F.lit(1), F.col("k") - lacking)).select("item_id", "item_hash", "n", "need", F.explode(F.slice(F.col("hashes"), F.lit(1), F.col("k"))).alias("h"))
+    return sized.withColumn("k", k).withColumn("need", F.greatest(F.lit(1), F.col("k") - lacking)).select("item_id", "item_hash", "n", "need", F.explode_outer(F.slice(F.col("hashes"), F.lit(1), F.col("k"))).alias("h")).where("h is not null")
 
 
 def candidates(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, doc_hash, item_id, item_hash) that the sketches cannot rule out."""
     sketch = settled(sketches(items, percent))
     few = sketch.count() <= MOST_BROADCAST_ROWS
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("doc_hash"), shingle_hashes(words(F.col("text"))).alias("hashes"))
-    shingled = hashed.select("doc_id", "doc_hash", F.size("hashes").alias("doc_n"), F.explode("hashes").alias("h"))
+    worded = docs.select("doc_id", F.xxhash64("text").alias("doc_hash"), words(F.col("text")).alias("w"))
+    hashed = worded.select("doc_id", "doc_hash", shingle_hashes(F.col("w")).alias("hashes"))
+    shingled = hashed.select("doc_id", "doc_hash", F.size("hashes").alias("doc_n"), F.explode_outer("hashes").alias("h"))  # an inner explode would infer a filter that splits the text again for each shingle
     hits = shingled.join(F.broadcast(sketch) if few else sketch, "h").where(F.col("doc_n") * 100 >= F.col("n") * percent)
     found = hits.groupBy("doc_id", "doc_hash", "item_id", "item_hash").agg(F.count(F.lit(1)).alias("hits"), F.max("need").alias("need"))
     return found.where("hits >= need").select("doc_id", "doc_hash", "item_id", "item_hash")
@@ -84,8 +87,10 @@ def contained(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Data
     wanted = F.broadcast(wanted) if pairs <= MOST_BROADCAST_ROWS else wanted
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("doc_hash"))
     own = own.join(wanted, (F.col("doc_hash") == F.col("c_hash")) & F.col("doc_id").eqNullSafe(F.col("c_doc")), "left_semi").distinct()
-    own = own.select(F.col("doc_id").alias("d_doc"), F.col("doc_hash").alias("d_hash"), shingle_texts(words(F.col("text"))).alias("doc_shingles"))
-    probe = items.select(F.col("item_id").alias("i_item"), F.xxhash64("text").alias("i_hash"), shingle_texts(words(F.col("text"))).alias("item_shingles")).distinct()
+    own = own.select(F.col("doc_id").alias("d_doc"), F.col("doc_hash").alias("d_hash"), words(F.col("text")).alias("w"))
+    own = own.select("d_doc", "d_hash", shingle_texts(F.col("w")).alias("doc_shingles"))
+    probe = items.select(F.col("item_id").alias("i_item"), F.xxhash64("text").alias("i_hash"), words(F.col("text")).alias("w"))
+    probe = probe.select("i_item", "i_hash", shingle_texts(F.col("w")).alias("item_shingles")).distinct()
     both = found.join(probe, F.col("item_id").eqNullSafe(F.col("i_item")) & (F.col("item_hash") == F.col("i_hash")))
     both = both.join(own, F.col("doc_id").eqNullSafe(F.col("d_doc")) & (F.col("doc_hash") == F.col("d_hash")))
     n, hit = F.size("item_shingles"), F.size(F.array_intersect("item_shingles", "doc_shingles"))

@@ -80,11 +80,11 @@ def with_fingerprints(docs: DataFrame, keep: list[str], name: str) -> DataFrame:
 
 
 def blocks_for(rows: int, radius: int = RADIUS) -> int:
-    """Two free blocks to some twenty million fingerprints, one more for each twentyfold beyond: keys stay selective, results equal."""
-    free = 2
-    while rows > 20_000_000 * 20 ** (free - 2):
-        free += 1
-    return radius + free
+    """Three blocks to agree on, one more from 5 million fingerprints and for each twentyfold beyond: a key's chance partners stay rare, results equal."""
+    chosen = 3
+    while rows > 5_000_000 * 20 ** (chosen - 3):
+        chosen += 1
+    return radius + chosen
 
 
 def block_keys(fp, blocks: int, radius: int = RADIUS) -> F.Column:
@@ -128,10 +128,11 @@ def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, class) for (fp, n) rows with one row for each fingerprint; a class is named by its lowest fingerprint."""
     t0, t1 = pivot_table(F.col("fp"))
     tables = settled(prints.select("fp", "n", t0.alias("t0"), t1.alias("t1")))
-    keyed = tables.select(block_keys(F.col("fp"), blocks_for(tables.count(), radius), radius).alias("key"), "fp", "n", "t0", "t1")
-    leaders = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct("n", "fp", "t0", "t1")).alias("leader")).where("rows > 1")
-    leaders = leaders.select("key", F.col("leader.fp").alias("l_fp"), F.col("leader.t0").alias("l_t0"), F.col("leader.t1").alias("l_t1"))
-    shared = settled(keyed.join(leaders, "key"))
+    keyed = tables.select(block_keys(F.col("fp"), blocks_for(tables.count(), radius), radius).alias("key"), "fp", "n")
+    leaders = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct("n", "fp")).alias("leader")).where("rows > 1")
+    shared = settled(keyed.select("key", "fp").join(leaders.select("key", F.col("leader.fp").alias("l_fp")), "key"))
+    known = tables.select("fp", "t0", "t1")
+    shared = settled(shared.join(known, "fp").join(prefixed(known, "l_", "fp", "t0", "t1"), "l_fp"))
     stars = shared.where(F.col("fp") != F.col("l_fp")).where(near("", "l_", radius)).select(F.col("fp").alias("src"), F.col("l_fp").alias("dst"))
     first = settled(connected_components(stars)).withColumnsRenamed({"node": "fp", "component": "class"})
     rows = shared.select("key", "fp", "t0", "t1").join(first, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
