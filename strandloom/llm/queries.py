@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP3_SQL, op3_decontamination
+from .html_text import op7_html_text
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP9_SQL, op9_source_mix
 from .quality_classifier import op4_quality_classifier
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_archive": op5_token_archive,
     "op6_line_dedup": op6_line_dedup,
+    "op7_html_text": op7_html_text,
     "op8_warc_archive": op8_warc_archive,
     "op9_source_mix": op9_source_mix,
     "op10_simhash_pivots": op10_simhash_pivots,

@@ -2,6 +2,8 @@ import base64
 import hashlib
 
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 from strandloom.llm import warc as W
 
 SCHEMA = "page_id long, url string, html string, digest string, header string"
@@ -41,7 +43,7 @@ def test_a_damaged_payload_is_found(spark, tmp_path):
     archive(spark, tmp_path, ROWS[:1])
     bad = f"file://{tmp_path}/bad"
     good = spark.read.parquet(f"file://{tmp_path}/w/payloads")
-    good.selectExpr("digest", "cast('changed' as binary) as payload").write.parquet(f"{bad}/payloads")
+    good.select("digest", F.lit(zstandard.compress(b"changed")).alias("packed")).write.parquet(f"{bad}/payloads")
     spark.read.parquet(f"file://{tmp_path}/w/records").write.parquet(f"{bad}/records")
     with pytest.raises(Exception, match="does not match"):
         W.parsed(W.records(spark, bad)).collect()
