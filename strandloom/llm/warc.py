@@ -1,7 +1,7 @@
 """Content-addressed WARC archive.
 
 A page becomes one WARC record. The archive keeps two tables: ``payloads``, one
-row for each different payload under its SHA-256 digest, and ``records``, the
+row for each different payload (packed with zstd) under its SHA-256 digest, and ``records``, the
 exact header block of every record with the digest of its payload. An original
 record is the join of both on the digest; reading checks every payload against
 its digest and fails on a mismatch.
@@ -19,8 +19,10 @@ percent-encoded, since a header cannot hold them; an empty table gives an empty
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,18 +65,37 @@ def written(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE) -
         F.lit("\r\n"),
     )
     typed.select(header.cast("binary").alias("header"), "digest").write.option("compression", "zstd").parquet(f"{path}/records")
-    # the payload of each digest comes from its owner's row: keyed by page, so no group of copies meets in a task
-    own = rows.withColumn("digest", F.sha2("payload", 256))
-    first = owners.select(F.col("digest").alias("their_digest"), "owner")
-    own = own.join(first, (F.col("digest") == F.col("their_digest")) & F.col("page_id").eqNullSafe(F.col("owner")), "left_semi")
-    own.select("digest", "payload").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    # equal payloads meet after each task has reduced its own to one
+    packed = rows.select("payload").mapInArrow(_pack, "digest string, packed binary")
+    packed.groupBy("digest").agg(F.first("packed").alias("packed")).write.option("compression", "none").parquet(f"{path}/payloads")
+
+
+def _pack(batches):
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        cells = [x.as_py() for x in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(x).hexdigest() for x in cells], pa.string()), pa.array([pack(x) for x in cells], pa.binary())], ["digest", "packed"])
+
+
+def _unpack(batches):
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        cells = [unpack(x.as_py()) for x in batch.column(2)]
+        for digest, cell in zip(batch.column(1).to_pylist(), cells):
+            if hashlib.sha256(cell).hexdigest() != digest:
+                raise ValueError("a payload does not match its digest")
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.binary())], ["header", "digest", "payload"])
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """(header, digest, payload) of every record, rebuilt by joining headers and payloads; payloads are verified."""
     payloads = spark.read.parquet(f"{path}/payloads")
-    sound = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.lit("a payload does not match its digest")).cast("binary"))
-    return spark.read.parquet(f"{path}/records").join(payloads.select("digest", sound.alias("payload")), "digest", "left")
+    joined = spark.read.parquet(f"{path}/records").join(payloads, "digest").select("header", "digest", "packed")
+    return joined.mapInArrow(_unpack, "header binary, digest string, payload binary")
 
 
 def record_bytes(rows: DataFrame) -> DataFrame:
