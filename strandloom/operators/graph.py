@@ -71,18 +71,21 @@ def _half_round(labels: DataFrame, links: DataFrame, parity: int) -> DataFrame:
     near = links.where(F.pmod("src", F.lit(2)) == parity).join(labels.select(F.col("id").alias("dst"), "label"), "dst")
     votes = near.groupBy("src", "label").agg(F.sum("weight").alias("w"))
     best = votes.groupBy(F.col("src").alias("id")).agg(F.max(F.struct("w", (-F.col("label")).alias("low"))).alias("top"))
-    return labels.join(best, "id", "left").select("id", F.coalesce(-F.col("top.low"), "label").alias("label"))
+    return labels.join(best, "id", "left").select("id", "before", F.coalesce(-F.col("top.low"), "label").alias("label"))
+
+
+def _changed(labels: DataFrame) -> bool:
+    return labels.where("label <> before").limit(1).count() > 0
 
 
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
     """(cluster_id, member_id) by label propagation in two half-rounds, even ids first; stops when no label changes."""
     links = settled(both_ways(edges))
-    labels = settled(nodes.select("id").distinct().withColumn("label", F.col("id")))
+    labels = nodes.select("id").distinct().withColumn("label", F.col("id"))
     for _ in range(rounds):
-        new = settled(_half_round(settled(_half_round(labels, links, 0)), links, 1))
-        same = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count() == 0
-        labels = new
-        if same:
+        labels = labels.withColumn("before", F.col("label"))
+        labels = settled(_half_round(_half_round(labels, links, 0), links, 1))
+        if not _changed(labels):
             break
     return labels.select(F.col("label").alias("cluster_id"), F.col("id").alias("member_id"))
 
@@ -98,22 +101,21 @@ def modularity(clusters: DataFrame, edges: DataFrame, resolution: float = 1.0) -
     return per.agg((F.sum("inner") / total - F.lit(resolution) * F.sum(F.col("degree") * F.col("degree")) / (4 * total * total)).alias("modularity"))
 
 
-def _move(labels: DataFrame, links: DataFrame, degree: DataFrame, total: float, parity: int, resolution: float) -> DataFrame:
-    """Nodes of one parity move to the neighbouring community of largest modularity gain."""
-    known = labels.join(degree, "id")
-    size = known.groupBy("label").agg(F.sum("degree").alias("size"))
-    near = links.where("src <> dst").where(F.pmod(F.xxhash64("src"), F.lit(2)) == parity).join(labels.select(F.col("id").alias("dst"), "label"), "dst")
-    toward = near.groupBy(F.col("src").alias("id"), "label").agg(F.sum("weight").alias("w"))
-    stay = known.where(F.pmod(F.xxhash64("id"), F.lit(2)) == parity).select("id", "label", F.lit(0.0).alias("w"))
-    offers = toward.unionByName(stay).groupBy("id", "label").agg(F.sum("w").alias("w"))
-    offers = offers.join(known.select("id", F.col("label").alias("own"), "degree"), "id").join(size, "label")
-    others = F.col("size") - F.when(F.col("label") == F.col("own"), F.col("degree")).otherwise(0.0)
-    gain = F.col("w") - resolution * F.col("degree") * others / (2 * total)
-    best = offers.groupBy("id").agg(F.max(F.struct(F.round(gain, 9).alias("gain"), (F.col("label") == F.col("own")).alias("stays"), (-F.col("label")).alias("low"))).alias("top"))
-    return labels.join(best, "id", "left").select("id", F.coalesce(-F.col("top.low"), "label").alias("label"))
+def _move(labels: DataFrame, links: DataFrame, total: float, parity: int, resolution: float) -> DataFrame:
+    """Nodes (id, label, degree, before) of one parity move to the neighbouring community of largest modularity gain."""
+    size = labels.groupBy("label").agg(F.sum("degree").alias("size"))
+    half = lambda c: F.pmod(F.xxhash64(c), F.lit(2)) == parity
+    near = links.where(half("src")).join(labels.select(F.col("id").alias("dst"), "label"), "dst").select(F.col("src").alias("id"), "label", "weight")
+    stay = labels.where(half("id")).select("id", "label", F.lit(0.0).alias("weight"))
+    offers = near.unionByName(stay).groupBy("id", "label").agg(F.sum("weight").alias("w"))
+    offers = offers.join(labels.select("id", F.col("label").alias("own"), "degree"), "id").join(size, "label")
+    stays = F.col("label") == F.col("own")
+    gain = F.col("w") - resolution * F.col("degree") * (F.col("size") - F.when(stays, F.col("degree")).otherwise(0.0)) / (2 * total)
+    best = offers.groupBy("id").agg(F.max(F.struct(F.round(gain, 9).alias("gain"), stays.alias("stays"), (-F.col("label")).alias("low"))).alias("top"))
+    return labels.join(best, "id", "left").select("id", F.coalesce(-F.col("top.low"), "label").alias("label"), "degree", "before")
 
 
-def leiden(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 3, rounds: int = 4) -> DataFrame:
+def leiden(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 2, rounds: int = 4) -> DataFrame:
     """(cluster_id, member_id): modularity communities, each connected.
 
     Levels of local moving over hashed halves of the nodes, refinement (a
@@ -124,29 +126,24 @@ def leiden(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels:
     edges = settled(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
     total = edges.agg(F.sum("weight")).first()[0] or 0.0
     member = settled(nodes.select(F.col("id").alias("member_id"), F.col("id").alias("id")).distinct())
-    level_edges = edges
     for _ in range(levels if total else 0):
-        loops = level_edges.where("src = dst").select(F.col("src").alias("id"), (2 * F.col("weight")).alias("weight"))
-        links = settled(both_ways(level_edges.where("src <> dst")))
-        degree = settled(links.select(F.col("src").alias("id"), "weight").unionByName(loops).groupBy("id").agg(F.sum("weight").alias("degree")))
-        labels = settled(degree.select("id", F.col("id").alias("label")))
+        loops = edges.where("src = dst").select(F.col("src").alias("id"), (2 * F.col("weight")).alias("weight"))
+        links = settled(both_ways(edges.where("src <> dst")))
+        labels = links.select(F.col("src").alias("id"), "weight").unionByName(loops).groupBy("id").agg(F.sum("weight").alias("degree")).withColumn("label", F.col("id"))
         for _ in range(rounds):
-            new = labels
-            for parity in (0, 1):
-                new = settled(_move(new, links, degree, total, parity, resolution))
-            changed = new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
-            labels = new
-            if not changed:
+            labels = settled(labels.withColumn("before", F.col("label")))
+            labels = settled(_move(_move(labels, links, total, 0, resolution), links, total, 1, resolution))
+            if not _changed(labels):
                 break
-        tagged = links.join(labels.select(F.col("id").alias("src"), F.col("label").alias("la")), "src").join(labels.select(F.col("id").alias("dst"), F.col("label").alias("lb")), "dst")
-        parts = settled(connected_components(tagged.where("la = lb").select("src", "dst")))
+        a, b = (labels.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label")) for end in ("src", "dst"))
+        parts = settled(connected_components(links.join(a, "src").join(b, "dst").where("src_label = dst_label and src < dst").select("src", "dst")))
         if not parts.limit(1).count():
             break
         name = parts.select(F.col("node").alias("id"), F.col("component").alias("to"))
         member = settled(member.join(name, "id", "left").select("member_id", F.coalesce("to", "id").alias("id")))
         a, b = (name.withColumnsRenamed({"id": end, "to": f"{end}_to"}) for end in ("src", "dst"))
-        joined = level_edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("src_to", "src").alias("x"), F.coalesce("dst_to", "dst").alias("y"), "weight")
-        level_edges = settled(joined.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.sum("weight").alias("weight")))
+        joined = edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("src_to", "src").alias("x"), F.coalesce("dst_to", "dst").alias("y"), "weight")
+        edges = settled(joined.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.sum("weight").alias("weight")))
     low = member.groupBy("id").agg(F.min("member_id").alias("cluster_id"))
     return member.join(low, "id").select("cluster_id", "member_id")
 

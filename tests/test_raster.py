@@ -1,0 +1,57 @@
+import random
+
+from strandloom.operators import raster as R
+
+
+def stepped(r0, c0, r1, c1):
+    """Bresenham by error terms."""
+    dr, dc = abs(r1 - r0), abs(c1 - c0)
+    sr, sc = (1 if r1 > r0 else -1), (1 if c1 > c0 else -1)
+    steep = dr > dc
+    major, minor = (dr, dc) if steep else (dc, dr)
+    r, c, error, out = r0, c0, 0, []
+    for _ in range(major + 1):
+        out.append((r, c))
+        error += 2 * minor
+        move = error >= major
+        if move:
+            error -= 2 * major
+        if steep:
+            r, c = r + sr, c + (sc if move else 0)
+        else:
+            r, c = r + (sr if move else 0), c + sc
+    return out
+
+
+def test_pixels_match_stepping(spark):
+    rng = random.Random(3)
+    rows = [(1, i, *(float(rng.randint(-5, 40)) for _ in range(4))) for i in range(200)] + [(1, 900, 3.0, 3.0, 3.0, 3.0), (1, 901, 2.5, 0.0, 3.5, 0.0)]
+    got = {}
+    for r in R.raster_pixels(spark.createDataFrame(rows, "cam_id long, seg_id long, y1 double, x1 double, y2 double, x2 double"), 30, 30).collect():
+        got.setdefault(r.seg_id, set()).add((r.row, r.col))
+    for _, seg, *ends in rows:
+        assert got.get(seg, set()) == {p for p in stepped(*map(round, ends)) if 0 <= p[0] < 30 and 0 <= p[1] < 30}
+
+
+def test_later_segment_owns_the_pixel(spark):
+    rows = [(0, 0, 0.0, 0.0, 0.0, 4.0), (0, 1, 0.0, 2.0, 2.0, 2.0)]
+    own = R.raster_owner(R.raster_pixels(spark.createDataFrame(rows, "cam_id long, seg_id long, y1 double, x1 double, y2 double, x2 double"), 10, 10)).collect()
+    assert sum(r.seg_id == 0 for r in own) == 4 and sum(r.seg_id == 1 for r in own) == 3
+
+
+def test_merge_and_cover(spark):
+    runs = spark.createDataFrame([(0, 5, 0, 0, 5), (0, 6, 0, 4, 7), (0, 7, 0, 7, 9)], "cam_id long, mask_id long, row int, c0 int, c1 int")
+    merged = sorted((r.c0, r.c1, r.mask_id) for r in R.merged_masks(runs).collect())
+    assert merged == [(0, 7, 5), (8, 9, 7)]
+    cover = [r.mask_id for r in R.mask_cover(runs).orderBy("col").collect()]
+    assert cover == [5] * 6 + [6] * 2 + [7] * 2
+    patches = spark.createDataFrame([(0, "a.png", 0, 1), (0, "a.png", 0, 2), (0, "b.png", 0, 2), (0, "b.png", 0, 3)], "cam_id long, file string, row int, col int")
+    over = [r.mask_id for r in R.overridden(R.mask_cover(runs), patches).orderBy("col").limit(4).collect()]
+    assert over == [5, 1000, 1001, 1001]
+
+
+def test_majority_ties(spark):
+    pixels = spark.createDataFrame([(0, 1, m) for m in (3, 3, 7, 7)] + [(0, 2, m) for m in (-1, -1, 7, 7)], "cam_id long, seg_id long, mask_id long")
+    without = {r.seg_id: r.mask_id for r in R.majority_mask(pixels, "cam_id", "seg_id", background=False).collect()}
+    with_it = {r.seg_id: r.mask_id for r in R.majority_mask(pixels, "cam_id", "seg_id", background=True).collect()}
+    assert without == {1: 3, 2: 7} and with_it == {1: 3}
