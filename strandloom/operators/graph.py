@@ -115,7 +115,7 @@ def _move(labels: DataFrame, links: DataFrame, total: float, parity: int, resolu
     return labels.join(best, "id", "left").select("id", F.coalesce(-F.col("top.low"), "label").alias("label"), "degree", "before")
 
 
-def leiden(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 2, rounds: int = 4) -> DataFrame:
+def leiden(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 2, rounds: int = 3) -> DataFrame:
     """(cluster_id, member_id): modularity communities, each connected.
 
     Levels of local moving over hashed halves of the nodes, refinement (a
