@@ -26,7 +26,20 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 21
 
 
+#: Rows in an Arrow batch; texts are long, so batches are short.
+BATCH_ROWS = 1000
+MOST_BROADCAST_ROWS = 1_000_000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small, unless the session has its own setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,6 +55,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not in ``gone``; keys are broadcast only while they are few, which is counted first."""
+    gone = settled(gone.select(key))
+    return rows.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST_ROWS else gone, key, "left_anti")
+
+
 def crc(text: str) -> int:
     return zlib.crc32(text.encode())
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from .common import fresh, settled, stored, table
+from .common import fresh, settled, short_batches, stored, table, without
 
 RADIUS = 4
 SHINGLE = 4
@@ -149,13 +149,19 @@ def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each class: that with the smallest doc_id (null last), the first of repeated rows."""
-    rid, fp = fresh(docs, "row_number", "fp")
-    kept = stored(with_fingerprints(docs.withColumn(rid, F.monotonically_increasing_id()), [*docs.columns, rid], fp), "simhash")
-    thin = kept.select(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(rid).alias("rid")).alias("best"), F.col(fp).alias("fp"))
+    """One document of each class: that with the smallest doc_id (null last), the first of repeated rows.
+
+    Texts go into the tasks' Python but not out of it: rows are numbered, and the numbers of the others leave.
+    """
+    (rid,) = fresh(docs, "row_number")
+    short_batches(docs.sparkSession)
+    kept = stored(docs.withColumn(rid, F.monotonically_increasing_id()), "simhash")
+    thin = with_fingerprints(kept.select(F.col(rid).alias("rid"), "doc_id", "text"), ["rid", "doc_id"], "fp")
+    thin = settled(thin.select("fp", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "rid").alias("best")))
     prints = settled(thin.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("best").alias("best")))
-    stays = prints.join(classes(prints.select("fp", "n")), "fp").groupBy("class").agg(F.min("best").alias("best")).select(F.col("best.rid").alias(rid))
-    return kept.join(stays, rid, "left_semi").select(*docs.columns)
+    stays = prints.join(classes(prints.select("fp", "n")), "fp").groupBy("class").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))
+    gone = thin.select(F.col("best.rid").alias("rid")).join(stays, "rid", "left_anti").select(F.col("rid").alias(rid))
+    return without(kept, gone, rid).select(*docs.columns)
 
 
 def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,13 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, RangeHash, shared_dir, slices, stored, table
+from .common import IS_SPACE, RangeHash, shared_dir, short_batches, slices, stored, table
 from .token_codec import FrequencyTable, decode, encode
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 BLOCK_IDS = 1 << 19
-CACHE_PIECES = 3_000_000
+CACHE_PIECES = 1_500_000
 BLOCK_SCHEMA = "part int, block int, n_ids long, doc_ids array<bigint>, lengths array<bigint>, ids binary"
 
 
@@ -224,6 +224,7 @@ def _count(batches):
 def written(docs: DataFrame, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, vocabulary: str | None = None) -> None:
     """Encode (doc_id, text) rows and write the archive below ``path``."""
     spark = docs.sparkSession
+    short_batches(spark)
     vocabulary = vocabulary or vocabulary_path()
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     blocks = stored(ordered.mapInArrow(_to_blocks(vocabulary, end_id, block_ids), BLOCK_SCHEMA), "token-blocks")
