@@ -163,13 +163,13 @@ def gradients(pages: list[Page], labels: list[np.ndarray], w) -> tuple[float, di
     return loss, grads
 
 
-def trained(pages: list[Page], labels: list[np.ndarray], epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 11) -> dict[str, np.ndarray]:
-    """Adam over shuffled batches; the same pages give the same weights."""
+def trained(pages: list[Page], labels: list[np.ndarray], steps: int = 150, batch: int = 32, rate: float = 0.01, seed: int = 11) -> dict[str, np.ndarray]:
+    """Some ``steps`` of Adam over shuffled batches, however many pages there are; the same pages give the same weights."""
     w, rng = fresh_weights(seed), np.random.default_rng(seed)
     first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     step = 0
     own = [i for i in range(len(pages)) if pages[i].n]
-    for _ in range(epochs):
+    while own and step < steps:
         rng.shuffle(own)
         for lo in range(0, len(own), batch):
             part = own[lo : lo + batch]

@@ -34,7 +34,8 @@ from .block_labeller import Block, Page, scores, trained
 from .common import table
 
 TRAIN_PAGES = 200
-VARIANTS = 1
+#: Variants that are shown in all, shared out among the pages.
+VARIANTS = 400
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -120,7 +121,8 @@ FURNITURE = frozenset(
 FURNITURE_TAGS = frozenset("nav aside footer form header button dialog menu head title".split())
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_NAMES = ["article", "main", "div c:content", "div c:post", "div i:article", "div c:article c:body", "section c:story", "div c:entry c:content", "div r:main", "div i:content", "div c:main c:content", "div c:post c:body"]
-FURNITURE_NAMES = [*FURNITURE_TAGS - {"head", "title"}, *(f"{tag} {kind}:{name}" for name in sorted(FURNITURE) for tag, kind in (("div", "c"), ("section", "i"), ("div", "r"), ("ul", "c")))]
+FURNITURE_NAMES = sorted(FURNITURE_TAGS - {"head", "title"}) + [f"{{}}:{name}" for name in sorted(FURNITURE)]
+KINDS = ["div c", "section i", "div r", "ul c", "div i", "section c"]
 LEAVES = ["p", "li", "div", "h2", "h3", "span", ""]
 
 
@@ -134,7 +136,7 @@ def variant(page: list[Block], rng: np.random.Generator, texts: list[Block]) ->
     """The page with another main element and more furniture, and its labels."""
     name = tuple(MAIN_NAMES[rng.integers(len(MAIN_NAMES))].split())
     wrap = tuple(["div"] * int(rng.integers(0, 3)))
-    furniture = lambda: tuple(FURNITURE_NAMES[rng.integers(len(FURNITURE_NAMES))].split())
+    furniture = lambda: tuple(FURNITURE_NAMES[rng.integers(len(FURNITURE_NAMES))].format(KINDS[rng.integers(len(KINDS))]).split())
 
     def more(inside: tuple[str, ...]):
         for _ in range(int(rng.integers(0, 3))):
@@ -169,8 +171,13 @@ def variant(page: list[Block], rng: np.random.Generator, texts: list[Block]) ->
 
 
 def sample(pages: DataFrame, most: int = TRAIN_PAGES) -> list[str]:
-    """``most`` pages at most, the same in every run."""
-    rows = pages.select("html", F.xxhash64("page_id", "url").alias("order")).where("html is not null").orderBy("order", F.xxhash64("html")).limit(most)
+    """``most`` pages at most, the same in every run.
+
+    Hashes are compared first, so tasks send the driver hashes, not pages.
+    """
+    keyed = pages.where("html is not null").select("html", F.xxhash64("page_id", "url", F.length("html")).alias("order"))
+    chosen = [r.order for r in keyed.select("order").distinct().orderBy("order").limit(most).collect()]
+    rows = keyed.where(F.col("order").isin(chosen)).groupBy("order").agg(F.min("html").alias("html")).orderBy("order")
     return [r.html for r in rows.collect()]
 
 
@@ -181,7 +188,7 @@ def model(pages: DataFrame, most: int = TRAIN_PAGES) -> dict[str, np.ndarray] |
     rng = np.random.default_rng(5)
     texts = [b for page in own for b in page]
     shown = [(page, np.array([role(b) for b in page], np.float32)) for page in own]
-    shown += [variant(page, rng, texts) for page in own for _ in range(VARIANTS)]
+    shown += [variant(page, rng, texts) for _ in range(-(-VARIANTS // len(own))) for page in own]
     return trained([Page(p) for p, _ in shown], [y for _, y in shown])
 
 
