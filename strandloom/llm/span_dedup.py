@@ -2,7 +2,13 @@
 
 A text is cut into sentences: one starts at a text's first word, on a new line,
 after a word that ends in ``.``, ``!`` or ``?``, and at a capitalised word after a
-word that is not capitalised (text that was pasted in without a full stop). From
+word that is not capitalised (text that was pasted in without a full stop). A
+passage may start or end inside a sentence, so sentences are cut into clauses after
+``,``, ``;`` and ``:``, and a clause of more than ``LONG`` words is cut before every
+word whose hash is the smallest of those up to ``REACH`` words away: the words around
+a cut decide it, wherever the passage stands. What is still longer than ``MOST`` words
+(words that recur with a short period) is cut every ``LONG`` words. Sentence means
+such a piece in what follows and in n_sentences and n_removed. From
 every sentence, and back from every sentence's end, the shortest run of at least
 ``SENTENCES`` sentences and ``MIN_WORDS`` words is hashed (case and white
 space do not count). Of equal runs the one in the smallest doc_id, and there the
@@ -34,10 +40,36 @@ from .line_dedup import _LOWER, NO_ID
 
 SENTENCES = 2
 MIN_WORDS = 20
+LONG = 14
+REACH = 3
+MOST = 20
 #: Runs that a task compares among themselves before they are sent.
 CHUNK_RUNS = 1_000_000
 _CLOSING = np.zeros(256, bool)
-_CLOSING[list(b".!?")] = True
+_CLOSING[list(b".!?,;:")] = True
+
+
+def _cuts(head: np.ndarray, owner: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """``head`` with the starts of the pieces of long clauses added."""
+    n = len(head)
+
+    def length(head):
+        first = np.flatnonzero(head)
+        return first, np.diff(np.append(first, n))
+
+    first, words = length(head)
+    if not (words > LONG).any():
+        return head
+    least = np.zeros(n, bool)
+    if n > 2 * REACH:
+        least[REACH : n - REACH] = owner[: n - 2 * REACH] == owner[2 * REACH :]
+        inner = word[REACH : n - REACH]
+        for d in range(1, REACH + 1):
+            least[REACH : n - REACH] &= (inner < word[REACH - d : n - REACH - d]) & (inner <= word[REACH + d : n - REACH + d])
+    head = head | (least & np.repeat(words > LONG, words))
+    first, words = length(head)
+    since = np.arange(n) - np.repeat(first, words)
+    return head | (np.repeat(words > MOST, words) & (since % LONG == 0))
 
 
 class Sentences:
@@ -54,6 +86,7 @@ class Sentences:
             capital = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E))
             lines = np.concatenate([[0], np.cumsum(data == 10)])[self.start]
             head[1:] = (self.owner[1:] != self.owner[:-1]) | (lines[1:] != lines[:-1]) | _CLOSING[data[self.end[:-1] - 1]] | (capital[1:] & ~capital[:-1])
+            head = _cuts(head, self.owner, RangeHash(_LOWER[data])(self.start, self.end))
         #: index of each sentence's first word, then the number of words
         self.first = np.append(np.flatnonzero(head), n)
         self.text = self.owner[self.first[:-1]]

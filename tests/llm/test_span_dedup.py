@@ -73,3 +73,53 @@ def test_matches_brute_force(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.deduplicated(df, ["doc_id"]).collect() == []
+
+
+def lost_share(spark, first, second):
+    """The share of words that the second document loses."""
+    df = spark.createDataFrame([(1, first), (2, second)], "doc_id long, text string")
+    clean = {r.doc_id: r.clean_text for r in S.deduplicated(df, ["doc_id"]).collect()}
+    assert clean[1]
+    return 1 - len(clean[2].split()) / len(second.split())
+
+
+def words(rng, n):
+    return [f"w{rng.randrange(2000)}" for _ in range(n)]
+
+
+def test_copies_without_sentence_ends(spark):
+    long = " ".join(words(random.Random(5), 60))
+    assert lost_share(spark, long, long) == 1
+    assert lost_share(spark, "same " * 60, "same " * 60) == 1
+    assert lost_share(spark, "a b " * 30, "a b " * 30) == 1
+
+
+def test_recall_of_repeated_windows(spark):
+    """Windows of 50 words that an earlier document holds, by brute force, lose most of their words wherever sentences start and end."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(150):
+        passage = words(rng, rng.randint(50, 80))
+        for at in range(9, len(passage), rng.choice([7, 12, 19, 100])):
+            passage[at] += rng.choice(",;:.")
+        for d in (2 * i, 2 * i + 1):
+            rows.append((d, " ".join([*words(rng, rng.randint(0, 40)), *passage, *words(rng, rng.randint(0, 40))]) + "."))
+    seen, windows = set(), []
+    for d, text in rows:
+        own = text.split()
+        grams = [tuple(own[i : i + 50]) for i in range(len(own) - 49)]
+        windows += [(d, i, i + 50) for i, g in enumerate(grams) if g in seen]
+        seen.update(grams)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.clean_text for r in S.deduplicated(df, ["doc_id"]).collect()}
+    texts = dict(rows)
+    docs = {d for d, _, _ in windows}
+    assert len(docs) >= 145
+    whole, lost = 0, []
+    for d in docs:
+        spread = {i for e, a, b in windows if e == d for i in range(a, b)}
+        gone = len(texts[d].split()) - len(clean[d].split())
+        lost.append(gone / len(spread))
+        assert gone <= len(spread)
+    assert min(lost) > 0 and sum(x < 0.5 for x in lost) <= len(lost) / 20
+    assert sum(lost) / len(lost) > 0.75
