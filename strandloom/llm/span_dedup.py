@@ -21,8 +21,9 @@ chunk, not once for each document. Two different runs share a hash with a
 probability of n * n / 2**65 for n different runs.
 
 Defined cases: null and empty texts have no sentences and come back as they are;
-rows with equal doc_id are taken as copies of one document and lose the same
-sentences; null doc_ids count as one document after all others; other columns
+rows with equal doc_id and equal text are copies of one document and lose the same
+sentences; other texts of that doc_id are documents of their own, ordered by a hash;
+each row with a null doc_id is a document of its own, after all others; other columns
 pass through; an empty table gives an empty result.
 """
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _power_tables, fresh, mixed, slices, spans, table, IS_SPACE, RangeHash
+from .common import _power_tables, fresh, mixed, short_batches, slices, spans, stored, table, IS_SPACE, RangeHash
 from .line_dedup import _LOWER, NO_ID
 
 SENTENCES = 2
@@ -119,14 +120,14 @@ class Sentences:
         return h, text, a - self.bounds[text], b - self.bounds[text]
 
 
-def _repeats_within(h, doc, a):
+def _repeats_within(h, doc, sub, a):
     """Whether an equal run of the chunk comes before: a smaller document, or an earlier place in the same one."""
-    order = np.lexsort((a, doc, h))
+    order = np.lexsort((a, sub, doc, h))
     new = np.ones(len(h), bool)
     new[1:] = h[order][1:] != h[order][:-1]
     first = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
     out = np.empty(len(h), bool)
-    out[order] = (doc[order] != doc[first]) | (a[order] != a[first])
+    out[order] = (doc[order] != doc[first]) | (sub[order] != sub[first]) | (a[order] != a[first])
     return out
 
 
@@ -135,17 +136,22 @@ def _spans(sentences: int, min_words: int):
         held, size = [], 0
 
         def rows():
-            h, doc, a, b = (np.concatenate(x) for x in zip(*held))
-            again = _repeats_within(h, doc, a)
+            h, doc, sub, a, b = (np.concatenate(x) for x in zip(*held))
+            # a run that is known to repeat meets nobody: it keeps a place of its own, and its place is negative
+            again = _repeats_within(h, doc, sub, a)
+            place = a << 32 | b
+            h = np.where(again, mixed(mixed(mixed(doc.view(np.uint64)) + sub.view(np.uint64)) + place.view(np.uint64)), h)
+            place = np.where(again, ~place, place)
             for lo in range(0, len(h), 100_000):
                 part = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(doc[part]), pa.array(a[part].astype(np.int32)), pa.array(b[part].astype(np.int32)), pa.array(again[part])], ["h", "doc", "a", "b", "again"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in (h.view(np.int64), doc, sub, place)], ["meet", "doc", "sub", "place"])
 
         for batch in batches:
             ids = batch.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            for lo, _, data, offsets in slices(batch.column(1)):
+            subs = batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, _, data, offsets in slices(batch.column(2)):
                 h, text, a, b = Sentences(data, offsets).runs(data, sentences, min_words)
-                held.append((h, ids[lo + text], a, b))
+                held.append((h, ids[lo + text], subs[lo + text], a, b))
                 size += len(h)
                 if size >= CHUNK_RUNS:
                     yield from rows()
@@ -156,42 +162,54 @@ def _spans(sentences: int, min_words: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, a, b): sentence ranges that repeat a run that comes before."""
-    rows = docs.select("doc_id", "text").mapInArrow(_spans(sentences, min_words), "h long, doc long, a int, b int, again boolean")
-    # a run that is known to repeat meets nobody: it keeps a place of its own
-    rows = rows.withColumn("meet", F.when(F.col("again"), F.xxhash64("doc", "a", "b")).otherwise(F.col("h")))
-    equal = Window.partitionBy("meet", "again")  # a row for each chunk that has the run
-    rows = rows.withColumn("first", F.min(F.struct("doc", "a")).over(equal))
-    return rows.where("again or doc <> first.doc or a <> first.a").select("doc", "a", "b")
+def numbered(docs: DataFrame, keep: list[str], sub: str) -> DataFrame:
+    """The columns ``keep``, doc_id and text, with what tells rows of one doc_id apart: the text's hash, or the row's number where doc_id is null.
+
+    Only the rows that a number names are written to a table, so it is the same number whenever they are read.
+    """
+    rows = docs.select(*dict.fromkeys([*keep, "doc_id", "text"]))
+    unnamed = stored(rows.where(F.col("doc_id").isNull()).withColumn(sub, F.monotonically_increasing_id()), "span-dedup")
+    return rows.where(F.col("doc_id").isNotNull()).withColumn(sub, F.xxhash64("text").bitwiseOR(F.lit(-(2**63)))).unionByName(unnamed)
+
+
+def repeated_spans(rows: DataFrame, sub: str, sentences: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, sub, place): sentence ranges, first and end in one number, that repeat a run that comes before."""
+    runs = rows.select("doc_id", sub, "text").mapInArrow(_spans(sentences, min_words), "meet long, doc long, sub long, place long")
+    a = F.shiftright("place", 32)
+    runs = runs.withColumn("first", F.min(F.struct("doc", "sub", a.alias("a"))).over(Window.partitionBy("meet")))  # a row for each chunk that has the run
+    again = (F.col("place") < 0) | (F.col("doc") != F.col("first.doc")) | (F.col("sub") != F.col("first.sub")) | (a != F.col("first.a"))
+    return runs.where(again).select("doc", "sub", F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place")).alias("place"))
 
 
 def deduplicated(docs: DataFrame, keep: list[str], sentences: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """The columns ``keep``, with n_sentences, n_removed and clean_text, what stays of ``text``."""
-    key, gone = fresh(docs, "doc_key", "gone")
-    lost = repeated_spans(docs, sentences, min_words).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
-    source = docs.select(*dict.fromkeys([*keep, "doc_id", "text"]), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias(key))
-    rows = source.join(lost.select(F.col("doc").alias(key), F.col("gone.a").alias(f"{gone}_a"), F.col("gone.b").alias(f"{gone}_b")), key, "left")
+    key, sub, gone = fresh(docs, "doc_key", "doc_sub", "gone")
+    short_batches(docs.sparkSession)
+    source = numbered(docs, keep, sub)
+    # copies of one document have the same ranges, so a set is as long as one text's
+    lost = repeated_spans(source, sub, sentences, min_words).groupBy("doc", "sub").agg(F.collect_set("place").alias("gone"))
+    rows = source.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))).join(lost.select(F.col("doc").alias(key), F.col("sub").alias(sub), F.col("gone").alias(gone)), [key, sub], "left")
     names = rows.columns
-    at, a_at, b_at, kept = names.index("text"), names.index(f"{gone}_a"), names.index(f"{gone}_b"), [names.index(c) for c in keep]
+    at, gone_at, kept = names.index("text"), names.index(gone), [names.index(c) for c in keep]
     added = [T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("clean_text", T.StringType())]
 
     def run(batches):
         for batch in batches:
             total, removed, texts = [], [], []
-            column, lows, highs = batch.column(at), batch.column(a_at), batch.column(b_at)
+            column, places = batch.column(at), batch.column(gone_at)
             for lo, hi, data, offsets in slices(column):
                 own = Sentences(data, offsets)
                 raw = data.tobytes()
                 for i in range(hi - lo):
                     s0, s1 = own.bounds[i], own.bounds[i + 1]
                     total.append(int(s1 - s0))
-                    if not lows[lo + i].is_valid:
+                    if not places[lo + i].is_valid:
                         removed.append(0)
                         texts.append(column[lo + i].as_py())
                         continue
                     cover = np.zeros(s1 - s0 + 1, np.int64)
-                    a, b = (np.minimum(c[lo + i].values.to_numpy(), s1 - s0) for c in (lows, highs))
+                    place = places[lo + i].values.to_numpy()
+                    a, b = place >> 32, place & 0xFFFFFFFF
                     np.add.at(cover, a, 1)
                     np.add.at(cover, b, -1)
                     stays = np.cumsum(cover[:-1]) == 0

@@ -123,3 +123,21 @@ def test_recall_of_repeated_windows(spark):
         assert gone <= len(spread)
     assert min(lost) > 0 and sum(x < 0.5 for x in lost) <= len(lost) / 20
     assert sum(lost) / len(lost) > 0.75
+
+
+def test_rows_that_share_an_id_keep_their_own_sentences(spark):
+    rng = random.Random(7)
+    text = lambda n: " ".join(" ".join(words(rng, 11)).capitalize() + "." for _ in range(n))
+    passage, own, both = text(3), [text(4) for _ in range(6)], text(3)
+    rows = [(1, f"{passage} {own[0]}"), (5, f"{passage} {own[1]}"), (5, own[2]), (None, f"{passage} {own[3]}"), (None, own[4]), (None, f"{own[5]} {both}"), (None, both), (None, both)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(((r.doc_id, r.clean_text.strip()) for r in S.deduplicated(df, ["doc_id"]).collect()), key=repr)
+    want = [(1, rows[0][1]), (5, own[1]), (5, own[2]), (None, own[3]), (None, own[4]), (None, f"{own[5]} {both}"), (None, ""), (None, "")]
+    assert out == sorted(want, key=repr)
+
+
+def test_copies_of_one_document_lose_the_same(spark):
+    rng = random.Random(8)
+    passage = " ".join(" ".join(words(rng, 11)).capitalize() + "." for _ in range(3))
+    df = spark.createDataFrame([(1, passage), (2, passage + " End."), (2, passage + " End.")], "doc_id long, text string").repartition(3)
+    assert sorted(r.clean_text for r in S.deduplicated(df, ["doc_id"]).collect()) == sorted(["End.", "End.", passage])
