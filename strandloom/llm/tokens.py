@@ -8,9 +8,10 @@ The archive is a Parquet folder: ``table`` (id, frequency count) and ``blocks``
 (place, doc ids, lengths, coded payload), which any task can decode alone.
 
 A text is encoded piecewise: byte-level BPE never joins across the start of a run
-of white space, so a text's ids are those of its pieces in turn, and a worker
-encodes each different piece once and keeps it (in a cache of bounded size, which
-only saves work). A text with white space beyond ASCII is encoded whole.
+of white space, nor between a letter and a mark, so a text's ids are those of its
+pieces in turn. A worker encodes each different piece once and keeps it; the cache
+holds a bounded number of pieces, which only saves work. A text with white space
+beyond ASCII is encoded whole.
 
 Defined cases: null text counts as empty and has the end id alone; strings that
 look like special tokens are ordinary text; null doc_ids come first; equal
@@ -23,6 +24,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, RangeHash, shared_dir, short_batches, slices, stored, table
+from .common import IS_SPACE, SLICE_BYTES, mixed, shared_dir, short_batches, slices, stored, table
 from .token_codec import FrequencyTable, decode, encode
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -56,92 +58,162 @@ def _byte_letters() -> dict[int, str]:
 
 
 class PieceEncoder:
-    """Encodes pieces with the library's BPE model and keeps what it has seen."""
+    """Encodes pieces with the library's BPE model and keeps what it has seen.
 
-    def __init__(self, path: str):
+    A piece is known by its own bytes, up to sixteen of them in two words; a longer
+    piece has a number of its own there. Hashes of keys only say where to look; keys
+    are compared, so no two pieces are ever taken for one.
+    """
+
+    def __init__(self, path: str, most: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
+        self.most = most
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.model = self.whole.model
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.letters = _byte_letters()
-        self.reset()
-
-    def reset(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.entry = np.zeros(0, np.int64)
-        self.starts, self.sizes, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
-        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
-
-    def ids_of(self, piece: str) -> list[int]:
-        body = piece[1:] if piece[:1] == " " else piece
-        if body.isalpha() and max(body) < "԰":
-            parts = [piece]
-        elif piece.isascii():
-            parts = self.pattern.findall(piece)
-        else:
-            return self.whole.encode(piece, add_special_tokens=False).ids
-        tokenize, letters = self.model.tokenize, self.letters
-        return [t.id for p in parts for t in tokenize(p.encode().decode("latin-1").translate(letters))]
-
-    def add(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        ids = [self.ids_of(p) for p in pieces]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-        while self.n + len(ids) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        self.low, self.high = (np.zeros(1 << 16, np.uint64) for _ in range(2))
+        self.starts, self.sizes, self.hits = (np.zeros(1 << 16, np.int32) for _ in range(3))
+        self.flat = np.zeros(1 << 18, np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.n = self.used = self.numbers = 0
+        self.long: dict[bytes, int] = {}
+
+    def _parts(self, piece: bytes) -> list[str]:
+        """The words that the library's pattern finds in a piece, in the byte-level alphabet."""
+        lead, body = (self.letters[32], piece[1:]) if piece[:1] == b" " else ("", piece)
+        if body.isalpha():
+            return [lead + body.decode()]
+        text = piece.decode()
+        body = text[1:] if lead else text
+        found = [text] if body.isalpha() and max(body) < "\u0530" else self.pattern.findall(text)
+        return [p.encode().decode("latin-1").translate(self.letters) for p in found]
+
+    def ids_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in turn, number of ids of each)."""
+        tokenize, parts = self.model.tokenize, self._parts
+        ids = [[t.id for word in parts(p) for t in tokenize(word)] for p in pieces]
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
+    def forget(self) -> None:
+        """Keep the half of the pieces that were asked for most."""
+        if self.most < 2:
+            return self.clear()
+        stay = np.sort(np.argsort(-self.hits[: self.n], kind="stable")[: self.most // 2])
+        sizes = self.sizes[stay].astype(np.int64)
+        at = np.repeat(self.starts[stay] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        self.flat[: len(at)] = self.flat[at]
+        m = len(stay)
+        self.low[:m], self.high[:m], self.sizes[:m], self.hits[:m] = self.low[stay], self.high[stay], sizes, self.hits[stay] // 2
+        self.starts[:m] = np.cumsum(sizes) - sizes
+        numbers = set(self.low[:m][self.high[:m] == _LONG].tolist())
+        self.long = {k: v for k, v in self.long.items() if v in numbers}
+        self.n, self.used = m, len(at)
+        hashes = _key_hash(self.low[:m], self.high[:m])
+        order = np.argsort(hashes)
+        self.known, self.entry = hashes[order], order.astype(np.int32)
+
+    def add(self, hashes: np.ndarray, low: np.ndarray, high: np.ndarray, pieces: list[bytes]) -> None:
+        flat, sizes = self.ids_of(pieces)
+        end = self.n + len(pieces)
+        while end > len(self.starts):
+            self.low, self.high, self.starts, self.sizes, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.low, self.high, self.starts, self.sizes, self.hits))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        own = slice(self.n, self.n + len(ids))
-        self.sizes[own] = sizes
+        own = slice(self.n, end)
+        self.low[own], self.high[own], self.sizes[own], self.hits[own] = low, high, sizes, 0
         self.starts[own] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : self.used + len(flat)] = flat
         order = np.argsort(hashes)
         at = np.searchsorted(self.known, hashes[order])
         self.known = np.insert(self.known, at, hashes[order])
-        self.entry = np.insert(self.entry, at, np.arange(self.n, self.n + len(ids))[order])
-        self.n += len(ids)
-        self.used += len(flat)
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in turn, number of ids of each text) for a slice."""
-        if self.n > CACHE_PIECES:
-            self.reset()
-        n = len(offsets) - 1
-        space = IS_SPACE[data]
-        head = np.zeros(len(data) + 1, bool)
-        head[1:-1] = space[1:] & ~space[:-1]
-        head[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
-        start = np.flatnonzero(head[: len(data)])
+        self.entry = np.insert(self.entry, at, np.arange(self.n, end, dtype=np.int32)[order])
+        self.n, self.used = end, self.used + len(flat)
+
+    def _key(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        padded = np.concatenate([data, np.zeros(16, np.uint8)])
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        lengths = end - start
+        low, high = eight[start] & _KEEP[np.minimum(lengths, 8)], eight[start + 8] & _KEEP[np.clip(lengths - 8, 0, 8)]
+        for i in np.flatnonzero(lengths > 16).tolist():
+            low[i], high[i] = self.long.setdefault(data[start[i] : end[i]].tobytes(), self.numbers), _LONG
+            self.numbers += 1
+        return low, high
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids of all texts in turn, number of ids of each text) for a slice; nothing if two different keys share a hash."""
+        if self.n > self.most:
+            self.forget()
+        start = piece_starts(data, offsets)
         end = np.append(start[1:], len(data)) if len(start) else start
-        owner = np.searchsorted(offsets, start, "right") - 1
-        hashes = RangeHash(data)(start, end)
-        code, different = pd.factorize(hashes)
-        at = np.searchsorted(self.known, different)
-        new = np.ones(len(different), bool)
-        new[at < len(self.known)] = self.known[at[at < len(self.known)]] != different[at < len(self.known)]
+        low, high = self._key(data, start, end)
+        code, hashes = pd.factorize(_key_hash(low, high))
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1))  # codes count up as they appear
+        own_low, own_high = low[first], high[first]
+        if (own_low[code] != low).any() or (own_high[code] != high).any():
+            return None
+        order = np.argsort(hashes)
+        at = np.empty(len(hashes), np.int64)
+        at[order] = np.searchsorted(self.known, hashes[order])
+        inside = at < len(self.known)
+        new = ~inside
+        new[inside] = self.known[at[inside]] != hashes[inside]
+        entry = self.entry[at[~new]]
+        if (self.low[entry] != own_low[~new]).any() or (self.high[entry] != own_high[~new]).any():
+            return None
         if new.any():
-            first = np.empty(len(different), np.int64)
-            first[code[::-1]] = np.arange(len(code))[::-1]
-            raw = data.tobytes()
-            where = first[new]
-            self.add(different[new], [raw[a:b].decode() for a, b in zip(start[where].tolist(), end[where].tolist())])
-            at = np.searchsorted(self.known, different)
-        entry = self.entry[at][code]
-        sizes = self.sizes[entry]
-        shift = np.repeat(self.starts[entry] - (np.cumsum(sizes) - sizes), sizes)
-        ids = self.flat[shift + np.arange(len(shift))]
-        return ids, np.bincount(owner, sizes, n).astype(np.int64)
-
-
-def odd_spaces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Which texts hold separators or white space beyond ASCII's six."""
+            raw, where = data.tobytes(), first[new]
+            self.add(hashes[new], own_low[new], own_high[new], [raw[a:b] for a, b in zip(start[where].tolist(), end[where].tolist())])
+            at[order] = np.searchsorted(self.known, hashes[order])
+        entry = self.entry[at]
+        self.hits[entry] += 1
+        sizes = self.sizes[entry].astype(np.int64)[code]
+        ends = np.cumsum(sizes)
+        shift = np.repeat(self.starts[entry].astype(np.int64)[code] - (ends - sizes), sizes)
+        ids = self.flat[shift + np.arange(len(shift))].astype(np.uint32)
+        return ids, np.diff(np.append(0, ends)[np.searchsorted(start, offsets)])
+
+
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: The second word of a long piece's key; no UTF-8 holds such bytes.
+_LONG = np.uint64(2**64 - 1)
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK[list(b'!"#$%&()*+,-./:;<=>?@[]\\^_`{|}~')] = True
+
+
+def _key_hash(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return mixed(mixed(low) ^ high)
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces start: at each text, at a run of white space, at a mark after a letter or a letter after a mark
+    (apostrophes aside), and after a single tab or line break. The library's pattern ends a word at each of these, and
+    what it finds on one side does not depend on the other."""
+    space = IS_SPACE[data]
+    head = np.zeros(len(data) + 1, bool)
+    head[1:-1] = space[1:] & ~space[:-1]
+    letter, mark = _LETTER[data], _MARK[data]
+    head[1:-1] |= (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+    head[2:-1] |= ~space[:-2] & space[1:-1] & (data[1:-1] != 32) & ~space[2:]
+    head[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    return np.flatnonzero(head[: len(data)])
+
+
+def odd_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts hold separators or white space beyond ASCII's six, or a zero byte."""
     b = np.concatenate([data, np.zeros(2, np.uint8)])
     x, y, z = b[:-2], b[1:-1], b[2:]
-    odd = (x >= 0x1C) & (x <= 0x1F)
+    odd = ((x >= 0x1C) & (x <= 0x1F)) | (x == 0)
     odd |= (x == 0xC2) & ((y == 0x85) | (y == 0xA0))
     odd |= ((x == 0xE1) & ((y == 0x9A) | (y == 0xA0))) | ((x == 0xE3) & (y == 0x80) & (z == 0x80))
     odd |= (x == 0xE2) & (((y == 0x80) & ((z <= 0x8B) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))) | ((y == 0x81) & (z == 0x9F)))
@@ -160,17 +232,18 @@ def encoder(path: str) -> PieceEncoder:
 
 def encode_slice(own: PieceEncoder, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids with the end id after each text, and the number of ids of each text."""
-    odd = odd_spaces(data, offsets)
-    if odd.any():
+    odd = odd_texts(data, offsets)
+    found = None if odd.any() else own.encode(data, offsets)
+    if found is None:
         ids, sizes = [], []
         for i in range(len(offsets) - 1):
             text = data[offsets[i] : offsets[i + 1]]
-            one = np.array(own.whole.encode(text.tobytes().decode(), add_special_tokens=False).ids, np.uint32) if odd[i] else own.encode(text, np.array([0, len(text)]))[0]
+            one = None if odd[i] else own.encode(text, np.array([0, len(text)]))
+            one = one[0] if one else np.array(own.whole.encode(text.tobytes().decode(), add_special_tokens=False).ids, np.uint32)
             ids.append(one)
             sizes.append(len(one))
-        ids, sizes = np.concatenate(ids), np.array(sizes, np.int64)
-    else:
-        ids, sizes = own.encode(data, offsets)
+        found = np.concatenate(ids), np.array(sizes, np.int64)
+    ids, sizes = found
     return np.insert(ids, np.cumsum(sizes), np.uint32(end_id)), sizes + 1
 
 
@@ -186,7 +259,7 @@ def _to_blocks(path: str, end_id: int, block_ids: int):
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for lo, _, data, offsets in slices(batch.column(1)):
+            for lo, _, data, offsets in slices(batch.column(1), 2 * SLICE_BYTES):
                 flat, sizes = encode_slice(own, data, offsets, end_id)
                 ends = np.cumsum(sizes)
                 done = 0
