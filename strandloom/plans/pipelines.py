@@ -30,9 +30,14 @@ def leiden_normalised(line_mask: DataFrame, required_views: int = 3) -> DataFram
 
 
 def similarity_density(line_mask: DataFrame, required_views: int = 3, min_cluster_size: int = 5) -> DataFrame:
-    """Density clusters of co-occurrence distances with one sample a core; noise stays alone."""
-    pairs = settled(density.similarity_distance(settled(graph.cooccurrence(line_mask, required_views))))
-    return density.clusters_of(density.density_clusters(pairs, min_cluster_size, 1), _nodes(line_mask), keep_noise=True)
+    """Density clusters of co-occurrence distances with one sample a core; noise stays alone.
+
+    Lines that share too few views are all as far apart as a weight of zero says.
+    """
+    edges, nodes = settled(graph.cooccurrence(line_mask, required_views)), settled(_nodes(line_mask))
+    far = (edges.agg(F.max("weight")).first()[0] or 0) + 1e-6
+    labels = density.density_clusters(settled(density.similarity_distance(edges)), min_cluster_size, 1, nodes, far)
+    return density.clusters_of(labels, nodes, keep_noise=True)
 
 
 def walks_density(line_mask: DataFrame, required_views: int = 3, walks: int = 200, length: int = 30, dim: int = 64, seed: int = 1) -> DataFrame:
@@ -84,7 +89,7 @@ def voting_pipeline(residuals: DataFrame, seg_mask: DataFrame, tracks: DataFrame
     return voting.voting_clusters(residuals, seg_mask, voting.mask_components(voting.mask_edges(votes)))
 
 
-def distance_pipeline(lines: DataFrame, most: float, min_cluster_size: int = 10) -> DataFrame:
-    """Density clusters of lines by their distance on the ground, noise left out; ``most`` bounds the neighbourhood."""
-    pairs = settled(density.lines_within(density.ground_projection(lines), most))
-    return density.clusters_of(density.density_clusters(pairs, min_cluster_size), lines.select(F.col("line3d_id").alias("id")), keep_noise=False)
+def distance_pipeline(lines: DataFrame, min_cluster_size: int = 10, min_samples: int | None = None, reach: float = 1.0) -> DataFrame:
+    """Density clusters of lines by their distance on the ground, noise left out; ``reach`` is the first radius tried."""
+    labels = density.planar_clusters(density.ground_projection(lines), min_cluster_size, min_samples, reach)
+    return density.clusters_of(labels, lines.select(F.col("line3d_id").alias("id")), keep_noise=False)

@@ -359,4 +359,4 @@ def node2vec_hdbscan(s):
 
 @query()
 def planar_hdbscan(s):
-    return P.distance_pipeline(s.lines3d, REACH, 5)
+    return P.distance_pipeline(s.lines3d, 10, reach=REACH)

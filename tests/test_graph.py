@@ -103,3 +103,82 @@ def test_density_clusters(spark):
     assert len(forest) == len(points) - 1
     order = sorted(x for _, x in points)
     assert sum(r.distance for r in forest) == pytest.approx(order[-1] - order[0])
+
+
+def plain_density(pairs, nodes, size, k, far=None):
+    """Labels from explicit trees: every cluster is a set of points and the levels at which they leave it."""
+    near = {n: [] for n in nodes}
+    for a, b, d in pairs:
+        near[a].append((d, b))
+        near[b].append((d, a))
+    core = {n: sorted(v)[k - 1][0] for n, v in near.items() if len(v) >= k}
+    edges = sorted((max(d, core[a], core[b]), a, b) for a, b, d in pairs if a in core and b in core)
+    tree = {n: (n, None, None, frozenset([n])) for n in nodes}  # name, level, children, points
+    for d, a, b in edges:
+        x, y = tree[a], tree[b]
+        if x[3] == y[3]:
+            continue
+        both = (None, 1 / max(d, 1e-12), (x, y), x[3] | y[3])
+        for n in both[3]:
+            tree[n] = both
+    tops = [t for t in {id(t): t for t in tree.values()}.values() if len(t[3]) >= size]
+    labels = dict.fromkeys(nodes, -1)
+
+    def walk(node, birth):
+        """(stability, best below, chosen point sets below) of the cluster that starts here."""
+        leaves, below, sets, at = {}, 0.0, [], node
+        while True:
+            big = [c for c in at[2] if len(c[3]) >= size]
+            leaves.update({n: at[1] for c in at[2] if len(c[3]) < size or len(big) == 2 for n in c[3]})
+            if len(big) != 1:
+                break
+            at = big[0]
+        if len(big) == 2:
+            for c in big:
+                own, deeper, chosen = walk(c, at[1])
+                below += max(own, deeper)
+                sets += [c[3]] if own >= deeper else chosen
+        return sum(v - birth for v in leaves.values()), below, sets
+
+    for t in tops:
+        own, below, sets = walk(t, 1 / far if far else 0.0)
+        for group in [t[3]] if len(tops) > 1 and own >= below else sets:
+            labels.update(dict.fromkeys(group, min(group)))
+    return labels
+
+
+@pytest.mark.parametrize("seed,far,batch", [(1, 9.0, None), (2, None, 7), (3, 9.0, 25), (4, 4.0, 1000)])
+def test_density_over_several_parts_matches_a_plain_tree(spark, seed, far, batch):
+    rng = random.Random(seed)
+    pairs, nodes = {}, list(range(140))
+    for part in range(6):
+        own = nodes[part * 20 : part * 20 + rng.choice((3, 12, 20))]
+        for a, b in itertools.combinations(own, 2):
+            if rng.random() < 0.6:
+                pairs[a, b] = float(rng.randint(1, 3)) if part % 2 else rng.uniform(0.5, 3.5)
+    rows = [(a, b, d) for (a, b), d in pairs.items()]
+    df, ids = spark.createDataFrame(rows, "src long, dst long, distance double"), spark.createDataFrame([(n,) for n in nodes], "id long")
+    got = {r.member_id: r.label for r in D.density_clusters(df, 5, 2, ids, far, batch).collect()}
+    assert got == plain_density(rows, nodes, 5, 2, far)
+
+
+def test_disjoint_cliques_are_clusters(spark):
+    cliques = [(b * 100 + i, b * 100 + j, 1.0) for b in range(2) for i, j in itertools.combinations(range(30), 2)]
+    df = spark.createDataFrame(cliques, "src long, dst long, distance double")
+    labels = {r.member_id: r.label for r in D.density_clusters(df, 5).collect()}
+    assert {labels[i] for i in range(30)} == {0} and {labels[100 + i] for i in range(30)} == {100}
+    one = D.density_clusters(df.where("src < 100"), 5)
+    assert {r.label for r in one.collect()} == {-1}
+
+
+def test_planar_clusters_do_not_depend_on_the_first_reach(spark):
+    rng = random.Random(5)
+    spots = [(0, 0), (3, 0), (40, 40)]
+    lines = [(10 * s + i, x + rng.uniform(0, 0.5), y + rng.uniform(0, 0.5), x + rng.uniform(0, 0.5), y + rng.uniform(0, 0.5)) for s, (x, y) in enumerate(spots) for i in range(9)] + [(99, -30.0, 5.0, -30.0, 5.0)]
+    df = spark.createDataFrame(lines, "line3d_id long, x1 double, y1 double, x2 double, y2 double")
+    pairs = [(r.src, r.dst, r.distance) for r in D.lines_within(df, 1000.0).collect()]
+    assert len(pairs) == 28 * 27 // 2
+    want = plain_density(pairs, [r[0] for r in lines], 5, 5)
+    for reach in (0.05, 200.0):
+        assert {r.member_id: r.label for r in D.planar_clusters(df, 5, reach=reach).collect()} == want
+    assert len(set(want.values())) >= 3
