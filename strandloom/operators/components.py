@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settled
+from .joins import dealt_join
 
 
-def _lowest(pairs: DataFrame) -> DataFrame:
-    """(u, v, low): each pair with the lowest of u and all its partners."""
-    low = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
-    return pairs.join(low, "u")
+def _lowest(pairs: DataFrame, total: int) -> DataFrame:
+    """(u, v, low): each pair with the lowest of u and all its partners; the pairs of a star's centre are dealt out."""
+    low = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"), F.count(F.lit(1)).alias("n"))
+    return dealt_join(pairs, low.select("u", "low"), ["u"], total, low.select("u", "n"))
 
 
-def _round(edges: DataFrame) -> DataFrame:
+def _round(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = _lowest(both).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+    large = _lowest(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
     # every pair now points down, from u to a lower v
-    small = _lowest(large)
+    small = _lowest(large, total)
     return small.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(small.select("u", F.col("low").alias("v"))).where("u <> v").distinct()
 
 
@@ -40,7 +41,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        edges = settled(_round(edges))
+        edges = settled(_round(edges, before[0]))
         now = _mark(edges)
         if now == before:
             break
