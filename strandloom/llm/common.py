@@ -7,11 +7,12 @@ rows in a batch or partition.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,9 @@ from ..session import settled, shared_dir, stored  # noqa: F401
 SPACES = b" \t\n\x0b\x0c\r"
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
+#: Bytes with A-Z in lower case.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one slice aims at.
 SLICE_BYTES = 1 << 21
@@ -61,10 +65,6 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST_ROWS else gone, key, "left_anti")
 
 
-def crc(text: str) -> int:
-    return zlib.crc32(text.encode())
-
-
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -90,25 +90,6 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
-_RANDOM = np.random.default_rng(20240229)
-_BYTE_VALUE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 65536)
-        inverse = pow(_BASE, -1, 2**64)
-        del _powers[:]
-        for base in (_BASE, inverse):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers.append(np.multiply.accumulate(steps))
-    return _powers[0], _powers[1]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -116,18 +97,45 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class RangeHash:
-    """64-bit hashes of any byte ranges of one array, by differences of a prefix sum."""
+def range_array(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Byte ranges as a binary array; they stand in order and do not overlap."""
+    size = end - start
+    full = size > 0
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start[full]] = 1
+    edge[end[full]] -= 1
+    kept = data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    offsets = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+
+
+def codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Numbers of byte ranges, equal for equal bytes and for these alone: the bytes themselves are compared."""
+    return range_array(data, start, end).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def pair_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of pairs of numbers, equal for equal pairs alone."""
+    return pd.factorize(a * (int(b.max(initial=0)) + 1) + b)[0]
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the 128-bit XXH3 of each byte range. Of n different ranges, two share both with a probability of n * n / 2**129."""
+    raw, hashed = data.tobytes(), xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([hashed(raw[a:b]) for a, b in zip(start.tolist(), end.tolist())]), np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
-    def __init__(self, data: np.ndarray):
-        power, self.inverse = _power_tables(len(data) + 1)
-        self.sums = np.empty(len(data) + 1, np.uint64)
-        self.sums[0] = 0
-        np.cumsum(_BYTE_VALUE[data] * power[: len(data)], out=self.sums[1:])
 
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        span = (self.sums[end] - self.sums[start]) * self.inverse[start]
-        return mixed(span + (end - start).astype(np.uint64))
+def lowered_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end): the words with A-Z in lower case and one space between, so that a run of words is a range."""
+    size = end - start
+    to = np.cumsum(size + 1) - 1
+    word = np.ones(int(to[-1]) + 1 if len(to) else 0, bool)
+    word[to] = False
+    out = np.full(len(word), 32, np.uint8)
+    out[word] = LOWER[np.frombuffer(range_array(data, start, end).buffers()[2] or b"", np.uint8)]
+    return out, to - size, to
 
 
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,20 +4,23 @@ A line's key is the line stripped of ASCII white space, with A-Z in lower case.
 Of a key with ``min_chars`` code points or more, all lines outside the smallest
 doc_id that holds it are dropped.
 
-Tasks hash their lines to 64 bits; Spark reduces them to one row for each
-different hash (smallest doc_id, number of documents). These rows are dealt to shards by
-hash, and each shard becomes one row of arrays: a minimal perfect hash, and at
-each index a 32-bit fingerprint, a count and the owning doc_id. Shards hold some
+Tasks hash each row's different lines to 128 bits; Spark reduces them to one row for each
+different hash (smallest doc_id, number of rows). These rows are dealt to shards by
+the first half of the hash, and each shard becomes one row of arrays: a minimal perfect hash
+over the first halves, and at each index the second half as fingerprint, a count and the
+owning doc_id. Lines that share a first half stand in a short list beside the arrays. Shards hold some
 ``SHARD_KEYS`` keys however large the corpus is. Documents do not join lines:
-every task sends each shard one packed probe of its (hash, doc_id) pairs, the
-shard's arrays answer which lines go, and the answers meet the documents by
-doc_id. A shard that a frequent line makes hot is copied and its probes shared out among the copies.
+every task sends each shard packed probes of its lines (hash, document, number of the
+line within the document), the shard's arrays answer which of them go, and the answers
+meet the documents. A shard that a frequent line makes hot is copied and its probes
+shared out among the copies.
 
-Two different keys meet in one hash with a probability of n * n / 2**65 for n
-different lines.
+Two of n different lines share a hash with a probability of n * n / 2**129; within a
+document lines are compared by their bytes.
 
 Defined cases: null and empty texts are one empty line; rows with equal doc_id
-are one document; null doc_ids are one document that comes after all others; columns
+are one document; null doc_ids are one document that comes after all others; answers find
+their rows by doc_id and a 64-bit hash of the text, so rows without a doc_id do not gather; columns
 beside doc_id and text pass through; an empty table gives an empty result.
 """
 
@@ -33,16 +36,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, RangeHash, fresh, mixed, per_text, settled, slices, table
+from .common import IS_SPACE, LOWER, codes, digests, fresh, per_text, settled, slices, table
 from .perfect_hash import PerfectHash
 
 MIN_CHARS = 10
 SHARD_KEYS = 250_000
 SHARD_PROBES = 2_000_000
+#: Lines that a task gathers before it sends the shards their probes.
+SENT_LINES = 500_000
 #: Stands for a null doc_id in packed arrays: after all others.
 NO_ID = np.iinfo(np.int64).max
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+PROBE = np.dtype([("h", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("sub", "<i8"), ("line", "<i4")])
+TWIN = np.dtype([("h", "<u8"), ("g", "<u8"), ("count", "<u4"), ("owner", "<i8")])
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,62 +59,77 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return owner, start, end
 
 
-def line_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, whether the key is long enough) of every line."""
+def line_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of the key, its end, whether it is long enough) of every line."""
     solid = np.flatnonzero(~IS_SPACE[data])
     if not len(solid):
-        return np.zeros(len(start), np.uint64), np.zeros(len(start), bool)
+        return start, start, np.zeros(len(start), bool)
     first, last = np.searchsorted(solid, start), np.searchsorted(solid, end)
     filled = last > first
     a = np.where(filled, solid[np.minimum(first, len(solid) - 1)], start)
     b = np.where(filled, solid[last - 1] + 1, start)
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return RangeHash(_LOWER[data])(a, b), filled & (chars[b] - chars[a] >= min_chars)
+    return a, b, filled & (chars[b] - chars[a] >= min_chars)
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+class Lines:
+    """The lines of a slice's texts, with numbers that are equal for equal keys of one text alone."""
 
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, min_chars: int):
+        self.owner, self.start, self.end = line_spans(data, offsets)
+        self.lowered = LOWER[data]
+        self.a, self.b, self.long_enough = line_keys(data, self.start, self.end, min_chars)
+        self.count = np.bincount(self.owner, minlength=len(offsets) - 1)
+        #: lines before each text
+        self.before = np.cumsum(self.count) - self.count
+        self.same = codes(self.lowered, self.a, self.b) * (len(offsets) - 1) + self.owner
 
-def _distinct_lines(batch, min_chars: int):
-    """(hash, doc_id) of a batch, once for each document."""
-    ids = _ids(batch.column(0))
-    for lo, hi, data, offsets in slices(batch.column(1)):
-        owner, start, end = line_spans(data, offsets)
-        key, long_enough = line_keys(data, start, end, min_chars)
-        key, doc = key[long_enough], ids[lo:hi][owner[long_enough]]
-        once = ~pd.Series(key ^ mixed(doc.astype(np.uint64))).duplicated().to_numpy()
-        yield key[once], doc[once]
+    def different(self) -> np.ndarray:
+        """The first line of each long enough key of each text."""
+        at = np.flatnonzero(self.long_enough)
+        return at[~pd.Series(self.same[at]).duplicated().to_numpy()]
+
+    def dropped(self, first: np.ndarray) -> np.ndarray:
+        """All lines with the keys of the given first lines."""
+        return self.long_enough & np.isin(self.same, self.same[first])
 
 
 def line_owners(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h, owner, n): each different line's smallest doc_id and number of documents."""
+    """(h, g, owner, n): each different line's hash, smallest doc_id and number of rows."""
 
     def run(batches):
         for batch in batches:
-            for key, doc in _distinct_lines(batch, min_chars):
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc)], ["h", "doc"])
+            ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            for lo, hi, data, offsets in slices(batch.column(1)):
+                lines = Lines(data, offsets, min_chars)
+                at = lines.different()
+                h, g = digests(lines.lowered, lines.a[at], lines.b[at])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(ids[lo:hi][lines.owner[at]])], ["h", "g", "doc"])
 
-    lines = docs.select("doc_id", "text").mapInArrow(run, "h long, doc long")
-    return lines.groupBy("h").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("n"))
+    lines = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h long, g long, doc long")
+    return lines.groupBy("h", "g").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("n"))
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
-    return (((h.view(np.uint64) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int32)
+    return (((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int32)
 
 
-SHARD_SCHEMA = "shard int, hash binary, prints binary, counts binary, owners binary"
+SHARD_SCHEMA = "shard int, hash binary, prints binary, counts binary, owners binary, twins binary"
 
 
 def _build(rows: pa.Table) -> pa.Table:
-    h, owner, n = (rows.column(c).to_numpy() for c in ("h", "owner", "n"))
-    keys = h.view(np.uint64)
-    perfect = PerfectHash.of(keys)
-    at = perfect(keys)
-    prints, counts, owners = np.empty(len(h), np.uint32), np.empty(len(h), np.uint32), np.empty(len(h), np.int64)
-    prints[at], counts[at], owners[at] = keys.astype(np.uint32), np.minimum(n, 2**32 - 1), owner
-    cells = [pa.array([rows.column("shard")[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in (perfect.dump(), prints.tobytes(), counts.tobytes(), owners.tobytes()))]
-    return pa.table(cells, ["shard", "hash", "prints", "counts", "owners"])
+    h, g = (rows.column(c).to_numpy().view(np.uint64) for c in ("h", "g"))
+    owner, n = rows.column("owner").to_numpy(), np.minimum(rows.column("n").to_numpy(), 2**32 - 1)
+    twin = pd.Series(h).duplicated().to_numpy()
+    perfect = PerfectHash.of(h[~twin])
+    at = perfect(h[~twin])
+    size = len(h) - int(twin.sum())
+    prints, counts, owners = np.empty(size, np.uint64), np.empty(size, np.uint32), np.empty(size, np.int64)
+    prints[at], counts[at], owners[at] = g[~twin], n[~twin], owner[~twin]
+    twins = np.zeros(int(twin.sum()), TWIN)
+    twins["h"], twins["g"], twins["count"], twins["owner"] = h[twin], g[twin], n[twin], owner[twin]
+    cells = [pa.array([rows.column("shard")[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in (perfect.dump(), prints.tobytes(), counts.tobytes(), owners.tobytes(), twins.tobytes()))]
+    return pa.table(cells, ["shard", "hash", "prints", "counts", "owners", "twins"])
 
 
 def shards(owners: DataFrame) -> tuple[DataFrame, int]:
@@ -123,36 +143,55 @@ def shards(owners: DataFrame) -> tuple[DataFrame, int]:
 class Arrays:
     """One shard's arrays, as a task uses them."""
 
-    def __init__(self, hash_: bytes, prints: bytes, counts: bytes, owners: bytes):
+    def __init__(self, hash_: bytes, prints: bytes, counts: bytes, owners: bytes, twins: bytes):
         self.perfect = PerfectHash.load(hash_)
-        self.prints, self.counts, self.owners = np.frombuffer(prints, np.uint32), np.frombuffer(counts, np.uint32), np.frombuffer(owners, np.int64)
+        self.prints, self.counts, self.owners = np.frombuffer(prints, np.uint64), np.frombuffer(counts, np.uint32), np.frombuffer(owners, np.int64)
+        self.twins = {(h, g): (n, owner) for h, g, n, owner in np.frombuffer(twins, TWIN).tolist()}
 
-    def dropped(self, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    def dropped(self, h: np.ndarray, g: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Which lines another, smaller document holds."""
-        at = self.perfect(h.view(np.uint64))
-        known = (at >= 0) & (self.prints[at] == h.view(np.uint64).astype(np.uint32))
-        return known & (self.counts[at] > 1) & (self.owners[at] != doc)
+        at = self.perfect(h)
+        known = (at >= 0) & (self.prints[at] == g)
+        out = known & (self.counts[at] > 1) & (self.owners[at] != doc)
+        if self.twins:
+            for i in np.flatnonzero(~known).tolist():
+                n, owner = self.twins.get((int(h[i]), int(g[i])), (0, 0))
+                out[i] = n > 1 and owner != doc[i]
+        return out
 
 
 def _probes(number: int, min_chars: int):
-    """One packed row for each shard and some millions of text bytes."""
+    """One packed row for each shard and some hundred thousand lines."""
 
     def run(batches):
-        task = TaskContext.get().partitionId()
-        sent = 0
+        task, sent, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def rows():
+            probes = np.concatenate(held)
+            shard = _shard(probes["h"], number)
+            order = np.argsort(shard, kind="stable")
+            probes, shard = probes[order], shard[order]
+            starts = np.r_[0, np.flatnonzero(np.diff(shard)) + 1]
+            cells = [pa.array(shard[starts]), pa.array(np.full(len(starts), (task * 1_000_003 + sent) % 2**31, np.int64))]
+            cells.append(pa.array([probes[a:b].tobytes() for a, b in zip(starts, np.r_[starts[1:], len(shard)])], pa.binary()))
+            return pa.RecordBatch.from_arrays(cells, ["shard", "sender", "probes"])
+
         for batch in batches:
-            for key, doc in _distinct_lines(batch, min_chars):
-                if not len(key):
-                    continue
-                shard = _shard(key.view(np.int64), number)
-                order = np.argsort(shard, kind="stable")
-                key, doc, shard = key[order], doc[order], shard[order]
-                cut = np.flatnonzero(np.diff(shard)) + 1
-                starts, ends = np.r_[0, cut], np.r_[cut, len(shard)]
-                cells = [pa.array(shard[starts]), pa.array(np.full(len(starts), (task * 1_000_003 + sent) % 2**31, np.int64))]
-                cells += [pa.array([x[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()) for x in (key, doc)]
-                sent += 1
-                yield pa.RecordBatch.from_arrays(cells, ["shard", "sender", "keys", "docs"])
+            ids, subs = (batch.column(i).fill_null(NO_ID).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for lo, hi, data, offsets in slices(batch.column(2)):
+                lines = Lines(data, offsets, min_chars)
+                at = lines.different()
+                probes = np.zeros(len(at), PROBE)
+                probes["h"], probes["g"] = digests(lines.lowered, lines.a[at], lines.b[at])
+                text = lines.owner[at]
+                probes["doc"], probes["sub"], probes["line"] = ids[lo:hi][text], subs[lo:hi][text], at - lines.before[text]
+                held.append(probes)
+                size += len(at)
+                if size >= SENT_LINES:
+                    yield rows()
+                    held, size, sent = [], 0, sent + 1
+        if size:
+            yield rows()
 
     return run
 
@@ -161,45 +200,50 @@ def _answer(batches):
     """Rows come by shard, its arrays first."""
     arrays, current = None, None
     for batch in batches:
-        columns = [batch.column(c) for c in ("shard", "copy", "hash", "prints", "counts", "owners", "keys", "docs")]
+        columns = [batch.column(c) for c in ("shard", "copy", "hash", "prints", "counts", "owners", "twins", "probes")]
         out = []
         for i in range(batch.num_rows):
             row = [c[i].as_py() for c in columns]
             if row[2] is not None:
-                arrays, current = Arrays(*row[2:6]), row[:2]
+                arrays, current = Arrays(*row[2:7]), row[:2]
             else:
                 if current != row[:2]:
                     raise RuntimeError("probes without their shard")
-                h, doc = np.frombuffer(row[6], np.int64), np.frombuffer(row[7], np.int64)
-                gone = arrays.dropped(h, doc)
-                out.append((doc[gone], h[gone]))
+                probes = np.frombuffer(row[7], PROBE)
+                out.append(probes[arrays.dropped(probes["h"], probes["g"], probes["doc"])])
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["doc", "h"])
+            gone = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(gone[c])) for c in ("doc", "sub", "line")], ["doc", "sub", "line"])
+
+
+def _sub() -> F.Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, h): the line hashes each document loses."""
+    """(doc, sub, line): the first line of each key that a document loses; sub is its text's hash."""
     owners = settled(line_owners(docs, min_chars))
     arrays, number = shards(owners)
-    probes = docs.select("doc_id", "text").mapInArrow(_probes(number, min_chars), "shard int, sender long, keys binary, docs binary")
+    probes = docs.select(F.col("doc_id").cast("long"), _sub(), "text").mapInArrow(_probes(number, min_chars), "shard int, sender long, probes binary")
     top = F.shiftrightunsigned("h", 32)
     loads = owners.groupBy(F.shiftrightunsigned(top * F.lit(number).cast("long"), 32).cast("int").alias("shard")).agg(F.ceil(F.sum("n") / SHARD_PROBES).cast("int").alias("copies"))
     loads = settled(loads)
     empty = F.lit(None).cast("binary")
+    names = ["hash", "prints", "counts", "owners", "twins"]
     have = arrays.join(loads, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    have = have.select("shard", "copy", "hash", "prints", "counts", "owners", empty.alias("keys"), empty.alias("docs"))
-    ask = probes.join(loads, "shard").select("shard", F.pmod("sender", "copies").cast("int").alias("copy"), *(empty.alias(c) for c in ("hash", "prints", "counts", "owners")), "keys", "docs")
+    have = have.select("shard", "copy", *names, empty.alias("probes"))
+    ask = probes.join(loads, "shard").select("shard", F.pmod("sender", "copies").cast("int").alias("copy"), *(empty.alias(c) for c in names), "probes")
     both = have.unionByName(ask).repartition("shard", "copy").sortWithinPartitions("shard", "copy", F.col("hash").isNull())
-    return both.mapInArrow(_answer, "doc long, h long")
+    return both.mapInArrow(_answer, "doc long, sub long, line int")
 
 
 def deduplicated(docs: DataFrame, keep: list[str], min_chars: int = MIN_CHARS, with_text: bool = True) -> DataFrame:
     """The columns ``keep`` with n_lines, n_dropped, kept_sha256 and, if asked for, the lines that stay as ``kept_text``."""
-    key, gone = fresh(docs, "doc_key", "gone")
-    per_doc = dropped_lines(docs, min_chars).groupBy("doc").agg(F.collect_list("h").alias("gone"))
-    per_doc = per_doc.select(F.col("doc").alias(key), F.col("gone").alias(gone))
-    source = docs.select(*dict.fromkeys([*keep, "doc_id", "text"]), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias(key))
-    rows = source.join(per_doc, key, "left")
+    key, sub, gone = fresh(docs, "doc_key", "doc_sub", "gone")
+    per_doc = dropped_lines(docs, min_chars).groupBy("doc", "sub").agg(F.collect_set("line").alias("gone"))  # as long as one text's lines
+    per_doc = per_doc.select(F.col("doc").alias(key), F.col("sub").alias(sub), F.col("gone").alias(gone))
+    source = docs.select(*dict.fromkeys([*keep, "doc_id", "text"]), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias(key), _sub().alias(sub))
+    rows = source.join(per_doc, [key, sub], "left")
     names = rows.columns
     text_at, gone_at, kept = names.index("text"), names.index(gone), [names.index(c) for c in keep]
     added = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())]
@@ -210,25 +254,23 @@ def deduplicated(docs: DataFrame, keep: list[str], min_chars: int = MIN_CHARS, w
             n_lines, n_dropped, shas, texts = [], [], [], []
             lists = batch.column(gone_at)
             for lo, hi, data, offsets in slices(batch.column(text_at)):
-                owner, start, end = line_spans(data, offsets)
-                h, long_enough = line_keys(data, start, end, min_chars)
+                lines = Lines(data, offsets, min_chars)
                 lost = lists.slice(lo, hi - lo)
                 sizes = lost.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                pairs = mixed(lost.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) ^ mixed(np.repeat(np.arange(hi - lo), sizes).astype(np.uint64) + np.uint64(1))
-                drop = long_enough & np.isin(mixed(h) ^ mixed(owner.astype(np.uint64) + np.uint64(1)), pairs)
-                lines = np.bincount(owner, minlength=hi - lo)
-                lost_lines = np.bincount(owner[drop], minlength=hi - lo)
-                ends = np.cumsum(lines)
+                first = np.repeat(lines.before, sizes) + lost.flatten().to_numpy(zero_copy_only=False)
+                drop = lines.dropped(first)
+                lost_lines = np.bincount(lines.owner[drop], minlength=hi - lo)
                 raw = data.tobytes()
                 for i in range(hi - lo):
                     body = raw[offsets[i] : offsets[i + 1]]
                     if lost_lines[i]:
-                        own = np.flatnonzero(~drop[ends[i] - lines[i] : ends[i]]) + ends[i] - lines[i]
-                        body = b"\n".join(raw[a:b] for a, b in zip(start[own].tolist(), end[own].tolist()))
+                        at = lines.before[i]
+                        own = np.flatnonzero(~drop[at : at + lines.count[i]]) + at
+                        body = b"\n".join(raw[a:b] for a, b in zip(lines.start[own].tolist(), lines.end[own].tolist()))
                     shas.append(hashlib.sha256(body).hexdigest())
                     if with_text:
                         texts.append(body.decode())
-                n_lines.append(lines)
+                n_lines.append(lines.count)
                 n_dropped.append(lost_lines)
             cells = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (n_lines, n_dropped)] + [pa.array(shas, pa.string())]
             cells += [pa.array(texts, pa.string())] * with_text

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, RangeHash, fresh, mixed, per_text, settled, slices, spans, table
+from .common import IS_SPACE, codes, fresh, per_text, settled, slices, spans, table
 from .quality_rules import text_stats
 
 FOLDS = 5
@@ -59,8 +59,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     chars = per_text(inside, offsets).astype(float)
     mean = count(size) / words
     spread = np.sqrt(np.maximum(count(size**2) / words - mean**2, 0))
-    word = RangeHash(data)(start, end)
-    new = ~pd.Series(word ^ mixed(owner.astype(np.uint64) + np.uint64(1))).duplicated().to_numpy()
+    new = ~pd.Series(codes(data, start, end) * n + owner).duplicated().to_numpy()
     marks_before = np.zeros(len(data) + 1, np.int64)
     np.cumsum((MARKS | BANG)[data], out=marks_before[1:])
     lines = per_text(data == 10, offsets) + 1

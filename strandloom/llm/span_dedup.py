@@ -17,8 +17,8 @@ first, stays; every sentence that another of them covers is removed.
 Runs meet by hash in a window. Before that, each task settles its own repeats:
 of equal runs in a chunk only the first can be first overall, so the others are
 marked on the spot and a passage that a third of all documents hold meets once for each
-chunk, not once for each document. Two different runs share a hash with a
-probability of n * n / 2**65 for n different runs.
+chunk, not once for each document. Runs are compared by 128-bit hashes: two of n
+different ones share theirs with a probability of n * n / 2**129.
 
 Defined cases: null and empty texts have no sentences and come back as they are;
 rows with equal doc_id and equal text are copies of one document and lose the same
@@ -32,12 +32,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _power_tables, fresh, mixed, short_batches, slices, spans, stored, table, IS_SPACE, RangeHash
-from .line_dedup import _LOWER, NO_ID
+from .common import IS_SPACE, digests, fresh, lowered_words, range_array, short_batches, slices, spans, stored, table
+from .line_dedup import NO_ID
 
 SENTENCES = 2
 MIN_WORDS = 20
@@ -78,6 +79,7 @@ class Sentences:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.start, self.end = spans(~IS_SPACE[data], offsets)
+        self.lowered = lowered_words(data, self.start, self.end)
         n = len(self.start)
         self.owner = np.searchsorted(offsets, self.start, "right") - 1
         head = np.ones(n, bool)
@@ -87,19 +89,25 @@ class Sentences:
             capital = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E))
             lines = np.concatenate([[0], np.cumsum(data == 10)])[self.start]
             head[1:] = (self.owner[1:] != self.owner[:-1]) | (lines[1:] != lines[:-1]) | _CLOSING[data[self.end[:-1] - 1]] | (capital[1:] & ~capital[:-1])
-            head = _cuts(head, self.owner, RangeHash(_LOWER[data])(self.start, self.end))
-        #: index of each sentence's first word, then the number of words
+            head = _cuts(head, self.owner, self._word_values())
+        # index of each sentence's first word, then the number of words
         self.first = np.append(np.flatnonzero(head), n)
         self.text = self.owner[self.first[:-1]]
-        #: sentences before each text
+        # sentences before each text
         self.bounds = np.searchsorted(self.text, np.arange(len(offsets)))
 
-    def runs(self, data: np.ndarray, sentences: int, min_words: int) -> tuple[np.ndarray, ...]:
-        """(hash, text, first sentence, end sentence) of each run, sentences numbered within the text."""
+    def _word_values(self) -> np.ndarray:
+        """A hash of each word, which decides cuts only."""
+        words = range_array(*self.lowered).dictionary_encode()
+        values = np.fromiter((xxhash.xxh3_64_intdigest(x.as_buffer()) for x in words.dictionary), np.uint64, len(words.dictionary))
+        return values[words.indices.to_numpy(zero_copy_only=False)]
+
+    def runs(self, sentences: int, min_words: int) -> tuple[np.ndarray, ...]:
+        """(hash, second hash, text, first sentence, end sentence) of each run, sentences numbered within the text."""
         m = len(self.text)
         if not m:
             none = np.zeros(0, np.int64)
-            return none.view(np.uint64), none, none, none
+            return none.view(np.uint64), none.view(np.uint64), none, none, none
         low, high = self.bounds[self.text], self.bounds[self.text + 1]
         here = np.arange(m)
         until = np.maximum(here + sentences, np.searchsorted(self.first, self.first[:-1] + min_words))
@@ -110,21 +118,16 @@ class Sentences:
         pair = pd.Series(a * (m + 1) + b)
         once = ~pair.duplicated().to_numpy()
         a, b = a[once], b[once]
-        word = RangeHash(_LOWER[data])(self.start, self.end)
-        power, inverse = _power_tables(len(word) + 1)
-        sums = np.zeros(len(word) + 1, np.uint64)
-        np.cumsum(word * power[: len(word)], out=sums[1:])
-        wa, wb = self.first[a], self.first[b]
-        h = mixed((sums[wb] - sums[wa]) * inverse[wa] + (wb - wa).astype(np.uint64))
+        data, start, end = self.lowered
         text = self.text[a]
-        return h, text, a - self.bounds[text], b - self.bounds[text]
+        return *digests(data, start[self.first[a]], end[self.first[b] - 1]), text, a - self.bounds[text], b - self.bounds[text]
 
 
-def _repeats_within(h, doc, sub, a):
+def _repeats_within(h, g, doc, sub, a):
     """Whether an equal run of the chunk comes before: a smaller document, or an earlier place in the same one."""
-    order = np.lexsort((a, sub, doc, h))
+    order = np.lexsort((a, sub, doc, g, h))
     new = np.ones(len(h), bool)
-    new[1:] = h[order][1:] != h[order][:-1]
+    new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
     first = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
     out = np.empty(len(h), bool)
     out[order] = (doc[order] != doc[first]) | (sub[order] != sub[first]) | (a[order] != a[first])
@@ -136,22 +139,22 @@ def _spans(sentences: int, min_words: int):
         held, size = [], 0
 
         def rows():
-            h, doc, sub, a, b = (np.concatenate(x) for x in zip(*held))
-            # a run that is known to repeat meets nobody: it keeps a place of its own, and its place is negative
-            again = _repeats_within(h, doc, sub, a)
+            h, g, doc, sub, a, b = (np.concatenate(x) for x in zip(*held))
+            # a run that is known to repeat need meet nobody: its place is negative, and its document, text and place deal it out
+            again = _repeats_within(h, g, doc, sub, a)
             place = a << 32 | b
-            h = np.where(again, mixed(mixed(mixed(doc.view(np.uint64)) + sub.view(np.uint64)) + place.view(np.uint64)), h)
+            h, g = np.where(again, doc, h.view(np.int64)), np.where(again, sub ^ place, g.view(np.int64))
             place = np.where(again, ~place, place)
             for lo in range(0, len(h), 100_000):
                 part = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in (h.view(np.int64), doc, sub, place)], ["meet", "doc", "sub", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in (h, g, doc, sub, place)], ["meet", "meet_too", "doc", "sub", "place"])
 
         for batch in batches:
             ids = batch.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             subs = batch.column(1).to_numpy(zero_copy_only=False)
             for lo, _, data, offsets in slices(batch.column(2)):
-                h, text, a, b = Sentences(data, offsets).runs(data, sentences, min_words)
-                held.append((h, ids[lo + text], subs[lo + text], a, b))
+                h, g, text, a, b = Sentences(data, offsets).runs(sentences, min_words)
+                held.append((h, g, ids[lo + text], subs[lo + text], a, b))
                 size += len(h)
                 if size >= CHUNK_RUNS:
                     yield from rows()
@@ -174,9 +177,10 @@ def numbered(docs: DataFrame, keep: list[str], sub: str) -> DataFrame:
 
 def repeated_spans(rows: DataFrame, sub: str, sentences: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, sub, place): sentence ranges, first and end in one number, that repeat a run that comes before."""
-    runs = rows.select("doc_id", sub, "text").mapInArrow(_spans(sentences, min_words), "meet long, doc long, sub long, place long")
+    runs = rows.select("doc_id", sub, "text").mapInArrow(_spans(sentences, min_words), "meet long, meet_too long, doc long, sub long, place long")
     a = F.shiftright("place", 32)
-    runs = runs.withColumn("first", F.min(F.struct("doc", "sub", a.alias("a"))).over(Window.partitionBy("meet")))  # a row for each chunk that has the run
+    # a row for each chunk that has the run; the sign keeps rows that are settled apart from the others
+    runs = runs.withColumn("first", F.min(F.struct("doc", "sub", a.alias("a"))).over(Window.partitionBy("meet", "meet_too", F.col("place") < 0)))
     again = (F.col("place") < 0) | (F.col("doc") != F.col("first.doc")) | (F.col("sub") != F.col("first.sub")) | (a != F.col("first.a"))
     return runs.where(again).select("doc", "sub", F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place")).alias("place"))
 

@@ -1,13 +1,18 @@
+import math
 import re
+from collections import Counter
 
 from strandloom.llm import quality_rules as Q
 from strandloom.llm.common import slices
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-TEXTS = [None, "", " \n\t", "one", "a b c d e f g h a b c d e f g h x", "é#$ ü\nx\n\nx\n x\nx", "\n\n", "w " * 30, "a\x1cb c\xa0d \x0b e", "tail\n", "\nhead", "l o n g " * 4000]
+#: Two different words of one length that every polynomial modulo a power of two takes for equal.
+THUE = ["".join("ab"[(i.bit_count() + k) % 2] for i in range(2048)) for k in (0, 1)]
+TEXTS = [None, "", " \n\t", "one", "a b c d e f g h a b c d e f g h x", "é#$ ü\nx\n\nx\n x\nx", "\n\n", "w " * 30, "a\x1cb c\xa0d \x0b e", "tail\n", "\nhead", "l o n g " * 4000, "\n".join(THUE), " ".join(THUE), f"{'x ' * 7}{THUE[0]} {'y ' * 9}{'x ' * 7}{THUE[1]}"]
 
 
 def brute(text):
@@ -58,12 +63,92 @@ def test_bands_reject_the_odd_text_and_rows_survive(spark):
     assert 100 not in ids and 101 not in ids and ids.count(7) == 2 and {r.bits for r in kept.collect()} == {"own"}
 
 
-def test_model_probabilities_sum_to_one(spark):
-    df = docs(spark, [(i, plain(i), "en", "s", 1, None) for i in range(20)])
-    scorer = Q.Scorer(Q.model_arrays(df))
+class Plain:
+    """The same model by plain counting of one language's texts."""
+
+    def __init__(self, texts):
+        counts = Counter()
+        for t in texts:
+            padded = b"\0" * 4 + re.sub(rb"[\x20\x09-\x0D]", b" ", (t or "").encode())
+            counts.update(padded[i - 4 : i + 1] for i in range(4, len(padded)))
+        self.n = {5: counts}
+        for k in (4, 3, 2, 1):
+            self.n[k] = Counter(g[1:] for g in self.n[k + 1])
+        self.cuts, self.totals, self.cut_sums = {}, {}, {}
+        for k, n in self.n.items():
+            n1, n2, n3, n4 = (sum(v == i for v in n.values()) for i in (1, 2, 3, 4))
+            y = n1 / (n1 + 2 * n2) if n1 + n2 else None
+            steps = ((1, n1, n2), (2, n2, n3), (3, n3, n4))
+            self.cuts[k] = [0.5 * i if y is None or not own else i - (i + 1) * y * up / own for i, own, up in steps]
+            if y is not None:
+                self.cuts[k] = [max(0.05, min(i - 0.05, c)) for i, c in zip((1, 2, 3), self.cuts[k])]
+            self.totals[k], self.cut_sums[k] = Counter(), Counter()
+            for g, v in n.items():
+                self.totals[k][g[:-1]] += v
+                self.cut_sums[k][g[:-1]] += self.cuts[k][min(v, 3) - 1]
+
+    def p(self, gram):
+        k = len(gram)
+        if not k:
+            return 1 / 256
+        ctx = gram[:-1]
+        if not self.totals[k][ctx]:
+            return self.p(gram[1:])
+        v = self.n[k][gram]
+        direct = (v - self.cuts[k][min(v, 3) - 1]) / self.totals[k][ctx] if v else 0
+        return direct + self.cut_sums[k][ctx] / self.totals[k][ctx] * self.p(gram[1:])
+
+    def bits(self, text):
+        padded = b"\0" * 4 + re.sub(rb"[\x20\x09-\x0D]", b" ", (text or "").encode())
+        return -sum(math.log2(self.p(padded[i - 4 : i + 1])) for i in range(4, len(padded)))
+
+
+CORPUS = [(i, plain(i), "en") for i in range(25)] + [(50, "zebra quartz jumps häufig vex", "en"), (51, None, "en"), (52, "", "en")]
+CORPUS += [(60 + i, f"fluß über den weg {i} und zurück " * 5, "de") for i in range(9)] + [(80, "anything without a language at all", None)]
+
+
+def test_known_and_unknown_n_grams_match_plain_kneser_ney(spark):
+    en = [t for _, t, lang in CORPUS if lang == "en"]
+    df = docs(spark, [(i, t, lang, "s", 1, None) for i, t, lang in CORPUS])
+    model, plain_model = Q.Model(Q.estimated(Q.gram_counts(df))), Plain(en)
+    code = df.where("lang = 'en'").select(Q.lang_code()).first()[0]
+    grams = {b"the r", b"river", b"rivez", b"zzzzz", b"xqthe", b"\0\0\0\0t", b"\0\0\0qq"} | set(list(plain_model.n[5])[:200])
+    keys = np.array([int.from_bytes(g, "big") | (code << Q.LANG_SHIFT) for g in grams], np.int64)
+    assert model(keys).tolist() == pytest.approx([math.log2(plain_model.p(g)) for g in grams], abs=1e-4)
     for ctx in (b"the ", b" riv", b"qqqq"):
-        keys = np.array([int.from_bytes(ctx + bytes([b]), "big") | (Q.lang_code("en") << Q.LANG_SHIFT) for b in range(256)], np.int64)
-        assert abs(np.exp2(scorer(keys).astype(float)).sum() - 1) < 0.02
+        keys = np.array([int.from_bytes(ctx + bytes([b]), "big") | (code << Q.LANG_SHIFT) for b in range(256)], np.int64)
+        assert np.exp2(model(keys).astype(float)).sum() == pytest.approx(1, abs=1e-3)
+
+
+@pytest.mark.parametrize("slice_grams", [8_000_000, 300])
+def test_bits_bands_and_verdicts_match_brute_force(spark, slice_grams):
+    df = docs(spark, [(i, t, lang, "s", 1, None) for i, t, lang in CORPUS])
+    got = {r.doc_id: r for r in Q.scored(df, ["doc_id"], slice_grams=slice_grams).collect()}
+    assert len(got) == len(CORPUS)
+    want = {}
+    for lang in {lang for _, _, lang in CORPUS}:
+        own = [(i, t) for i, t, x in CORPUS if x == lang]
+        model = Plain([t for _, t in own])
+        bits = {i: model.bits(t) / len(WORD.findall(t)) for i, t in own if t}
+        ranked = sorted(bits.values())
+        q25, q75 = (ranked[max(0, math.ceil(q * len(ranked)) - 1)] for q in (0.25, 0.75))
+        low, high = q25 - Q.BAND_WIDTH * (q75 - q25), q75 + Q.BAND_WIDTH * (q75 - q25)
+        for i, t in own:
+            n, *_, repeats = brute(t)
+            failed = n < 20 or 100 * repeats > 30 * n
+            want[i] = (bits.get(i), failed, not failed and low - 1e-6 <= bits[i] <= high + 1e-6)
+    for i, (bits, failed, kept) in want.items():
+        assert (got[i].bits_per_word is None) == (bits is None) and got[i].base_failed == failed
+        assert bits is None or got[i].bits_per_word == pytest.approx(bits, abs=1e-3)
+        assert got[i].kept == kept
+    assert not got[50].kept and got[51].perplexity is None
+
+
+def test_a_very_long_word_has_a_bounded_perplexity(spark):
+    rng = np.random.default_rng(3)
+    word = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FFF, 3000))
+    rows = [(1, word, "zh", "s", 1, None), (2, word[::-1], "zh", "s", 1, None)]
+    assert all(r.perplexity == 2.0**1023 < math.inf and r.bits_per_word > 1023 for r in Q.scored(docs(spark, rows), ["doc_id"]).collect())
 
 
 def test_empty_table(spark):
