@@ -17,8 +17,11 @@ start. Within a key's bucket the fingerprint of most documents is its leader:
 all others are first compared with it, which takes as many comparisons as there
 are rows. What is then connected need not be compared again, so the second pass
 keeps buckets that still hold several classes and compares only rows outside a
-bucket's largest class with the rest, and emits links between classes alone.
-No link between classes is lost, and no bucket emits its pairs.
+bucket's largest class with the rest, and emits links between classes alone. There the
+pivot tables deal the bucket's rows to cells as wide as the radius allows two of the coordinates to differ:
+rows meet in equal and neighbouring cells only.
+No link between classes is lost, and no bucket emits its pairs; buckets, classes and equal
+fingerprints of many rows are dealt to several tasks.
 
 Defined cases: null and empty texts have no words and fingerprint zero, which
 links like any other; a text of fewer words than a shingle is one shingle; a
@@ -30,6 +33,7 @@ result.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
+from ..operators.joins import dealt_join
 from .common import fresh, settled, short_batches, stored, table, without
 
 RADIUS = 4
@@ -120,32 +125,35 @@ def near(a: str, b: str, radius: int = RADIUS) -> F.Column:
     return ok & (F.bit_count(F.col(f"{a}fp").bitwiseXOR(F.col(f"{b}fp"))) <= radius)
 
 
-def prefixed(df: DataFrame, prefix: str, *names: str) -> DataFrame:
-    return df.select(*(c for c in df.columns if c not in names), *(F.col(c).alias(prefix + c) for c in names))
+def cells(table: str, radius: int) -> list[F.Column]:
+    """The first two pivot coordinates in steps of radius + 1: two fingerprints within the radius are one step apart at most in each."""
+    return [F.floor(F.shiftrightunsigned(F.col(table), 8 * i).bitwiseAND(F.lit(255)) / (radius + 1)).cast("int") for i in (0, 1)]
 
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, class) for (fp, n) rows with one row for each fingerprint; a class is named by its lowest fingerprint."""
     t0, t1 = pivot_table(F.col("fp"))
     tables = settled(prints.select("fp", "n", t0.alias("t0"), t1.alias("t1")))
-    keyed = tables.select(block_keys(F.col("fp"), blocks_for(tables.count(), radius), radius).alias("key"), "fp", "n")
-    leaders = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct("n", "fp")).alias("leader")).where("rows > 1")
-    shared = settled(keyed.select("key", "fp").join(leaders.select("key", F.col("leader.fp").alias("l_fp")), "key"))
-    known = tables.select("fp", "t0", "t1")
-    shared = settled(shared.join(known, "fp").join(prefixed(known, "l_", "fp", "t0", "t1"), "l_fp"))
+    total = tables.count()
+    blocks = blocks_for(total, radius)
+    keyed = tables.select(block_keys(F.col("fp"), blocks, radius).alias("key"), "fp", "n", "t0", "t1")
+    leaders = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct("n", "fp", "t0", "t1")).alias("leader")).where("rows > 1")
+    held = leaders.select("key", *(F.col(f"leader.{c}").alias(f"l_{c}") for c in ("fp", "t0", "t1")))
+    shared = settled(dealt_join(keyed.drop("n"), held, ["key"], total * comb(blocks, radius), leaders.select("key", F.col("rows").alias("n"))))
     stars = shared.where(F.col("fp") != F.col("l_fp")).where(near("", "l_", radius)).select(F.col("fp").alias("src"), F.col("l_fp").alias("dst"))
     first = settled(connected_components(stars)).withColumnsRenamed({"node": "fp", "component": "class"})
-    rows = shared.select("key", "fp", "t0", "t1").join(first, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
-    rows = settled(rows)
-    held = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("rows"))
-    main = held.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max_by("class", F.struct("rows", "class")).alias("main")).where("classes > 1").select("key", "main")
-    open_rows = rows.join(main, "key")
-    outside = prefixed(open_rows.where(F.col("class") != F.col("main")).drop("main"), "o_", "fp", "t0", "t1", "class")
-    links = outside.join(open_rows.drop("main"), "key").where((F.col("class") != F.col("o_class")) & near("", "o_", radius))
+    rows = settled(shared.select("key", "fp", "t0", "t1").join(first, "fp", "left").withColumn("class", F.coalesce("class", "fp")))
+    sizes = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("rows"))
+    main = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max_by("class", F.struct("rows", "class")).alias("main"), F.sum("rows").alias("n")).where("classes > 1")
+    x, y = cells("t0", radius)
+    open_rows = settled(dealt_join(rows, main.select("key", "main"), ["key"], total * comb(blocks, radius), main.select("key", "n")).withColumns({"x": x, "y": y}))
+    near_by = F.array(*(F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    outside = open_rows.where(F.col("class") != F.col("main")).withColumn("cell", F.explode(near_by)).select("key", "cell.x", "cell.y", *(F.col(c).alias(f"o_{c}") for c in ("fp", "t0", "t1", "class")))
+    links = dealt_join(open_rows.drop("main"), outside, ["key", "x", "y"], open_rows.count()).where((F.col("class") != F.col("o_class")) & near("", "o_", radius))
     second = connected_components(links.select(F.col("o_class").alias("src"), F.col("class").alias("dst")))
     second = settled(second).withColumnsRenamed({"node": "class", "component": "joined"})
     named = tables.select("fp").join(first, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
-    return named.join(second, "class", "left").select("fp", F.coalesce("joined", "class").alias("class"))
+    return dealt_join(named, second, ["class"], total, how="left").select("fp", F.coalesce("joined", "class").alias("class"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -169,5 +177,5 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = settled(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")))
     named = settled(prints.join(classes(prints.select("fp", "n")), "fp"))
     ids = named.groupBy("class").agg(F.min("first").alias("component_id"))
-    whole = named.join(ids, "class").select("fp", "component_id")
-    return rows.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    whole = dealt_join(named.select("fp", "class"), ids, ["class"], named.count()).select("fp", "component_id")
+    return dealt_join(rows, whole, ["fp"], rows.count(), prints.select("fp", "n")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
