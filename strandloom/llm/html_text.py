@@ -4,14 +4,19 @@ A page is cut into its leaf blocks, each with the path of open elements that lea
 to it; a bidirectional LSTM (``block_labeller``) labels every block in the context of
 all others; the text is that of the blocks labelled main, in page order.
 
-The labeller is trained here, on ``TRAIN_PAGES`` pages (those with the smallest hash
-of their page_id and url), which are the bound of what reaches the driver. The
-pages have no labels; the training labels come from markup that states its own
-role: inside ``article`` or ``main`` is main text, inside ``nav``, ``aside``, ``form``
-or an element whose class says advert or comment is not. Each page is also
-shown in variants, with other names for the main element and with further
+The labeller is trained here, on ``TRAIN_PAGES`` pages of ``TRAIN_CHARS`` characters at most (those with the
+smallest hash of their page_id and url), which are the bound of what reaches the driver. The
+pages have no labels; training labels come from the markup. Inside ``nav``, ``aside``, ``form``
+or an element whose class says advert or comment is furniture. Main is what else stands inside ``article`` or
+``main``; a page without them is read by where its text is: from the body
+inwards, as long as one box holds most of the unlinked text that is not furniture, and main is what that
+box holds. Each page is also shown in variants, with other names for the main element and with further
 furniture around and inside it, so that the labeller does not depend on one layout.
 
+Pages are read in time proportional to their length. A ``>`` inside quotes does not end a tag; where
+quotes leave a tag without an end, the next ``>`` ends it; after the last ``>`` of a page all is text. Of an element's
+class, id and role the first ``NAMES`` words count, and of a block's open elements the outermost and innermost ``DEPTH``.
+
 Defined cases: null and empty html give an empty text; references are decoded;
 white space (line breaks and non-breaking spaces too) becomes one space inside a
 block; ``<br>`` is white space; an unclosed comment or script runs to the page's end; a
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +40,9 @@ from .block_labeller import Block, Page, scores, trained
 from .common import table
 
 TRAIN_PAGES = 200
+TRAIN_CHARS = 500_000
+NAMES = 16
+DEPTH = 24
 #: Variants that are shown in all, shared out among the pages.
 VARIANTS = 400
 
@@ -41,78 +50,136 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_SIBLING = frozenset("p li dt dd option tr td th h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("ul ol dl table tbody thead tr div section article main body aside nav header footer form blockquote".split())
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+UNREAD = frozenset("script style noscript template svg iframe textarea select".split())
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+TAG_MARK = re.compile("[>\"']")
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[A-Za-z]+")
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag that opens before ``at`` ends: the next > outside quotes, or else the next one."""
+    i = at
+    while m := TAG_MARK.search(page, i):
+        if m[0] == ">":
+            return m.start()
+        i = page.find(m[0], m.end()) + 1
+        if not i:
+            break
+    return page.index(">", at)
+
+
+def tokens(page: str):
+    """(text, None, False, "") and ("", tag, whether it closes, attributes) in turn; comments and unread elements leave."""
+    at, look, last = 0, 0, page.rfind(">")
+    closing: dict[str, re.Pattern] = {}
+    while True:
+        i = page.find("<", look)
+        if i < 0:
+            break
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            end, tag = (end + 3 if end >= 0 else len(page)), None
+        elif i > last:
+            break
+        elif page.startswith(("<!", "<?"), i):
+            end, tag = page.index(">", i) + 1, None
+        elif m := TAG.match(page, i):
+            stop = _tag_end(page, m.end())
+            end, tag = stop + 1, m[2].lower()
+            if tag in UNREAD:
+                if not m[1]:
+                    close = closing.setdefault(tag, re.compile(rf"</{tag}\s*>", re.I)).search(page, end)
+                    end = close.end() if close else len(page)
+                tag = None
+        else:
+            look = i + 1
+            continue
+        if i > at:
+            yield page[at:i], None, False, ""
+        if tag:
+            yield "", tag, bool(m[1]), page[m.end() : stop]
+        at = look = end
+    if at < len(page):
+        yield page[at:], None, False, ""
+
+
+class Stack:
+    """The open elements; whatever closes some costs no more than opening them did."""
+
+    def __init__(self):
+        self.own: list[tuple[str, tuple[str, ...]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.boxes: list[int] = []
+
+    def top(self) -> str:
+        return self.own[-1][0] if self.own else ""
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.places.setdefault(tag, []).append(len(self.own))
+        if tag in CONTAINERS:
+            self.boxes.append(len(self.own))
+        self.own.append((tag, names))
+
+    def cut(self, size: int) -> None:
+        while len(self.own) > size:
+            tag, _ = self.own.pop()
+            self.places[tag].pop()
+            if tag in CONTAINERS:
+                self.boxes.pop()
+
+    def close(self, tag: str) -> None:
+        """Closes the innermost such element; what is no container closes only inside its own container."""
+        places = self.places.get(tag)
+        if places and (tag in CONTAINERS or not self.boxes or places[-1] > self.boxes[-1]):
+            self.cut(places[-1])
+
+    def path(self) -> tuple[str, ...]:
+        own = self.own if len(self.own) <= 2 * DEPTH else self.own[:DEPTH] + self.own[-DEPTH:]
+        return tuple(x for _, names in own for x in names)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The page's blocks that hold text, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    pieces: list[str] = []
+    stack, pieces = Stack(), []
     linked = in_link = 0
-
-    def close():
-        nonlocal linked
-        if pieces:
-            raw = "".join(pieces)
-            text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
-            if text:
-                out.append(Block(tuple(x for _, own in stack for x in own), text, min(linked, len(text))))
-            pieces.clear()
-        linked = 0
-
-    def add(text):
-        nonlocal linked
-        pieces.append(text)
-        if in_link:
-            linked += len(text)
-
-    at, page = 0, page or ""
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
+    for text, tag, closes, attributes in tokens(page or ""):
+        if tag is None:
+            pieces.append(text)
+            if in_link:
+                linked += len(text)
             continue
-        tag = m[3].lower()
         if tag in INLINE:
             if tag == "a":
-                in_link = not m[2]
+                in_link = not closes
             elif tag == "br":
                 pieces.append(" ")
             continue
-        close()
-        in_link = 0
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in CONTAINERS and tag not in CONTAINERS:
-                    break
-        else:
-            if tag in CLOSED_BY_SIBLING or tag in CONTAINERS:
-                if stack and stack[-1][0] == "p":
-                    stack.pop()
-                if stack and stack[-1][0] == tag and tag in CLOSED_BY_SIBLING:
-                    stack.pop()
-            if tag not in VOID:
-                own = [tag]
-                for name, *values in NAMED.findall(m[4] or ""):
-                    own += [f"{name.lower()[0]}:{x.lower()}" for x in PART.findall("".join(values))]
-                stack.append((tag, tuple(own)))
-    if at < len(page):
-        add(page[at:])
-    close()
+        _block(out, stack, pieces, linked)
+        pieces, linked, in_link = [], 0, 0
+        if closes:
+            stack.close(tag)
+            continue
+        if tag in CLOSED_BY_SIBLING or tag in CONTAINERS:
+            if stack.top() == "p":
+                stack.cut(len(stack.own) - 1)
+            if stack.top() == tag and tag in CLOSED_BY_SIBLING:
+                stack.cut(len(stack.own) - 1)
+        if tag not in VOID:
+            names = [f"{name.lower()[0]}:{x.lower()}" for name, *values in NAMED.findall(attributes) for x in PART.findall("".join(values))]
+            stack.push(tag, (tag, *names[:NAMES]))
+    _block(out, stack, pieces, linked)
     return out
 
 
+def _block(out: list[Block], stack: Stack, pieces: list[str], linked: int) -> None:
+    raw = "".join(pieces)
+    text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
+    if text:
+        out.append(Block(stack.path(), text, min(linked, len(text))))
+
+
 #: Names of furniture in class, id and role.
 FURNITURE = frozenset(
     "ad ads advert advertisement banner sponsor sponsored promo cookie cookies consent notice alert popup modal newsletter subscribe signup login search sidebar side menu nav navigation navbar breadcrumb breadcrumbs "
@@ -126,21 +193,48 @@ KINDS = ["div c", "section i", "div r", "ul c", "div i", "section c"]
 LEAVES = ["p", "li", "div", "h2", "h3", "span", ""]
 
 
-def role(block: Block) -> bool:
-    """Whether the markup says main text."""
-    names = {x[2:] for x in block.path if x[1:2] == ":"}
-    return bool(MAIN_TAGS & set(block.path)) and not (FURNITURE_TAGS & set(block.path)) and not (FURNITURE & names)
+#: Elements that can hold a whole article.
+BOXES = frozenset("html body div section article main center table tbody tr td".split())
+#: The share of the text that one box must hold to be looked into.
+MOST_TEXT = 0.7
+
+
+def furniture(block: Block) -> bool:
+    """Whether the markup says that the block is not main text."""
+    return bool(FURNITURE_TAGS & set(block.path)) or bool(FURNITURE & {x[2:] for x in block.path if x[1:2] == ":"})
+
+
+def roles(page: list[Block]) -> np.ndarray:
+    """1 for each block that the markup, or where the page's text stands, says is main."""
+    open_ = [i for i, b in enumerate(page) if not furniture(b)]
+    stated = [i for i in open_ if MAIN_TAGS & set(page[i].path)]
+    if not stated:
+        stated, depth = open_, 0
+        while True:
+            held: dict[tuple[str, ...], int] = {}
+            for i in stated:
+                path = page[i].path
+                if depth < len(path) and path[depth] in BOXES:
+                    end = next((k for k in range(depth + 1, len(path)) if path[k][1:2] != ":"), len(path))
+                    held[path[:end]] = held.get(path[:end], 0) + len(page[i].text) - page[i].linked
+            box = max(held, key=held.get, default=())
+            if not box or held[box] < MOST_TEXT * sum(len(page[i].text) - page[i].linked for i in stated):
+                break
+            stated, depth = [i for i in stated if page[i].path[: len(box)] == box], len(box)
+    out = np.zeros(len(page), np.float32)
+    out[stated] = 1
+    return out
 
 
 def variant(page: list[Block], rng: np.random.Generator, texts: list[Block]) -> tuple[list[Block], np.ndarray]:
     """The page with another main element and more furniture, and its labels."""
     name = tuple(MAIN_NAMES[rng.integers(len(MAIN_NAMES))].split())
     wrap = tuple(["div"] * int(rng.integers(0, 3)))
-    furniture = lambda: tuple(FURNITURE_NAMES[rng.integers(len(FURNITURE_NAMES))].format(KINDS[rng.integers(len(KINDS))]).split())
+    fitting = lambda: tuple(FURNITURE_NAMES[rng.integers(len(FURNITURE_NAMES))].format(KINDS[rng.integers(len(KINDS))]).split())
 
     def more(inside: tuple[str, ...]):
         for _ in range(int(rng.integers(0, 3))):
-            own = furniture()
+            own = fitting()
             for _ in range(int(rng.integers(1, 6))):
                 text = texts[rng.integers(len(texts))]
                 out.append(Block((*inside, *wrap, *own, *LEAVES[rng.integers(len(LEAVES))].split()), text.text, int(rng.random() < 0.4) * len(text.text)))
@@ -151,14 +245,16 @@ def variant(page: list[Block], rng: np.random.Generator, texts: list[Block]) ->
     body = ("html", "body")
     more(body)
     inside = False
-    for b in page:
-        main = role(b)
+    known = roles(page) > 0
+    held = [b.path for b, main in zip(page, known) if main]
+    box = commonprefix(held) if held else ()
+    for b, main in zip(page, known.tolist()):
         if main != inside:
             more(body)
             inside = main
         if main:
-            at = next(i for i, x in enumerate(b.path) if x in MAIN_TAGS)
-            leaf = b.path[at + 1 :]
+            at = next((i for i, x in enumerate(b.path) if x in MAIN_TAGS), None)
+            leaf = b.path[at + 1 :] if at is not None else b.path[min(len(box), len(b.path) - 1) :]
             if leaf == ("p",) and rng.random() < 0.2:
                 leaf = tuple(["h2", "ul li", "ol li", "blockquote p", "div", "section p"][rng.integers(6)].split())
             b = b._replace(path=(*body, *wrap, *name, *leaf))
@@ -175,19 +271,19 @@ def sample(pages: DataFrame, most: int = TRAIN_PAGES) -> list[str]:
 
     Hashes are compared first, so tasks send the driver hashes, not pages.
     """
-    keyed = pages.where("html is not null").select("html", F.xxhash64("page_id", "url", F.length("html")).alias("order"))
+    keyed = pages.where((F.length("html") > 0) & (F.length("html") <= TRAIN_CHARS)).select("html", F.xxhash64("page_id", "url", F.length("html")).alias("order"))
     chosen = [r.order for r in keyed.select("order").distinct().orderBy("order").limit(most).collect()]
     rows = keyed.where(F.col("order").isin(chosen)).groupBy("order").agg(F.min("html").alias("html")).orderBy("order")
     return [r.html for r in rows.collect()]
 
 
 def model(pages: DataFrame, most: int = TRAIN_PAGES) -> dict[str, np.ndarray] | None:
-    own = [b for b in map(blocks, sample(pages, most)) if b]
+    own = [b for b in map(blocks, sample(pages, most)) if roles(b).any()]
     if not own:
         return None
     rng = np.random.default_rng(5)
     texts = [b for page in own for b in page]
-    shown = [(page, np.array([role(b) for b in page], np.float32)) for page in own]
+    shown = [(page, roles(page)) for page in own]
     shown += [variant(page, rng, texts) for _ in range(-(-VARIANTS // len(own))) for page in own]
     return trained([Page(p) for p, _ in shown], [y for _, y in shown])
 
