@@ -4,7 +4,11 @@ A page becomes one WARC record. The archive keeps two tables: ``payloads``, one
 row for each different payload (packed with zstd) under its SHA-256 digest, and ``records``, the
 exact header block of every record with the digest of its payload. An original
 record is the join of both on the digest; reading checks every payload against
-its digest and fails on a mismatch.
+its digest, once however many records share it, and fails on a mismatch.
+
+Records whose payload is that of more than ``HOT_RECORDS`` others are dealt to several copies
+of it: the copy's number is part of both joins' keys, so no digest gathers its records in one
+task. At most ``MOST_HOT`` digests are split, which bounds what is broadcast to deal them.
 
 Of records with equal payloads of at least ``min_bytes`` bytes the one with the
 largest page_id is a response and the others revisit it; smaller payloads are
@@ -19,6 +23,7 @@ percent-encoded, since a header cannot hold them; an empty table gives an empty
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 
@@ -26,8 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import settled, shared_dir, table
 
+HOT_RECORDS = 5_000
+MOST_HOT = 100_000
 DATE = "2024-01-01T00:00:00Z"
 BASE32_OF_CONV = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
@@ -47,9 +54,14 @@ def written(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE) -
     """Write the archive of (page_id, url, html) rows below ``path``."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id"), F.col("url"), payload.alias("payload"))
-    thin = rows.select("page_id", "url", F.octet_length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("digest"), base32_sha1(F.col("payload")).alias("sha1"))
-    owners = thin.groupBy("digest").agg(F.max("page_id").alias("owner"))
-    typed = thin.join(owners, "digest")
+    thin = settled(rows.select("page_id", "url", F.octet_length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("digest"), base32_sha1(F.col("payload")).alias("sha1")))
+    owners = thin.groupBy("digest").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n"))
+    # more than total / MOST_HOT records each, so MOST_HOT digests at most
+    share = max(HOT_RECORDS, thin.count() // MOST_HOT)
+    hot = owners.where(F.col("n") > share).select("digest", F.ceil(F.col("n") / share).cast("int").alias("copies"))
+    thin = thin.join(F.broadcast(hot), "digest", "left").withColumn("copy", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("copies", F.lit(1))).cast("int"))
+    owners = owners.withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > share, F.ceil(F.col("n") / share).cast("int") - 1).otherwise(0))))
+    typed = thin.join(owners, ["digest", "copy"])
     revisit = (F.col("size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("owner"))
     uri = F.coalesce(F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit(""))
     header = F.concat(
@@ -64,7 +76,7 @@ def written(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE) -
         _line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("size").cast("string"))),
         F.lit("\r\n"),
     )
-    typed.select(header.cast("binary").alias("header"), "digest").write.option("compression", "zstd").parquet(f"{path}/records")
+    typed.select(header.cast("binary").alias("header"), "digest", "copy").write.option("compression", "zstd").parquet(f"{path}/records")
     # equal payloads meet after each task has reduced its own to one
     packed = rows.select("payload").mapInArrow(_pack, "digest string, packed binary")
     packed.groupBy("digest").agg(F.first("packed").alias("packed")).write.option("compression", "none").parquet(f"{path}/payloads")
@@ -79,22 +91,45 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(x).hexdigest() for x in cells], pa.string()), pa.array([pack(x) for x in cells], pa.binary())], ["digest", "packed"])
 
 
+def _checked(with_packed: bool):
+    """Payloads that match their digests, with their sizes and SHA-1 digests."""
+
+    def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            sizes, digests = [], []
+            for digest, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                payload = unpack(packed.as_py())
+                if hashlib.sha256(payload).hexdigest() != digest:
+                    raise ValueError("a payload does not match its digest")
+                sizes.append(len(payload))
+                digests.append(base64.b32encode(hashlib.sha1(payload).digest()).decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), *[batch.column(1)] * with_packed], ["digest", "size", "sha1", *["packed"] * with_packed])
+
+    return run
+
+
+def payloads(spark: SparkSession, path: str, with_packed: bool = False) -> DataFrame:
+    """(digest, copy, size, sha1[, packed]) of every payload, verified, once for each copy that records were dealt to."""
+    found = spark.read.parquet(f"{path}/payloads").select("digest", "packed").mapInArrow(_checked(with_packed), "digest string, size long, sha1 string" + ", packed binary" * with_packed)
+    copies = spark.read.parquet(f"{path}/records").groupBy("digest").agg(F.max("copy").alias("last"))
+    return found.join(copies, "digest").withColumn("copy", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
+
+
 def _unpack(batches):
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         cells = [unpack(x.as_py()) for x in batch.column(2)]
-        for digest, cell in zip(batch.column(1).to_pylist(), cells):
-            if hashlib.sha256(cell).hexdigest() != digest:
-                raise ValueError("a payload does not match its digest")
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.binary())], ["header", "digest", "payload"])
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """(header, digest, payload) of every record, rebuilt by joining headers and payloads; payloads are verified."""
-    payloads = spark.read.parquet(f"{path}/payloads")
-    joined = spark.read.parquet(f"{path}/records").join(payloads, "digest").select("header", "digest", "packed")
+    joined = spark.read.parquet(f"{path}/records").join(payloads(spark, path, True), ["digest", "copy"]).select("header", "digest", "packed")
     return joined.mapInArrow(_unpack, "header binary, digest string, payload binary")
 
 
@@ -105,23 +140,34 @@ def record_bytes(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.col("header"), body, F.lit("\r\n\r\n").cast("binary")).alias("record"))
 
 
-def parsed(rows: DataFrame) -> DataFrame:
-    """The fields of rebuilt records."""
+def _fields(rows: DataFrame, size, sha1) -> DataFrame:
+    """The fields of each header beside its payload's size and digest; fails where the header states another digest."""
     text = F.col("header").cast("string")
     field = lambda name, value: F.nullif(F.regexp_extract(text, rf"\r\n{name}: {value}\r\n", 1), F.lit(""))
+    stated = field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)")
     return rows.select(
         field("WARC-Record-ID", "<urn:page:([^>]*)>").cast("long").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)").alias("payload_digest"),
+        size.cast("long").alias("payload_bytes"),
+        F.when(stated == sha1, stated).otherwise(F.raise_error(F.lit("a header does not state its payload's digest"))).alias("payload_digest"),
         field("WARC-Type", "([a-z]+)").alias("record_type"),
         field("WARC-Refers-To", "<urn:page:([^>]*)>").cast("long").alias("refers_to"),
     )
 
 
+def parsed(rows: DataFrame) -> DataFrame:
+    """The fields of rebuilt records."""
+    return _fields(rows, F.octet_length("payload"), base32_sha1(F.col("payload")))
+
+
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """The fields of every record; payloads are read and verified once each and only their sizes and digests meet the headers."""
+    return _fields(spark.read.parquet(f"{path}/records").join(payloads(spark, path), ["digest", "copy"]), F.col("size"), F.col("sha1"))
+
+
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     written(table(spark, sf_dir, "pages"), path)
-    return parsed(records(spark, path))
+    return listed(spark, path)
 
 
 OP8_SQL = """
