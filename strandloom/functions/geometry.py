@@ -21,6 +21,20 @@ def rotation(w: Column, x: Column, y: Column, z: Column) -> list[list[Column]]:
     ]
 
 
+def quaternion(r: list[list[Column]]) -> list[Column]:
+    """The unit quaternion (w, x, y, z) of a rotation, w not negative: sizes from the diagonal, signs from the other entries."""
+    two, one = F.lit(0.5), F.lit(1.0)
+    size = lambda a, b, c: two * F.sqrt(F.greatest(F.lit(0.0), one + a * r[0][0] + b * r[1][1] + c * r[2][2]))
+    w, x, y, z = size(1, 1, 1), size(1, -1, -1), size(-1, 1, -1), size(-1, -1, 1)
+    # the largest part is known best; the others follow from it, and then the sign of all
+    top = F.greatest(w, x, y, z)
+    of = lambda i, j, k: (r[i][j] + k * r[j][i]) / (4 * top)
+    wx, wy, wz, xy, xz, yz = of(2, 1, -1), of(0, 2, -1), of(1, 0, -1), of(1, 0, 1), of(0, 2, 1), of(2, 1, 1)
+    cases = [(w == top, [w, wx, wy, wz]), (x == top, [wx, x, xy, xz]), (y == top, [wy, xy, y, yz]), (F.lit(True), [wz, xz, yz, z])]
+    parts = [F.coalesce(*(F.when(ok, row[i]) for ok, row in cases)) for i in range(4)]
+    return [F.when(parts[0] < 0, -p).otherwise(p) for p in parts]
+
+
 def pose(quaternion: tuple[Column, ...], translation: tuple[Column, ...], scale: float = 1.0) -> tuple[list[list[Column]], list[Column]]:
     """Camera-to-world rotation (the transpose) and camera centre ``-R t / scale``."""
     r = rotation(*quaternion)

@@ -48,6 +48,11 @@ def mask_groups(seg_mask: DataFrame) -> DataFrame:
     return seg_mask.groupBy("cam_id", "mask_id").agg(F.sort_array(F.collect_set("seg_id")).alias("segments"))
 
 
+def distinct_masks(seg_mask: DataFrame) -> DataFrame:
+    """(cam_id, masks, lowest, highest) of each view."""
+    return seg_mask.groupBy("cam_id").agg(F.count_distinct("mask_id").alias("masks"), F.min("mask_id").alias("lowest"), F.max("mask_id").alias("highest"))
+
+
 def view_overlap(tracks: DataFrame) -> DataFrame:
     """(cam_a, cam_b, matches) over tracks (point3d_id, pos, cam_id).
 

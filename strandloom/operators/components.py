@@ -9,9 +9,15 @@ from ..session import settled
 from .joins import dealt_join
 
 
+#: Pairs up to which the lowest partners are sent to every task.
+MOST_BROADCAST = 500_000
+
+
 def _lowest(pairs: DataFrame, total: int) -> DataFrame:
-    """(u, v, low): each pair with the lowest of u and all its partners; the pairs of a star's centre are dealt out."""
+    """(u, v, low): each pair with the lowest of u and all its partners; of many pairs, those of a star's centre are dealt out."""
     low = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"), F.count(F.lit(1)).alias("n"))
+    if total <= MOST_BROADCAST:
+        return pairs.join(F.broadcast(low.select("u", "low")), "u")
     return dealt_join(pairs, low.select("u", "low"), ["u"], total, low.select("u", "n"))
 
 

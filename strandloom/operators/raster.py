@@ -98,6 +98,17 @@ def overridden(pixels: DataFrame, patches: DataFrame, start: int = 1000) -> Data
     return pixels.join(over, ["cam_id", "row", "col"], "left").select("cam_id", "row", "col", F.coalesce("new_id", "mask_id").alias("mask_id"))
 
 
+def extract(pixels: DataFrame, cam_id: int, mask_id: int) -> DataFrame:
+    """(row, col) of one mask of one image."""
+    return pixels.where((F.col("cam_id") == cam_id) & (F.col("mask_id") == mask_id)).select("row", "col")
+
+
+def extracts(pixels: DataFrame) -> DataFrame:
+    """(cam_id, mask_id, top, bottom, left_, right_, area) of every mask of the merged images."""
+    edges = [f(c).alias(n) for c, f, n in (("row", F.min, "top"), ("row", F.max, "bottom"), ("col", F.min, "left_"), ("col", F.max, "right_"))]
+    return pixels.groupBy("cam_id", "mask_id").agg(*edges, F.count(F.lit(1)).alias("area"))
+
+
 def outline(pixels: DataFrame) -> DataFrame:
     """Pixels with a neighbour above, below, left or right that has another id or none."""
     around = pixels.select("cam_id", "mask_id", F.explode(F.array(*(F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col")) for r, c in ((0, 1), (1, 0), (0, -1), (-1, 0))))).alias("at"))

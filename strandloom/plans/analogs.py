@@ -135,11 +135,26 @@ RELATIONS = {
 }
 
 
+#: Pixels of a list of rasterised ends (r0, c0, r1, c1), for a relation and its key columns.
+_PIXELS = "SELECT {keys}, r0 + (CASE WHEN r1 > r0 THEN 1 ELSE -1 END) * (CASE WHEN abs(r1 - r0) > abs(c1 - c0) THEN i ELSE k END) AS row, c0 + (CASE WHEN c1 > c0 THEN 1 ELSE -1 END) * (CASE WHEN abs(r1 - r0) > abs(c1 - c0) THEN k ELSE i END) AS col FROM (SELECT *, CASE WHEN n = 0 THEN 0 ELSE (2 * m * i + n) // (2 * n) END AS k FROM (SELECT *, unnest(range(n + 1)) AS i FROM (SELECT *, greatest(abs(r1 - r0), abs(c1 - c0)) AS n, least(abs(r1 - r0), abs(c1 - c0)) AS m FROM {source})))"
+RELATIONS |= {
+    "seen_lines": "SELECT cam_id, place, line3d_id, f * ay / az AS y1, f * ax / az AS x1, f * by_ / bz AS y2, f * bx / bz AS x2 FROM cand ANTI JOIN occ USING (cam_id, line3d_id)",
+    "shown": "SELECT cam_id, place, line3d_id, " + ", ".join(f"CAST(round_even({c}, 0) AS INTEGER) AS {n}" for c, n in (("y1", "r0"), ("x1", "c0"), ("y2", "r1"), ("x2", "c1"))) + " FROM seen_lines",
+    "shown_pix": _PIXELS.format(keys="cam_id, place, line3d_id", source="shown"),
+    "projected": "SELECT cam_id, line3d_id, mask_id FROM (SELECT *, row_number() OVER (PARTITION BY cam_id, line3d_id ORDER BY n_px DESC, mask_id) AS k FROM (SELECT p.cam_id, p.line3d_id, coalesce(c.mask_id, -1) AS mask_id, count(*) AS n_px FROM shown_pix p LEFT JOIN cover c ON c.cam_id = p.place AND c.row = p.row AND c.col = p.col WHERE p.row BETWEEN 0 AND 47 AND p.col BETWEEN 0 AND 63 GROUP BY 1, 2, 3)) WHERE k = 1 AND mask_id <> -1",
+    "near_lines": "SELECT src, dst FROM planar2 WHERE distance <= 0.05",
+    "line_reach (id, low) USING KEY (id)": "SELECT DISTINCT src, src FROM near_lines UNION SELECT e.dst, min(r.low) FROM line_reach r JOIN near_lines e ON e.src = r.id JOIN recurring.line_reach s ON s.id = e.dst WHERE r.low < s.low GROUP BY e.dst",
+}
+#: Relations that are used more than once and are dear to work out.
+KEPT = frozenset(("planar", "core", "cand", "occ", "votes", "direct", "fine", "s2l", "medges", "cover"))
+
+
 def sql(query: str, *needs: str) -> str:
     """A query with the relations it needs, in the order they are defined."""
+    names = {full.split()[0]: full for full in RELATIONS}
     wanted = set(needs)
-    names = list(RELATIONS)
     for name in reversed(names):
         if name in wanted:
-            wanted |= {n for n in names if n != name and re.search(rf"\b(FROM|JOIN|,) {n}\b", RELATIONS[name])}
-    return query if not wanted else "WITH RECURSIVE " + ", ".join(f"{n} AS ({RELATIONS[n]})" for n in names if n in wanted) + " " + query
+            wanted |= {n for n in names if n != name and re.search(rf"\b(FROM|JOIN|,) {n}\b", RELATIONS[names[name]])}
+    parts = (f"{names[n]} AS {'MATERIALIZED ' * (n in KEPT)}({RELATIONS[names[n]]})" for n in names if n in wanted)
+    return query if not wanted else "WITH RECURSIVE " + ", ".join(parts) + " " + query

@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import colour
 from ..operators import association, density, graph, raster, visibility, voting
 from ..session import settled
 
@@ -47,12 +48,19 @@ def walks_density(line_mask: DataFrame, required_views: int = 3, walks: int = 20
     if not linked.limit(1).count():
         return _nodes(line_mask).select(F.col("id").alias("cluster_id"), F.col("id").alias("member_id"))
     text = settled(graph.random_walks(linked, edges, walks, length, seed).select(F.transform("path", lambda x: x.cast("string")).alias("path")))
-    model = Word2Vec(vectorSize=dim, windowSize=10, minCount=1, seed=seed, inputCol="path", outputCol="v").fit(text)
+    model = Word2Vec(vectorSize=dim, windowSize=10, minCount=1, seed=seed, numPartitions=8, inputCol="path", outputCol="v").fit(text)
     vectors = settled(model.getVectors().select(F.col("word").cast("long").alias("id"), vector_to_array("vector").alias("v")))
-    labels = density.density_clusters(settled(density.embedded_neighbours(vectors)), 5, 3)
+    labels = density.density_clusters(settled(density.embedded_neighbours(vectors)), 5, 3, vectors.select("id"))
     return density.clusters_of(labels, _nodes(line_mask), keep_noise=True)
 
 
+def drawn(clusters: DataFrame, lines: DataFrame) -> DataFrame:
+    """(cluster_id, member_id, both ends, red, green, blue): what a viewer of clusters shows."""
+    red, green, blue = colour(F.col("cluster_id"))
+    rows = clusters.join(lines.withColumnRenamed("line3d_id", "member_id"), "member_id")
+    return rows.select("cluster_id", "member_id", "x1", "y1", "z1", "x2", "y2", "z2", red.alias("red"), green.alias("green"), blue.alias("blue"))
+
+
 METHODS: dict[str, Callable[..., DataFrame]] = {
     "maximum": graph.strict_clusters,
     "whispers": whispers,

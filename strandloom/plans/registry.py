@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from ..operators import graph as C
 from ..operators import raster as R
 from ..operators import visibility as V
 from ..operators import voting as O
-from ..session import settled
+from ..session import settled, shared_dir
+from ..sources import sparse_model as M
 from . import pipelines as P
 from .analogs import HEIGHT, WIDTH, Scene, sql
 
@@ -65,11 +67,10 @@ def line3d_to_seg(s):
     return A.line_to_segment(s.residuals)
 
 
-@query("SELECT s.cam_id AS src_cam, t.cam_id AS tgt_cam, count(*) AS n, min(s.seg_id) AS first_seg, max(t.seg_id) AS last_seg FROM s2l s JOIN near n ON n.cam_id = s.cam_id AND n.rank > 1 JOIN l2s t ON t.line3d_id = s.line3d_id AND t.cam_id = n.neighbour_id GROUP BY 1, 2", "s2l", "l2s", "near")
+@query("SELECT s.cam_id AS src_cam, s.seg_id AS src_seg, t.cam_id AS tgt_cam, t.seg_id AS tgt_seg FROM s2l s JOIN near n ON n.cam_id = s.cam_id AND n.rank > 1 JOIN l2s t ON t.line3d_id = s.line3d_id AND t.cam_id = n.neighbour_id", "s2l", "l2s", "near")
 def correspondence(s):
     near = A.neighbours(A.view_overlap(s.tracks)).where("rank > 1").select(F.col("cam_id").alias("src_cam"), F.col("neighbour_id").alias("tgt_cam"))
-    out = A.correspondence(s.residuals, near)
-    return out.groupBy("src_cam", "tgt_cam").agg(F.count(F.lit(1)).alias("n"), F.min("src_seg").alias("first_seg"), F.max("tgt_seg").alias("last_seg"))
+    return A.correspondence(s.residuals, near)
 
 
 @query("SELECT cam_id, line3d_id, mask_id FROM direct", "direct")
@@ -77,10 +78,16 @@ def line_mask_direct(s):
     return _direct(s)
 
 
-@query("SELECT cam_id, mask_id, count(DISTINCT seg_id) AS n, min(seg_id) AS first_seg, max(seg_id) AS last_seg FROM seg GROUP BY 1, 2", "seg")
+@query("SELECT cam_id, mask_id, count(DISTINCT seg_id) AS n, string_agg(DISTINCT CAST(seg_id AS VARCHAR), ',' ORDER BY CAST(seg_id AS VARCHAR)) AS segments FROM seg GROUP BY 1, 2", "seg")
 def mask_to_segments(s):
     own = A.mask_groups(s.seg_mask())
-    return own.select("cam_id", "mask_id", F.size("segments").cast("long").alias("n"), F.element_at("segments", 1).alias("first_seg"), F.element_at("segments", -1).alias("last_seg"))
+    return own.select("cam_id", "mask_id", F.size("segments").cast("long").alias("n"), F.array_join(F.sort_array(F.transform("segments", lambda x: x.cast("string"))), ",").alias("segments"))
+
+
+@query("SELECT cam_id, count(DISTINCT mask_id) AS masks, min(mask_id) AS lowest, max(mask_id) AS highest FROM seg GROUP BY 1", "seg")
+def view_mask_ids(s):
+    """How many different masks a view has, and their range."""
+    return A.distinct_masks(s.seg_mask())
 
 
 @query("SELECT cam_id, seg_id, max(mask_id) AS mask_id FROM seg GROUP BY 1, 2", "seg")
@@ -98,17 +105,17 @@ def cooccur_edges_min3(s):
     return C.cooccurrence(_direct(s), VIEWS)
 
 
-_COMMON = "SELECT e.src, e.dst, e.weight, count(*) AS common FROM edges e JOIN (SELECT DISTINCT cam_id, line3d_id FROM direct) a ON a.line3d_id = e.src JOIN (SELECT DISTINCT cam_id, line3d_id FROM direct) b ON b.line3d_id = e.dst AND b.cam_id = a.cam_id GROUP BY 1, 2, 3"
+_COMMON = "SELECT e.src, e.dst, e.weight, count(*) AS common FROM pairs e JOIN (SELECT DISTINCT cam_id, line3d_id FROM direct) a ON a.line3d_id = e.src JOIN (SELECT DISTINCT cam_id, line3d_id FROM direct) b ON b.line3d_id = e.dst AND b.cam_id = a.cam_id GROUP BY 1, 2, 3"
 
 
-@query(_COMMON, "edges", "direct")
+@query(_COMMON, "pairs", "direct")
 def covisible_edges(s):
-    return C.covisible(_edges(s), _direct(s))
+    return C.covisible(_edges(s, 1), _direct(s))
 
 
-@query(f"SELECT src, dst, round(weight / common, 6) AS weight FROM ({_COMMON})", "edges", "direct")
+@query(f"SELECT src, dst, round(weight / common, 6) AS weight FROM ({_COMMON})", "pairs", "direct")
 def normalized_weights(s):
-    return rounded(C.normalised(_edges(s), _direct(s)), "weight")
+    return rounded(C.normalised(_edges(s, 1), _direct(s)), "weight")
 
 
 @query("SELECT cluster_id, member_id FROM clusters", "links", "clusters")
@@ -141,9 +148,9 @@ def neighbours_topk(s):
     return A.neighbours(A.view_overlap(s.tracks))
 
 
-@query("SELECT n.cam_id AS cam_a, n.neighbour_id AS cam_b, a.point3d_id, a.x AS xa, a.y AS ya, b.x AS xb, b.y AS yb FROM near n JOIN last_ a ON a.cam_id = n.cam_id JOIN last_ b ON b.cam_id = n.neighbour_id AND b.point3d_id = a.point3d_id WHERE n.rank = 2".replace("last_", "(SELECT * FROM (SELECT l_suppkey AS cam_id, l_orderkey AS point3d_id, l_quantity AS x, l_extendedprice AS y, row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber DESC, l_quantity DESC, l_extendedprice DESC) AS k FROM lineitem) WHERE k = 1)"), "near")
+@query("SELECT n.cam_id AS cam_a, n.neighbour_id AS cam_b, a.point3d_id, a.x AS xa, a.y AS ya, b.x AS xb, b.y AS yb FROM near n JOIN last_ a ON a.cam_id = n.cam_id JOIN last_ b ON b.cam_id = n.neighbour_id AND b.point3d_id = a.point3d_id WHERE n.rank > 1".replace("last_", "(SELECT * FROM (SELECT l_suppkey AS cam_id, l_orderkey AS point3d_id, l_quantity AS x, l_extendedprice AS y, row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber DESC, l_quantity DESC, l_extendedprice DESC) AS k FROM lineitem) WHERE k = 1)"), "near")
 def common_points(s):
-    pairs = A.neighbours(A.view_overlap(s.tracks)).where("rank = 2").select(F.col("cam_id").alias("cam_a"), F.col("neighbour_id").alias("cam_b"))
+    pairs = A.neighbours(A.view_overlap(s.tracks)).where("rank > 1").select(F.col("cam_id").alias("cam_a"), F.col("neighbour_id").alias("cam_b"))
     return A.common_points(s.features, pairs)
 
 
@@ -199,6 +206,25 @@ def camera_pose(s):
     return rounded(s.cameras.select("cam_id", *names), *names)
 
 
+@query("SELECT cam_id, " + ", ".join(f"round(s * {c}, 6) + 0.0 AS {c}" for c in ("w", "x", "y", "z")) + " FROM (SELECT *, CASE WHEN w < 0 THEN -1 ELSE 1 END AS s FROM q)", "q")
+def rot_to_quat(s):
+    """Back from the rotation: the unit quaternion whose first part is not negative."""
+    r = G.rotation(*(F.col(f"q{i}") for i in range(4)))
+    return rounded(s.poses.select("cam_id", *(c.alias(n) for c, n in zip(G.quaternion(r), "wxyz"))), *"wxyz")
+
+
+@query("SELECT min(least(x1, x2)) AS low_x, max(greatest(x1, x2)) AS high_x, min(least(y1, y2)) AS low_y, max(greatest(y1, y2)) AS high_y FROM (SELECT round(x1, 6) AS x1, round(x2, 6) AS x2, round(y1, 6) AS y1, round(y2, 6) AS y2 FROM lines3d)", "lines3d")
+def axis_ranges(s):
+    """The box around the lines on the ground."""
+    return rounded(D.axis_ranges(D.ground_projection(s.lines3d)), "low_x", "high_x", "low_y", "high_y")
+
+
+@query("SELECT cam_id, mask_id, min(row) AS top, max(row) AS bottom, min(col) AS left_, max(col) AS right_, count(*) AS area FROM (SELECT cam_id, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, mask_id FROM cover) GROUP BY 1, 2", "cover")
+def mask_extracts(s):
+    """Each mask of the merged image by itself: its box and area there."""
+    return R.extracts(R.mask_cover(s.mask_runs))
+
+
 @query("SELECT cam_id, seg_id, row, col FROM pix", "pix")
 def raster_pixels(s):
     return R.raster_pixels(s.segments, HEIGHT, WIDTH)
@@ -264,9 +290,9 @@ def mask_merge(s):
     return R.merged_masks(s.mask_runs)
 
 
-@query("SELECT cam_id, line3d_id FROM cand ANTI JOIN occ USING (cam_id, line3d_id)", "cand", "occ")
+@query("SELECT cam_id, line3d_id, round(y1, 6) AS y1, round(x1, 6) AS x1, round(y2, 6) AS y2, round(x2, 6) AS x2 FROM seen_lines", "seen_lines")
 def visible_lines(s):
-    return V.visible_lines(s.lines3d, s.cameras, s.observed).select("cam_id", "line3d_id")
+    return rounded(V.visible_lines(s.lines3d, s.cameras, s.observed), "y1", "x1", "y2", "x2")
 
 
 @query("SELECT cam_id, line3d_id FROM occ", "occ")
@@ -274,7 +300,7 @@ def occluded_lines(s):
     return V.occluded(settled(V.candidate_views(s.lines3d, s.cameras)), s.observed, settled(s.cameras))
 
 
-@query()
+@query("SELECT cam_id, line3d_id, mask_id, 'direct' AS how FROM direct UNION ALL SELECT cam_id, line3d_id, mask_id, 'projected' AS how FROM projected ANTI JOIN direct USING (cam_id, line3d_id)", "direct", "projected")
 def line_mask_full(s):
     views = V.visible_lines(s.lines3d, s.cameras, s.observed)
     pixels = s.poses.select("cam_id", "place").join(R.mask_cover(s.mask_runs).withColumnRenamed("cam_id", "place"), "place").select("cam_id", "row", "col", "mask_id")
@@ -310,7 +336,7 @@ def mutual_reachability(s):
     return rounded(D.mutual_reachability(_planar(s), 3), "distance")
 
 
-@query()
+@query("SELECT id AS node, low AS component FROM line_reach", "line_reach")
 def eps_components(s):
     return D.components_within(_planar(s), REACH / 4)
 
@@ -353,10 +379,39 @@ def similarity_hdbscan(s):
 
 @query()
 def node2vec_hdbscan(s):
-    """The pipeline's own walk length and number of dimensions, with 20 walks a node."""
-    return P.walks_density(_direct(s), walks=20)
+    return P.walks_density(_direct(s))
 
 
 @query()
 def planar_hdbscan(s):
+    """The pipeline's own cluster size; the first radius only says where to begin."""
     return P.distance_pipeline(s.lines3d, 10, reach=REACH)
+
+
+@query("SELECT c.cluster_id, c.member_id, round(l.x1, 6) AS x1, round(l.y1, 6) AS y1, round(l.z1, 6) AS z1, round(l.x2, 6) AS x2, round(l.y2, 6) AS y2, round(l.z2, 6) AS z2 FROM clusters c JOIN lines3d l ON l.line3d_id = c.member_id", "links", "clusters", "lines3d")
+def cluster_lines(s):
+    """The lines of every cluster, as a viewer would draw them."""
+    return rounded(P.drawn(_clusters(s), s.lines3d).drop("red", "green", "blue"), "x1", "y1", "z1", "x2", "y2", "z2")
+
+
+def _text_folder(s: Scene, name: str, lines: DataFrame) -> str:
+    path = f"{shared_dir(s.spark)}/{name}-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return path
+
+
+@query("SELECT CAST(c_custkey AS INTEGER) AS camera_id, 'PINHOLE' AS model, 640 + c_nationkey AS width, CAST(480 AS BIGINT) AS height, round(abs(c_acctbal), 2) AS fx, round(abs(c_acctbal) + 1, 2) AS fy FROM customer".replace("640 + c_nationkey", "CAST(640 + c_nationkey AS BIGINT)"))
+def intrinsics_text(s):
+    """Cameras written as a text model and read back."""
+    line = F.concat_ws(" ", "c_custkey", F.lit("PINHOLE"), F.lit(640) + F.col("c_nationkey"), F.lit(480), F.round(F.abs("c_acctbal"), 2), F.round(F.abs("c_acctbal") + 1, 2), F.lit("320"), F.lit("240"))
+    got = M.read_intrinsics_text(s.spark, _text_folder(s, "cameras", s.table("customer").select(line.alias("value"))))
+    return got.select("camera_id", "model", "width", "height", F.col("params")[0].alias("fx"), F.col("params")[1].alias("fy"))
+
+
+@query("SELECT l_orderkey AS point3d_id, l_linenumber - 1 AS pos, CAST(l_suppkey AS INTEGER) AS cam_id FROM (SELECT l_orderkey, l_suppkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS INTEGER) AS l_linenumber FROM lineitem)")
+def points_text(s):
+    """Tracks written as a text model and read back, one row an observation."""
+    seen = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey"))), lambda x: F.concat_ws(" ", x["l_suppkey"], x["l_linenumber"]))
+    rows = s.table("lineitem").groupBy("l_orderkey").agg(F.array_join(seen, " ").alias("track"))
+    line = F.concat_ws(" ", "l_orderkey", F.lit("0.5 1.5 2.5 1 2 3 0.25"), "track")
+    return M.tracks(M.read_points_text(s.spark, _text_folder(s, "points", rows.select(line.alias("value")))))

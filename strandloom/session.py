@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of its own (tests) and a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     made = spark.sparkContext.getCheckpointDir()
+    if not folder and not made and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not folder:
         folder = made or f"file://{tempfile.mkdtemp(prefix='strandloom-')}"
     if not made:

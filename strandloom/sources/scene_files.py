@@ -64,15 +64,15 @@ def png_gray(raw: bytes):
     out, before = np.zeros((height, width * size), np.uint8), np.zeros(width * size, np.uint8)
     for y in range(height):
         kind, line = lines[y, 0], lines[y, 1:]
-        if kind == 2:
+        if kind == 1:  # each byte adds to the one a pixel before it, modulo 256
+            line = np.cumsum(line.reshape(width, size), 0, dtype=np.uint8).ravel()
+        elif kind == 2:
             line = line + before
         elif kind:
             own, up = line.astype(int).tolist(), before.astype(int).tolist()
             for i in range(len(own)):
                 a, c = (own[i - size], up[i - size]) if i >= size else (0, 0)
-                if kind == 1:
-                    guess = a
-                elif kind == 3:
+                if kind == 3:
                     guess = (a + up[i]) // 2
                 else:
                     guess = min((a, up[i], c), key=lambda v: abs(a + up[i] - c - v))
@@ -184,6 +184,23 @@ def write_merged_masks(runs: DataFrame, sizes: DataFrame) -> DataFrame:
     return sizes.join(runs, "img_name", "left").groupBy("img_name").applyInPandas(paint, "img_name string, png binary")
 
 
+def write_mask_arrays(runs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(img_name, npy): int16 arrays of (img_name, mask_id, row, c0, c1) runs, background -1; sizes has (img_name, width, height)."""
+    import pandas as pd
+
+    def paint(rows: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        image = np.full((int(rows.height.iloc[0]), int(rows.width.iloc[0])), -1, np.int16)
+        for r in rows.dropna(subset=["mask_id"]).itertuples():
+            image[int(r.row), int(r.c0) : int(r.c1) + 1] = int(r.mask_id)
+        out = io.BytesIO()
+        np.save(out, image, allow_pickle=False)
+        return pd.DataFrame({"img_name": [rows.img_name.iloc[0]], "npy": [out.getvalue()]})
+
+    return sizes.join(runs, "img_name", "left").groupBy("img_name").applyInPandas(paint, "img_name string, npy binary")
+
+
 def cluster_ply(clusters: DataFrame, lines: DataFrame) -> DataFrame:
     """(cluster_id, line3d_id, value): a PLY edge line, with a colour for each cluster."""
     rows = clusters.join(lines, clusters["member_id"] == lines["line3d_id"])

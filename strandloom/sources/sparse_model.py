@@ -7,6 +7,7 @@ file is one task; text files are split by lines.
 from __future__ import annotations
 
 import struct
+from itertools import batched
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,10 @@ TRACK = "array<struct<image_id: int, point2d_idx: int>>"
 POINTS = f"point3d_id bigint, xyz array<double>, rgb array<int>, error double, track {TRACK}"
 
 
+#: Records that are Python objects at one time.
+CHUNK_ROWS = 10_000
+
+
 class _Cursor:
     def __init__(self, raw: bytes):
         self.raw, self.at = raw, 0
@@ -34,6 +39,13 @@ class _Cursor:
         self.at += own.size
         return out
 
+    def table(self, layout: str, *names: str) -> list[dict]:
+        """A count and as many equal records, decoded in one go."""
+        size = self.take("Q")[0] * struct.calcsize("<" + layout)
+        rows = struct.iter_unpack("<" + layout, memoryview(self.raw)[self.at : self.at + size])
+        self.at += size
+        return [dict(zip(names, row)) for row in rows]
+
     def name(self) -> str:
         end = self.raw.index(b"\0", self.at)
         out = self.raw[self.at : end].decode()
@@ -51,15 +63,13 @@ def _images(c: _Cursor):
     for _ in range(c.take("Q")[0]):
         image, *values, camera = c.take("i7di")
         name = c.name()
-        features = [c.take("ddq") for _ in range(c.take("Q")[0])]
-        yield image, values[:4], values[4:], camera, name, [dict(zip(("x", "y", "point3d_id"), f)) for f in features]
+        yield image, values[:4], values[4:], camera, name, c.table("ddq", "x", "y", "point3d_id")
 
 
 def _points(c: _Cursor):
     for _ in range(c.take("Q")[0]):
         point, x, y, z, r, g, b, error = c.take("QdddBBBd")
-        track = [c.take("ii") for _ in range(c.take("Q")[0])]
-        yield point, [x, y, z], [r, g, b], error, [dict(zip(("image_id", "point2d_idx"), t)) for t in track]
+        yield point, [x, y, z], [r, g, b], error, c.table("ii", "image_id", "point2d_idx")
 
 
 def _binary(spark: SparkSession, path: str, records, schema: str) -> DataFrame:
@@ -71,10 +81,10 @@ def _binary(spark: SparkSession, path: str, records, schema: str) -> DataFrame:
         for batch in batches:
             for content in batch.content:
                 cursor = _Cursor(bytes(content))
-                rows = list(records(cursor))
+                for rows in batched(records(cursor), CHUNK_ROWS):
+                    yield pd.DataFrame(rows, columns=names)
                 if cursor.at != len(cursor.raw):
                     raise ValueError("bytes are left after the last record")
-                yield pd.DataFrame(rows, columns=names)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 

@@ -76,6 +76,10 @@ def test_masks_round_trip(spark, tmp_path):
     assert sorted(map(tuple, S.read_merged_masks(spark, f"file://{tmp_path}").collect())) == runs
     np.save(tmp_path / "v.npy", np.array([[-1, 4, 4], [300, -1, -1]], np.int16))
     assert sorted(map(tuple, S.read_mask_arrays(spark, f"file://{tmp_path}").collect())) == [("v", 4, 0, 1, 2), ("v", 300, 1, 0, 0)]
+    (tmp_path / "arrays").mkdir()
+    for r in S.write_mask_arrays(spark.createDataFrame(runs, S.RUNS), sizes).collect():
+        (tmp_path / "arrays" / f"{r.img_name}.npy").write_bytes(bytes(r.npy))
+    assert sorted(map(tuple, S.read_mask_arrays(spark, f"file://{tmp_path}/arrays").collect())) == runs
     (tmp_path / "img").mkdir()
     (tmp_path / "img" / "12.png").write_bytes(S.gray_png([[0, 1, 2], [255, 0, 0]], 8))
     assert sorted(map(tuple, S.read_single_masks(spark, f"file://{tmp_path}").collect())) == [("img", 12, 0, 2, 2), ("img", 12, 1, 0, 0)]
