@@ -142,16 +142,20 @@ RELATIONS |= {
     "shown": "SELECT cam_id, place, line3d_id, " + ", ".join(f"CAST(round_even({c}, 0) AS INTEGER) AS {n}" for c, n in (("y1", "r0"), ("x1", "c0"), ("y2", "r1"), ("x2", "c1"))) + " FROM seen_lines",
     "shown_pix": _PIXELS.format(keys="cam_id, place, line3d_id", source="shown"),
     "projected": "SELECT cam_id, line3d_id, mask_id FROM (SELECT *, row_number() OVER (PARTITION BY cam_id, line3d_id ORDER BY n_px DESC, mask_id) AS k FROM (SELECT p.cam_id, p.line3d_id, coalesce(c.mask_id, -1) AS mask_id, count(*) AS n_px FROM shown_pix p LEFT JOIN cover c ON c.cam_id = p.place AND c.row = p.row AND c.col = p.col WHERE p.row BETWEEN 0 AND 47 AND p.col BETWEEN 0 AND 63 GROUP BY 1, 2, 3)) WHERE k = 1 AND mask_id <> -1",
+    # labels of all masks, round by round: the lowest label around, and then that one's own label; 30 rounds are far more than are needed
+    "mask_nodes": "SELECT (cam_a << 32) | mask_a AS src, (cam_b << 32) | mask_b AS dst FROM medges",
+    "mask_label(turn, id, low)": "SELECT 0, src, src FROM (SELECT DISTINCT src FROM mask_nodes) UNION ALL SELECT n.turn + 1, n.id, least(n.around, j.low) FROM (SELECT r.turn, r.id, least(r.low, min(s.low)) AS around FROM mask_label r JOIN mask_nodes e ON e.src = r.id JOIN mask_label s ON s.id = e.dst GROUP BY r.turn, r.id, r.low) n JOIN mask_label j ON j.id = n.around WHERE n.turn < 30",
+    "mask_part": "SELECT id, low FROM mask_label WHERE turn = 30",
     "near_lines": "SELECT src, dst FROM planar2 WHERE distance <= 0.05",
     "line_reach (id, low) USING KEY (id)": "SELECT DISTINCT src, src FROM near_lines UNION SELECT e.dst, min(r.low) FROM line_reach r JOIN near_lines e ON e.src = r.id JOIN recurring.line_reach s ON s.id = e.dst WHERE r.low < s.low GROUP BY e.dst",
 }
 #: Relations that are used more than once and are dear to work out.
-KEPT = frozenset(("planar", "core", "cand", "occ", "votes", "direct", "fine", "s2l", "medges", "cover"))
+KEPT = frozenset(("planar", "core", "cand", "occ", "votes", "direct", "fine", "s2l", "medges", "mask_nodes", "cover"))
 
 
 def sql(query: str, *needs: str) -> str:
     """A query with the relations it needs, in the order they are defined."""
-    names = {full.split()[0]: full for full in RELATIONS}
+    names = {re.match(r"\w+", full)[0]: full for full in RELATIONS}
     wanted = set(needs)
     for name in reversed(names):
         if name in wanted:

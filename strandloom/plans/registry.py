@@ -178,12 +178,12 @@ def mask_edges(s):
     return O.mask_edges(settled(_votes(s)))
 
 
-@query()
+@query("SELECT low AS cluster_id, id >> 32 AS cam_id, id & 4294967295 AS mask_id FROM mask_part", "mask_part")
 def mask_components(s):
     return O.mask_components(O.mask_edges(settled(_votes(s))))
 
 
-@query()
+@query("SELECT DISTINCT r.low AS cluster_id, s.line3d_id AS member_id FROM mask_part r JOIN fine f ON (f.cam_id << 32) | f.mask_id = r.id JOIN s2l s ON s.cam_id = f.cam_id AND s.seg_id = f.seg_id", "mask_part", "fine", "s2l")
 def voting_line_clusters(s):
     return P.voting_pipeline(s.residuals, s.seg_mask(fine=True), s.tracks)
 
