@@ -14,16 +14,17 @@ every sentence, and back from every sentence's end, the shortest run of at least
 space do not count). Of equal runs the one in the smallest doc_id, and there the
 first, stays; every sentence that another of them covers is removed.
 
-Runs meet by hash in a window. Before that, each task settles its own repeats:
+Runs meet by hash in shards, ``SHARDS`` for each shuffle partition; every task sends each shard packed columns.
+Before that, each task settles its own repeats:
 of equal runs in a chunk only the first can be first overall, so the others are
 marked on the spot and a passage that a third of all documents hold meets once for each
-chunk, not once for each document. Runs are compared by 128-bit hashes: two of n
-different ones share theirs with a probability of n * n / 2**129.
+chunk, not once for each document. Runs are compared by 96 bits of a hash: two of n
+different ones share theirs with a probability of n * n / 2**97.
 
 Defined cases: null and empty texts have no sentences and come back as they are;
 rows with equal doc_id and equal text are copies of one document and lose the same
-sentences; other texts of that doc_id are documents of their own, ordered by a hash;
-each row with a null doc_id is a document of its own, after all others; other columns
+sentences; other texts of that doc_id are documents of their own, ordered by a hash of 31 bits;
+each row with a null doc_id is a document of its own, after all others (doc_ids are below 2**63 - 2**60); other columns
 pass through; an empty table gives an empty result.
 """
 
@@ -33,7 +34,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +49,10 @@ REACH = 3
 MOST = 20
 #: Runs that a task compares among themselves before they are sent.
 CHUNK_RUNS = 1_000_000
+SHARDS = 4
+#: Columns of packed runs: hash, more of it, document, text, first sentence, number of sentences (with SETTLED on top).
+RUN = [("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("sub", "<u4"), ("a", "<u4"), ("size", "<u2")]
+SETTLED = 1 << 15
 _CLOSING = np.zeros(256, bool)
 _CLOSING[list(b".!?,;:")] = True
 
@@ -134,23 +140,38 @@ def _repeats_within(h, g, doc, sub, a):
     return out
 
 
-def _spans(sentences: int, min_words: int):
+def _pack(columns: list[np.ndarray]) -> bytes:
+    return zstandard.compress(len(columns[0]).to_bytes(8, "little") + b"".join(np.ascontiguousarray(c).astype(t).tobytes() for c, (_, t) in zip(columns, RUN)), 1)
+
+
+def _unpack(packed: bytes) -> list[np.ndarray]:
+    raw = zstandard.decompress(packed)
+    n, at, out = int.from_bytes(raw[:8], "little"), 8, []
+    for _, kind in RUN:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def _spans(sentences: int, min_words: int, shards: int):
     def run(batches):
         held, size = [], 0
 
         def rows():
             h, g, doc, sub, a, b = (np.concatenate(x) for x in zip(*held))
-            # a run that is known to repeat need meet nobody: its place is negative, and its document, text and place deal it out
+            # a run that is known to repeat needs to meet nobody, but comes along
             again = _repeats_within(h, g, doc, sub, a)
-            place = a << 32 | b
-            h, g = np.where(again, doc, h.view(np.int64)), np.where(again, sub ^ place, g.view(np.int64))
-            place = np.where(again, ~place, place)
-            for lo in range(0, len(h), 100_000):
-                part = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in (h, g, doc, sub, place)], ["meet", "meet_too", "doc", "sub", "place"])
+            columns = [h, g & np.uint64(0xFFFFFFFF), doc, sub, a, (b - a) | again * SETTLED]
+            shard = (((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(shard, kind="stable")
+            ends = np.flatnonzero(np.diff(shard[order], append=-1)) + 1
+            for lo in range(0, len(ends), 64):
+                some = list(zip([0, *ends[:-1]][lo : lo + 64], ends[lo : lo + 64]))
+                packed = [_pack([c[order[x:y]] for c in columns]) for x, y in some]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[order[[x for x, _ in some]]]), pa.array(packed, pa.binary())], ["shard", "packed"])
 
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             subs = batch.column(1).to_numpy(zero_copy_only=False)
             for lo, _, data, offsets in slices(batch.column(2)):
                 h, g, text, a, b = Sentences(data, offsets).runs(sentences, min_words)
@@ -165,34 +186,47 @@ def _spans(sentences: int, min_words: int):
     return run
 
 
-def numbered(docs: DataFrame, keep: list[str], sub: str) -> DataFrame:
-    """The columns ``keep``, doc_id and text, with what tells rows of one doc_id apart: the text's hash, or the row's number where doc_id is null.
+def _meet(rows: pa.Table) -> pa.Table:
+    """One shard's runs that repeat one that comes before."""
+    h, g, doc, sub, a, size = (np.concatenate(x) for x in zip(*(_unpack(x.as_py()) for x in rows.column("packed"))))
+    again = size >= SETTLED
+    live = np.flatnonzero(~again)
+    live = live[np.argsort(h[live], kind="stable")]
+    near = h[live][1:] == h[live][:-1]
+    several = live[np.r_[near, False] | np.r_[False, near]]
+    again[several] = _repeats_within(h[several], g[several], doc[several], sub[several], a[several])
+    first = a[again].astype(np.int64)
+    place = first << 32 | (first + (size[again] & np.uint16(SETTLED - 1)))
+    return pa.table([pa.array(doc[again]), pa.array(sub[again].astype(np.int64)), pa.array(place)], ["doc", "sub", "place"])
+
+
+def numbered(docs: DataFrame, keep: list[str], key: str, sub: str) -> DataFrame:
+    """The columns ``keep`` and text, with a number for each doc_id and 31 bits of the text's hash; rows without a doc_id count up from 2**63 - 2**60.
 
-    Only the rows that a number names are written to a table, so it is the same number whenever they are read.
+    Only those rows are written to a table, so each has the same number whenever they are read.
     """
-    rows = docs.select(*dict.fromkeys([*keep, "doc_id", "text"]))
-    unnamed = stored(rows.where(F.col("doc_id").isNull()).withColumn(sub, F.monotonically_increasing_id()), "span-dedup")
-    return rows.where(F.col("doc_id").isNotNull()).withColumn(sub, F.xxhash64("text").bitwiseOR(F.lit(-(2**63)))).unionByName(unnamed)
+    rows = docs.select(*dict.fromkeys([*keep, "doc_id", "text"])).withColumn(key, F.col("doc_id").cast("long"))
+    unnamed = stored(rows.where(F.col(key).isNull()).withColumn(key, F.lit(int(NO_ID) - (1 << 60)) + F.monotonically_increasing_id()), "span-dedup")
+    return rows.where(F.col(key).isNotNull()).unionByName(unnamed).withColumn(sub, F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)))
 
 
-def repeated_spans(rows: DataFrame, sub: str, sentences: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(rows: DataFrame, key: str, sub: str, sentences: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, sub, place): sentence ranges, first and end in one number, that repeat a run that comes before."""
-    runs = rows.select("doc_id", sub, "text").mapInArrow(_spans(sentences, min_words), "meet long, meet_too long, doc long, sub long, place long")
-    a = F.shiftright("place", 32)
-    # a row for each chunk that has the run; the sign keeps rows that are settled apart from the others
-    runs = runs.withColumn("first", F.min(F.struct("doc", "sub", a.alias("a"))).over(Window.partitionBy("meet", "meet_too", F.col("place") < 0)))
-    again = (F.col("place") < 0) | (F.col("doc") != F.col("first.doc")) | (F.col("sub") != F.col("first.sub")) | (a != F.col("first.a"))
-    return runs.where(again).select("doc", "sub", F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place")).alias("place"))
+    if max(sentences, min_words) >= SETTLED:
+        raise ValueError("a run can be too long")
+    shards = SHARDS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = rows.select(key, sub, "text").mapInArrow(_spans(sentences, min_words, shards), "shard int, packed binary")
+    return runs.groupBy("shard").applyInArrow(_meet, "doc long, sub long, place long")
 
 
 def deduplicated(docs: DataFrame, keep: list[str], sentences: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """The columns ``keep``, with n_sentences, n_removed and clean_text, what stays of ``text``."""
     key, sub, gone = fresh(docs, "doc_key", "doc_sub", "gone")
     short_batches(docs.sparkSession)
-    source = numbered(docs, keep, sub)
+    source = numbered(docs, keep, key, sub)
     # copies of one document have the same ranges, so a set is as long as one text's
-    lost = repeated_spans(source, sub, sentences, min_words).groupBy("doc", "sub").agg(F.collect_set("place").alias("gone"))
-    rows = source.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))).join(lost.select(F.col("doc").alias(key), F.col("sub").alias(sub), F.col("gone").alias(gone)), [key, sub], "left")
+    lost = repeated_spans(source, key, sub, sentences, min_words).groupBy("doc", "sub").agg(F.collect_set("place").alias("gone"))
+    rows = source.join(lost.select(F.col("doc").alias(key), F.col("sub").alias(sub), F.col("gone").alias(gone)), [key, sub], "left")
     names = rows.columns
     at, gone_at, kept = names.index("text"), names.index(gone), [names.index(c) for c in keep]
     added = [T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("clean_text", T.StringType())]
