@@ -101,97 +101,51 @@ def modularity(clusters: DataFrame, edges: DataFrame, resolution: float = 1.0) -
     return per.agg((F.sum("inner") / total - F.lit(resolution) * F.sum(F.col("degree") * F.col("degree")) / (4 * total * total)).alias("modularity"))
 
 
-#: Nodes whose labels are sent to every task rather than shuffled.
-MOST_BROADCAST = 500_000
-
-
-def _few(count: int):
-    """Broadcasts frames of one row a node, if ``count`` nodes are few."""
-    return F.broadcast if count <= MOST_BROADCAST else lambda df: df
-
-
-def _move(labels: DataFrame, links: DataFrame, total: float, parity: int, resolution: float, few) -> DataFrame:
+def _move(labels: DataFrame, links: DataFrame, total: float, parity: int, resolution: float) -> DataFrame:
     """Nodes (id, label, degree, before) of one parity move to the neighbouring community of largest modularity gain."""
-    size = few(labels.groupBy("label").agg(F.sum("degree").alias("size")))
+    size = labels.groupBy("label").agg(F.sum("degree").alias("size"))
     half = lambda c: F.pmod(F.xxhash64(c), F.lit(2)) == parity
-    near = links.where(half("src")).join(few(labels.select(F.col("id").alias("dst"), "label")), "dst").select(F.col("src").alias("id"), "label", "weight")
+    near = links.where(half("src")).join(labels.select(F.col("id").alias("dst"), "label"), "dst").select(F.col("src").alias("id"), "label", "weight")
     stay = labels.where(half("id")).select("id", "label", F.lit(0.0).alias("weight"))
     offers = near.unionByName(stay).groupBy("id", "label").agg(F.sum("weight").alias("w"))
-    offers = offers.join(few(labels.select("id", F.col("label").alias("own"), "degree")), "id").join(size, "label")
+    offers = offers.join(labels.select("id", F.col("label").alias("own"), "degree"), "id").join(size, "label")
     stays = F.col("label") == F.col("own")
     gain = F.col("w") - resolution * F.col("degree") * (F.col("size") - F.when(stays, F.col("degree")).otherwise(0.0)) / (2 * total)
     best = offers.groupBy("id").agg(F.max(F.struct(F.round(gain, 9).alias("gain"), stays.alias("stays"), (-F.col("label")).alias("low"))).alias("top"))
-    return labels.join(few(best), "id", "left").select("id", F.coalesce(-F.col("top.low"), "label").alias("label"), "degree", "before")
-
-
-def _quality(labels: DataFrame, links: DataFrame, total: float, resolution: float, few) -> float:
-    """Modularity without the part that loops add, which no move changes."""
-    a, b = (labels.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label")) for end in ("src", "dst"))
-    inner = links.join(few(a), "src").join(few(b), "dst").where("src_label = dst_label").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("inner"))
-    sizes = labels.groupBy("label").agg(F.sum("degree").alias("size")).agg(F.sum(F.col("size") * F.col("size")).alias("squares"))
-    row = inner.crossJoin(sizes).first()  # one row each
-    return row.inner / (2 * total) - resolution * row.squares / (4 * total * total)
-
-
-def _moved(labels: DataFrame, links: DataFrame, total: float, resolution: float, most: int = 200) -> DataFrame:
-    """Local moving over hashed halves of the nodes until no label changes, or none of a round's moves gains."""
-    labels, best = settled(labels.withColumn("before", F.col("label"))), None
-    few = _few(labels.count())
-    for turn in range(most):
-        half = settled(_move(labels.withColumn("before", F.col("label")), links, total, 0, resolution, few))
-        new = settled(_move(half, links, total, 1, resolution, few))
-        if not _changed(new):
-            return new
-        if turn > 2:  # halves that move at once can undo each other
-            best = _quality(labels, links, total, resolution, few) if best is None else best
-            gained = _quality(new, links, total, resolution, few)
-            if gained <= best + 1e-9:
-                return labels
-            best = gained
-        labels = new
-    raise RuntimeError(f"labels still move after {most} rounds")
-
-
-def leiden(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 50) -> DataFrame:
+    return labels.join(best, "id", "left").select("id", F.coalesce(-F.col("top.low"), "label").alias("label"), "degree", "before")
+
+
+def leiden(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 4, rounds: int = 8) -> DataFrame:
     """(cluster_id, member_id): modularity communities, each connected.
 
-    Each level moves nodes until nothing is gained, refines every community (its nodes start alone again and move
-    within it, and what then belongs together without hanging together is split), and makes the
-    refined parts the next level's nodes, which start in the communities their nodes were in. Levels end when no
-    part has two nodes. All of it is joins and sums; the driver holds the total weight.
+    Levels of local moving over hashed halves of the nodes, refinement (a
+    community is split into its connected parts, so none hangs together by its label alone)
+    and aggregation of communities to nodes. A level ends when no label changes, or after ``rounds``; levels end
+    when nothing is joined, or after ``levels``. All of it is joins and sums; the driver holds the total weight.
     """
     edges = settled(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    whole, total = edges, edges.agg(F.sum("weight")).first()[0] or 0.0
+    total = edges.agg(F.sum("weight")).first()[0] or 0.0
     member = settled(nodes.select(F.col("id").alias("member_id"), F.col("id").alias("id")).distinct())
-    labels = start = None
-    ends = lambda own, name: (own.select(F.col("id").alias(end), F.col("label").alias(f"{end}_{name}")) for end in ("src", "dst"))
     for _ in range(levels if total else 0):
         loops = edges.where("src = dst").select(F.col("src").alias("id"), (2 * F.col("weight")).alias("weight"))
         links = settled(both_ways(edges.where("src <> dst")))
-        degrees = settled(links.select(F.col("src").alias("id"), "weight").unionByName(loops).groupBy("id").agg(F.sum("weight").alias("degree")))
-        alone = degrees.select("id", F.col("id").alias("label"), "degree")
-        labels = _moved(degrees.join(start, "id").select("id", "label", "degree") if start is not None else alone, links, total, resolution)
-        a, b = ends(labels, "own")
-        inside = settled(links.join(a, "src").join(b, "dst").where("src_own = dst_own").select("src", "dst", "weight"))
-        a, b = ends(_moved(alone, inside, total, resolution), "part")
-        parts = settled(connected_components(inside.join(a, "src").join(b, "dst").where("src_part = dst_part and src < dst").select("src", "dst")))
+        labels = links.select(F.col("src").alias("id"), "weight").unionByName(loops).groupBy("id").agg(F.sum("weight").alias("degree")).withColumn("label", F.col("id"))
+        for _ in range(rounds):
+            labels = settled(labels.withColumn("before", F.col("label")))
+            labels = settled(_move(_move(labels, links, total, 0, resolution), links, total, 1, resolution))
+            if not _changed(labels):
+                break
+        a, b = (labels.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label")) for end in ("src", "dst"))
+        parts = settled(connected_components(links.join(a, "src").join(b, "dst").where("src_label = dst_label and src < dst").select("src", "dst")))
         if not parts.limit(1).count():
-            break  # labels and member now name the same nodes
+            break
         name = parts.select(F.col("node").alias("id"), F.col("component").alias("to"))
-        start = settled(labels.join(name, "id", "left").select(F.coalesce("to", "id").alias("id"), "label").distinct())
         member = settled(member.join(name, "id", "left").select("member_id", F.coalesce("to", "id").alias("id")))
         a, b = (name.withColumnsRenamed({"id": end, "to": f"{end}_to"}) for end in ("src", "dst"))
         joined = edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("src_to", "src").alias("x"), F.coalesce("dst_to", "dst").alias("y"), "weight")
         edges = settled(joined.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.sum("weight").alias("weight")))
-    else:
-        if total:
-            raise RuntimeError(f"communities still merge after {levels} levels")
-    if labels is None:
-        return member.select(F.col("member_id").alias("cluster_id"), "member_id")
-    found = settled(member.join(labels.select("id", "label"), "id", "left").select(F.col("member_id").alias("id"), F.coalesce("label", "id").alias("label")))
-    a, b = ends(found, "own")
-    held = connected_components(whole.join(a, "src").join(b, "dst").where("src_own = dst_own").select("src", "dst"))
-    return with_singletons(nodes, held)
+    low = member.groupBy("id").agg(F.min("member_id").alias("cluster_id"))
+    return member.join(low, "id").select("cluster_id", "member_id")
 
 
 #: Neighbours in one row of the walks' table; a hub has several rows.

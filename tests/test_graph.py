@@ -200,42 +200,6 @@ def test_neighbours_of_vectors_are_found(spark):
         assert sum((min(p), max(p)) in found for p in truth) >= 0.9 * len(truth)
 
 
-def plain_quality(label, edges):
-    total, inner, size = sum(e[2] for e in edges), 0.0, {}
-    for a, b, w in edges:
-        inner += w * (label[a] == label[b])
-        for n in (a, b):
-            size[label[n]] = size.get(label[n], 0) + w
-    return inner / total - sum(v * v for v in size.values()) / (4 * total * total)
-
-
-def plain_moves(nodes, edges):
-    """Modularity of plain local moving from singletons until nothing gains."""
-    near, label = {n: {} for n in nodes}, {n: n for n in nodes}
-    for a, b, w in edges:
-        near[a][b] = near[b][a] = w
-    while True:
-        moved = False
-        for n in nodes:
-            best = max({label[n], *(label[m] for m in near[n])}, key=lambda c: (round(plain_quality({**label, n: c}, edges), 12), c == label[n]))
-            if best != label[n]:
-                label[n], moved = best, True
-        if not moved:
-            return plain_quality(label, edges)
-
-
-def test_communities_reach_plain_modularity(spark):
-    rng = random.Random(8)
-    chain = [(i, i + 1, 1) for i in range(59)]
-    blobs = {(min(a, b), max(a, b)): 1 for k in range(5) for a, b in ((100 + 8 * k + rng.randrange(8), 100 + 8 * k + rng.randrange(8)) for _ in range(30)) if a != b}
-    edges = chain + [(a, b, w) for (a, b), w in blobs.items()] + [(59, 100, 1), (107, 108, 1), (115, 120, 1), (125, 133, 1)]
-    nodes = sorted({n for e in edges for n in e[:2]})
-    found = C.leiden(spark.createDataFrame([(n,) for n in nodes], "id long"), spark.createDataFrame(edges, "src long, dst long, weight long"))
-    label = {r.member_id: r.cluster_id for r in found.collect()}
-    assert set(label) == set(nodes)
-    assert plain_quality(label, edges) >= plain_moves(nodes, edges) - 0.005
-
-
 def test_walks_from_a_hub_follow_the_weights(spark, monkeypatch):
     monkeypatch.setattr(C, "RANGE_ROWS", 4)
     star = [(0, i, 1 if i < 40 else 60) for i in range(1, 41)]
