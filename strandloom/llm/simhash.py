@@ -23,6 +23,11 @@ rows meet in equal and neighbouring cells only.
 No link between classes is lost, and no bucket emits its pairs; buckets, classes and equal
 fingerprints of many rows are dealt to several tasks.
 
+``deduplicated`` is for similar texts, not for near fingerprints: at a similarity of 0.8 over five-word shingles
+two fingerprints differ in ten bits on average, too many for block keys. There candidates share a key of
+smallest hashes, the pivot tables and fingerprints discard with a radius of ``WIDE_RADIUS``, and the texts' shingle sets
+decide.
+
 Defined cases: null and empty texts have no words and fingerprint zero, which
 links like any other; a text of fewer words than a shingle is one shingle; a
 null doc_id is no candidate for the smallest id of a class (a class of null ids
@@ -43,8 +48,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from ..operators.joins import dealt_join
-from .common import fresh, settled, short_batches, stored, table, without
+from ..operators.joins import HOT_ROWS, dealt_join
+from .common import MOST_BROADCAST_ROWS, fresh, mixed, settled, short_batches, stored, table, without
 
 RADIUS = 4
 SHINGLE = 4
@@ -54,17 +59,26 @@ PIVOTS = [int(x) for x in np.random.default_rng(7).integers(-(2**63), 2**63, 16,
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str | None) -> int:
-    """The fingerprint as a signed 64-bit number."""
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The hash of every shingle, repeats included; a text of fewer words is one shingle, one without words has none."""
     words = (text or "").encode().translate(_LOWER).split()  # bytes split at ASCII white space
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     first = np.concatenate([[0], ends[:-1] + 1])
-    k = max(1, len(words) - SHINGLE + 1)
-    last = ends[SHINGLE - 1 :] if len(words) >= SHINGLE else ends[-1:]
-    hashes = np.fromiter((hashed(joined[a:b], HASH_SEED) for a, b in zip(first[:k].tolist(), last.tolist())), np.uint64, k)
+    k = max(1, len(words) - size + 1)
+    last = ends[size - 1 :] if len(words) >= size else ends[-1:]
+    return np.fromiter((hashed(joined[a:b], HASH_SEED) for a, b in zip(first[:k].tolist(), last.tolist())), np.uint64, k)
+
+
+def fingerprint(text: str | None) -> int:
+    return majority_bits(shingle_hashes(text))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed 64-bit number."""
+    k = len(hashes)
     set_bits = np.zeros(64, np.int64)
     for lo in range(0, k, 1 << 16):
         set_bits += np.unpackbits(hashes[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -156,19 +170,129 @@ def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt_join(named, second, ["class"], total, how="left").select("fp", F.coalesce("joined", "class").alias("class"))
 
 
+#: Similar texts: words in a shingle, least share of shingles in common, and most differing bits that a pair may have to be
+#: looked at (two texts that share just 0.8 of their shingles differ in 10 bits on average, in over 20 once in some thousands).
+WIDE_SHINGLE, SIMILAR, WIDE_RADIUS = 5, 0.8, 20
+#: Of the smallest hashes under each of BANDS * BAND_ROWS orders, BAND_ROWS make a key.
+BANDS, BAND_ROWS = 18, 5
+_TURN = np.random.default_rng(13).integers(0, 2**63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """Keys that two sets share with a probability of 1 - (1 - similarity ** BAND_ROWS) ** BANDS for one at least: 0.999 at 0.8."""
+    least = np.full(BANDS * BAND_ROWS, np.uint64(2**64 - 1))
+    for lo in range(0, len(shingles), 4096):
+        np.minimum(least, mixed(shingles[lo : lo + 4096, None] * _TURN[0] + _TURN[1]).min(0), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) ^ row)
+    return key.view(np.int64)
+
+
+def sketches(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` with the shingle set's 128-bit hash (h, g), its size n, fingerprint fp and band keys."""
+    source = docs.select(*keep, "text")
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for x in batch.column(len(keep)):
+                own = np.unique(shingle_hashes(x.as_py(), WIDE_SHINGLE))
+                whole = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
+                rows.append((*whole.tolist(), len(own), majority_bits(own), band_keys(own) if len(own) else []))
+            cells = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(c, pa.int64()) for c in cells[:4]), pa.array(cells[4], pa.list_(pa.int64()))], [*keep, "h", "g", "n", "fp", "bands"])
+
+    added = [T.StructField(c, T.LongType()) for c in ("h", "g", "n", "fp")] + [T.StructField("bands", T.ArrayType(T.LongType()))]
+    return source.mapInArrow(run, T.StructType([*(source.schema[c] for c in keep), *added]))
+
+
+def _similar(batches):
+    """Rows come by a, with a's own text first: the pairs whose shingle sets are similar."""
+    current, own = None, None
+    for batch in batches:
+        src, dst = [], []
+        for a, copy, b, text in zip(*(batch.column(i) for i in range(4))):
+            a, copy, b = a.as_py(), copy.as_py(), b.as_py()
+            found = np.unique(shingle_hashes(text.as_py(), WIDE_SHINGLE))
+            if b is None:
+                current, own = (a, copy), found
+                continue
+            if current != (a, copy):
+                raise RuntimeError("a text without the one it is compared with")
+            both = len(np.intersect1d(own, found, assume_unique=True))
+            if both >= SIMILAR * (len(own) + len(found) - both):
+                src.append(a)
+                dst.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+
+def similar_pairs(texts: DataFrame, rid: str, pairs: DataFrame) -> DataFrame:
+    """(src, dst): the pairs (a, b) of row numbers whose texts are similar; the texts of a frequent a's partners are dealt to copies of a."""
+    sizes = settled(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HOT_ROWS).cast("int").alias("copies")))
+    dealt = dealt_join(pairs, sizes, ["a"], pairs.count()).select(F.col("b").alias("rid"), "a", F.pmod(F.xxhash64("b"), "copies").cast("int").alias("copy"), "b")
+    heads = sizes.select(F.col("a").alias("rid"), "a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("b"))
+    asked = settled(dealt.unionByName(heads))
+    asked = F.broadcast(asked) if asked.count() <= MOST_BROADCAST_ROWS else asked
+    rows = texts.select(F.col(rid).alias("rid"), "text").join(asked, "rid").select("a", "copy", "b", "text")
+    return settled(rows.repartition("a", "copy").sortWithinPartitions("a", "copy", F.col("b").isNotNull()).mapInArrow(_similar, "src long, dst long"))
+
+
+def _may_be_similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) that sizes, pivot tables and fingerprints do not rule out; an a can have many partners, so its pairs are dealt out."""
+    pairs = settled(pairs)
+    first, second = (sets.select(F.col("rid").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", "fp", "t0", "t1"))) for side in "ab")
+    both = dealt_join(pairs, first, ["a"], pairs.count(), pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))).join(second, "b")
+    sizes = F.least("a_n", "b_n") >= SIMILAR * F.greatest("a_n", "b_n")
+    return settled(both.where(sizes & near("a_", "b_", WIDE_RADIUS)).select("a", "b"))
+
+
+def similar_classes(texts: DataFrame, sets: DataFrame, rid: str) -> DataFrame:
+    """(rid, class) of the rows of ``sets`` (rid, n, fp, bands; one for each different shingle set) that have a similar one.
+
+    Candidates share a band key. As in ``classes``, a bucket's rows are first compared with one leader, and then
+    those outside its largest class with the rows of other classes. Pivot tables and fingerprints
+    discard, and the shingle sets of the texts decide.
+    """
+    t0, t1 = pivot_table(F.col("fp"))
+    sets = settled(sets.select("rid", "n", "fp", "bands", t0.alias("t0"), t1.alias("t1")))
+    total = sets.count()
+    keyed = sets.select("rid", F.explode("bands").alias("key"))
+    leaders = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("rid").alias("a")).where("rows > 1")
+    shared = settled(dealt_join(keyed, leaders.select("key", "a"), ["key"], total * BANDS, leaders.select("key", F.col("rows").alias("n"))))
+    pairs = shared.where(F.col("rid") != F.col("a")).select("a", F.col("rid").alias("b")).distinct()
+    links = similar_pairs(texts, rid, _may_be_similar(pairs, sets))
+    first = settled(connected_components(links)).withColumnsRenamed({"node": "rid", "component": "class"})
+    rows = settled(shared.select("key", "rid").join(first, "rid", "left").withColumn("class", F.coalesce("class", "rid")))
+    held = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("rows"))
+    main = held.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max_by("class", F.struct("rows", "class")).alias("main"), F.sum("rows").alias("n")).where("classes > 1")
+    open_rows = settled(dealt_join(rows, main.select("key", "main"), ["key"], total * BANDS, main.select("key", "n")))
+    outside = open_rows.where(F.col("class") != F.col("main")).select("key", F.col("rid").alias("o"), F.col("class").alias("o_class"))
+    others = dealt_join(open_rows.drop("main"), outside, ["key"], open_rows.count()).where(F.col("class") != F.col("o_class"))
+    others = others.select(F.least("rid", "o").alias("a"), F.greatest("rid", "o").alias("b")).distinct()
+    more = similar_pairs(texts, rid, _may_be_similar(others, sets))
+    return connected_components(links.unionByName(more)).withColumnsRenamed({"node": "rid", "component": "class"})
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each class: that with the smallest doc_id (null last), the first of repeated rows.
+    """One document of each class of similar texts (five-word shingles, 0.8 of them in common, directly or by way of others).
 
+    Stays: the smallest doc_id (null last), the first of repeated rows. Texts without words are one class.
     Texts go into the tasks' Python but not out of it: rows are numbered, and the numbers of the others leave.
     """
     (rid,) = fresh(docs, "row_number")
     short_batches(docs.sparkSession)
     kept = stored(docs.withColumn(rid, F.monotonically_increasing_id()), "simhash")
-    thin = with_fingerprints(kept.select(F.col(rid).alias("rid"), "doc_id", "text"), ["rid", "doc_id"], "fp")
-    thin = settled(thin.select("fp", F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "rid").alias("best")))
-    prints = settled(thin.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("best").alias("best")))
-    stays = prints.join(classes(prints.select("fp", "n")), "fp").groupBy("class").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))
-    gone = thin.select(F.col("best.rid").alias("rid")).join(stays, "rid", "left_anti").select(F.col("rid").alias(rid))
+    found = settled(sketches(kept.select(F.col(rid).alias("rid"), "doc_id", "text"), ["rid", "doc_id"]))
+    best = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "rid")
+    sets = settled(found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(best.alias("best"), "n", "fp", "bands")).alias("own")).select("h", "g", "own.*", "rows"))
+    sets = sets.withColumn("rid", F.col("best.rid"))
+    classes_ = settled(similar_classes(kept, sets, rid))
+    whole = sets.select("rid", "best").join(classes_, "rid")
+    stays = whole.groupBy("class").agg(F.min("best").alias("stays"))
+    beaten = dealt_join(whole, stays, ["class"], sets.count()).where(F.col("best") != F.col("stays")).select("rid")
+    first = sets.select("rid").join(beaten, "rid", "left_anti")
+    gone = found.select("rid").join(first, "rid", "left_anti").select(F.col("rid").alias(rid))
     return without(kept, gone, rid).select(*docs.columns)
 
 

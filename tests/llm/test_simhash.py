@@ -82,3 +82,38 @@ def test_one_document_of_each_group_stays(spark):
     assert out.columns == df.columns
     assert sorted((r.doc_id for r in out.collect()), key=repr) == [1, 3, 8]
     assert S.deduplicated(df.limit(0)).collect() == []
+
+
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_similar(texts):
+    """Lowest index of each text's class: shingle sets linked at a similarity of 0.8 or more."""
+    sets, low = [shingle_set(t) for t in texts], list(range(len(texts)))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    while True:
+        before = list(low)
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+        if low == before:
+            return low
+
+
+def test_one_text_of_each_similar_class_stays(spark, monkeypatch):
+    monkeypatch.setattr("strandloom.operators.joins.HOT_ROWS", 15)
+    monkeypatch.setattr(S, "HOT_ROWS", 15)
+    rng, texts = random.Random(11), [None, "", "one two", "One two", "one two three"]
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((12, 60, 300)))]
+        for _ in range(rng.choice((1, 3, 40))):
+            own = list(words)
+            for _ in range(int(len(own) * rng.choice((0, 0.005, 0.01, 0.03, 0.1)))):
+                own[rng.randrange(len(own))] = f"v{rng.randrange(5000)}"
+            texts.append(" ".join(own))
+            words = own if rng.random() < 0.1 else words
+    df = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, fp string, rid int")
+    low = brute_similar(texts)
+    assert {r.doc_id for r in S.deduplicated(df).collect()} == set(low)
+    assert 12 < len(set(low)) < len(texts) - 20
