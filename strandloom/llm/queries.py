@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import OP3_SQL, op3_decontamination
+from .filter_audit import OP12_SQL, op12_filter_audit
+from .hard_negatives import OP11_SQL, op11_hard_negatives
 from .html_text import op7_html_text
+from .lattice import op13_lattice_dedup
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import OP9_SQL, op9_source_mix
 from .quality_classifier import op4_quality_classifier
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_warc_archive": op8_warc_archive,
     "op9_source_mix": op9_source_mix,
     "op10_simhash_pivots": op10_simhash_pivots,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_lattice_dedup": op13_lattice_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +37,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": OP6_SQL,
     "op8_warc_archive": OP8_SQL,
     "op9_source_mix": OP9_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
