@@ -90,6 +90,27 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
+def keyed(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of one key at a time, from batches that come sorted by whole-number keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in own])
+        new[0] = bool(held) and any(x[0] != held[-1].column(k)[-1].as_py() for x, k in zip(own, keys))
+        at = 0
+        for edge in np.flatnonzero(new).tolist():
+            if edge > at:
+                held.append(batch.slice(at, edge - at))
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, at = [], edge
+        held.append(batch.slice(at))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

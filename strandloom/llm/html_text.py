@@ -57,15 +57,21 @@ NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 PART = re.compile(r"[A-Za-z]+")
 
 
-def _tag_end(page: str, at: int) -> int:
-    """Where the tag that opens before ``at`` ends: the next > outside quotes, or else the next one."""
-    i = at
-    while m := TAG_MARK.search(page, i):
+def _tag_end(page: str, at: int, lost: set[int]) -> int:
+    """Where the tag that opens before ``at`` ends: the next > outside quotes, or else the next one.
+
+    ``lost`` holds the quotes, read as opening ones, from which a scan has found no end; one that reaches such a
+    quote has none either, so no part of a page is scanned more than once for nothing.
+    """
+    i, tried = at, []
+    while (m := TAG_MARK.search(page, i)) and m.start() not in lost:
         if m[0] == ">":
             return m.start()
+        tried.append(m.start())
         i = page.find(m[0], m.end()) + 1
         if not i:
             break
+    lost.update(tried)
     return page.index(">", at)
 
 
@@ -73,6 +79,7 @@ def tokens(page: str):
     """(text, None, False, "") and ("", tag, whether it closes, attributes) in turn; comments and unread elements leave."""
     at, look, last = 0, 0, page.rfind(">")
     closing: dict[str, re.Pattern] = {}
+    lost: set[int] = set()
     while True:
         i = page.find("<", look)
         if i < 0:
@@ -85,7 +92,7 @@ def tokens(page: str):
         elif page.startswith(("<!", "<?"), i):
             end, tag = page.index(">", i) + 1, None
         elif m := TAG.match(page, i):
-            stop = _tag_end(page, m.end())
+            stop = _tag_end(page, m.end(), lost)
             end, tag = stop + 1, m[2].lower()
             if tag in UNREAD:
                 if not m[1]:

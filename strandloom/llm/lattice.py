@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from ..operators.joins import dealt_join
-from .common import mixed, settled, stored, table
+from .common import keyed, mixed, settled, stored, table
 from .hard_negatives import usable
 
 #: Least probability that two rows of just the threshold meet, neighbouring cells asked in a table, and tables in which leaders are chosen.
@@ -215,32 +215,11 @@ def _met(least: float):
         return np.minimum(ball[one[i]], ball[two[j]]), np.maximum(ball[one[i]], ball[two[j]])
 
     def run(batches):
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch])
-            held = rows if held is None else pa.concat_tables([held, rows])
-            yield from flush(held, False)
-            held = tail(held)
-        if held is not None:
-            yield from flush(held, True)
-
-    def starts(rows: pa.Table) -> np.ndarray:
-        k, i, j = (rows.column(c).to_numpy() for c in ("key", "i", "j"))
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-        return np.flatnonzero(new)
-
-    def tail(rows: pa.Table) -> pa.Table:
-        return rows.slice(int(starts(rows)[-1]))
-
-    def flush(rows: pa.Table, whole: bool):
-        edges = np.append(starts(rows), len(rows))
-        found = [pairs(rows.slice(int(a), int(b - a))) for a, b in zip(edges[: -1 if whole else -2], edges[1 : None if whole else -1]) if b - a > 1]
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for rows in keyed(batches, ["key", "i", "j"]):
+            if rows.num_rows > 1:
+                a, b = pairs(rows)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 

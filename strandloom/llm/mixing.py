@@ -86,11 +86,10 @@ def _numbered(at: int, names: list[str]):
     return run
 
 
-def planned(rows: DataFrame, seed: int = SEED) -> DataFrame:
-    """Rows of (source, size, doc_id, ...) with source_size, target and copies."""
-    rows = settled(
-        rows.repartitionByRange("source", "size", "doc_id").sortWithinPartitions("source", "size", "doc_id").withColumn("part", F.spark_partition_id())
-    )
+def planned(rows: DataFrame, seed: int = SEED, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of (source, size, doc_id, ...) with source_size, target and copies; ``ties`` order rows of one doc_id."""
+    order = ["source", "size", "doc_id", *ties]
+    rows = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
     line = Window.partitionBy("source").orderBy("part")  # a row for each task and source
     starts = rows.groupBy("part", "source").agg(F.count(F.lit(1)).alias("here"))
     starts = starts.withColumn("before", F.sum("here").over(line) - F.col("here")).drop("here")
@@ -108,7 +107,8 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mixed documents, each as often as the mix takes it, with the columns of ``docs``."""
     rid, copies = fresh(docs, "row_number", "copies")
     kept = stored(docs.withColumn(rid, F.monotonically_increasing_id()), "mixing")
-    plan = planned(kept.select("source", words(F.col("text")).alias("size"), "doc_id", F.col(rid).alias("rid")), seed)
+    same = [F.xxhash64("text").alias("h"), F.hash("text").alias("g")]  # rows that even these do not tell apart have one text
+    plan = planned(kept.select("source", words(F.col("text")).alias("size"), "doc_id", *same, F.col(rid).alias("rid")), seed, ("h", "g"))
     plan = plan.where("copies > 0").select(F.col("rid").alias(rid), F.col("copies").alias(copies))
     joined = kept.join(plan, rid)
     out = joined.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies))))

@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from ..operators.joins import HOT_ROWS, dealt_join
-from .common import MOST_BROADCAST_ROWS, fresh, mixed, settled, short_batches, stored, table, without
+from .common import MOST_BROADCAST_ROWS, fresh, keyed, mixed, settled, short_batches, stored, table, without
 
 RADIUS = 4
 SHINGLE = 4
@@ -251,8 +251,8 @@ def similar_classes(texts: DataFrame, sets: DataFrame, rid: str) -> DataFrame:
     """(rid, class) of the rows of ``sets`` (rid, n, fp, bands; one for each different shingle set) that have a similar one.
 
     Candidates share a band key. As in ``classes``, a bucket's rows are first compared with one leader, and then
-    those outside its largest class with the rows of other classes. Pivot tables and fingerprints
-    discard, and the shingle sets of the texts decide.
+    those outside its largest class with the rows of other classes, in blocks that no pair leaves. Pivot tables and
+    fingerprints discard, and the shingle sets of the texts decide.
     """
     t0, t1 = pivot_table(F.col("fp"))
     sets = settled(sets.select("rid", "n", "fp", "bands", t0.alias("t0"), t1.alias("t1")))
@@ -267,13 +267,98 @@ def similar_classes(texts: DataFrame, sets: DataFrame, rid: str) -> DataFrame:
     held = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("rows"))
     main = held.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max_by("class", F.struct("rows", "class")).alias("main"), F.sum("rows").alias("n")).where("classes > 1")
     open_rows = settled(dealt_join(rows, main.select("key", "main"), ["key"], total * BANDS, main.select("key", "n")))
-    outside = open_rows.where(F.col("class") != F.col("main")).select("key", F.col("rid").alias("o"), F.col("class").alias("o_class"))
-    others = dealt_join(open_rows.drop("main"), outside, ["key"], open_rows.count()).where(F.col("class") != F.col("o_class"))
-    others = others.select(F.least("rid", "o").alias("a"), F.greatest("rid", "o").alias("b")).distinct()
-    more = similar_pairs(texts, rid, _may_be_similar(others, sets))
+    more = linked_classes(texts, sets, rid, open_rows)
     return connected_components(links.unionByName(more)).withColumnsRenamed({"node": "rid", "component": "class"})
 
 
+#: Rows and shingles in one side of a block of a bucket, about.
+SIDE_ROWS, SIDE_SHINGLES = 1024, 1 << 21
+#: Pairs of a block up to which shingle sets are compared pair by pair, and columns of the table that compares all of them beyond.
+FEW_PAIRS, COLUMNS = 64, 4096
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of ``a`` has in common with each of ``b``."""
+    sizes = np.array([len(x) for x in (*a, *b)])
+    values, code = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    met = np.bincount(code, minlength=len(values)) > 1  # what one set alone has is in common with nothing
+    code, row = (np.cumsum(met) - 1)[code[met[code]]], row[met[code]]
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, int(met.sum()), COLUMNS):
+        x, y = np.searchsorted(code, (lo, lo + COLUMNS))
+        has = np.zeros((len(sizes), COLUMNS), np.float32)
+        has[row[x:y], code[x:y] - lo] = 1
+        out += has[: len(a)] @ has[len(a) :].T
+    return out
+
+
+def _linked(batches):
+    """Rows of one block of a bucket at a time: which classes of those that ask hold a text similar to one of another class.
+
+    Pivot tables and fingerprints discard first; of what is left, the shingle sets decide. No pair leaves the task,
+    only pairs of classes.
+    """
+    for rows in keyed(batches, ["key", "i", "j"]):
+        asks = rows.column("asks").to_numpy(zero_copy_only=False)
+        one, two = np.flatnonzero(asks), np.flatnonzero(~asks)
+        src = dst = np.zeros(0, np.int64)
+        if len(one) and len(two):
+            own, n, fp = (rows.column(c).to_numpy() for c in ("class", "n", "fp"))
+            t = np.concatenate([rows.column(c).to_numpy().view(np.uint8).reshape(-1, 8) for c in ("t0", "t1")], 1).astype(np.int16)
+            near = own[one][:, None] != own[two][None]
+            near &= np.minimum(n[one][:, None], n[two][None]) >= SIMILAR * np.maximum(n[one][:, None], n[two][None])
+            for c in range(t.shape[1]):
+                near &= np.abs(t[one, c][:, None] - t[two, c][None]) <= WIDE_RADIUS
+            near &= np.bitwise_count(fp[one][:, None] ^ fp[two][None]) <= WIDE_RADIUS
+            i, j = np.nonzero(near)
+            if len(i):
+                lists = rows.column("shingles").combine_chunks()
+                edges, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+                sets = lambda at: [flat[edges[x] : edges[x + 1]] for x in at]
+                if len(i) <= FEW_PAIRS:
+                    both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets(one[i]), sets(two[j]))])
+                else:
+                    both = _common(sets(one), sets(two))[i, j].astype(np.int64)
+                hit = both >= SIMILAR * (n[one[i]] + n[two[j]] - both)
+                ends = np.unique(np.stack([own[one[i[hit]]], own[two[j[hit]]]], 1), axis=0)
+                src, dst = ends[:, 0], ends[:, 1]
+        if len(src):
+            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+
+
+def with_shingles(texts: DataFrame, rid: str, rows: DataFrame) -> DataFrame:
+    """``rows`` (rid, n, fp, t0, t1) with their texts' shingle sets, as hashes."""
+    source = rows.join(texts.select(F.col(rid).alias("rid"), "text"), "rid").select("rid", "n", "fp", "t0", "t1", "text")
+
+    def run(batches):
+        for batch in batches:
+            own = [np.unique(shingle_hashes(x.as_py(), WIDE_SHINGLE)).view(np.int64) for x in batch.column(5)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(own, pa.list_(pa.int64()))], [*batch.schema.names[:5], "shingles"])
+
+    return source.mapInArrow(run, "rid long, n long, fp long, t0 long, t1 long, shingles array<long>")
+
+
+def linked_classes(texts: DataFrame, sets: DataFrame, rid: str, open_rows: DataFrame) -> DataFrame:
+    """(src, dst): classes that a similar pair connects, for buckets (key) of rows (rid, class) of several classes, the largest of them ``main``.
+
+    Rows outside the largest class meet all rows of their bucket, in blocks of bounded size.
+    """
+    facts = stored(with_shingles(texts, rid, sets.select("rid", "n", "fp", "t0", "t1").join(open_rows.select("rid").distinct(), "rid", "left_semi")), "shingles")
+    rows = open_rows.join(sets.select("rid", "n"), "rid")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / SIDE_ROWS), F.ceil(F.sum("n") / SIDE_SHINGLES)).cast("int")
+    parts = settled(rows.groupBy("key").agg(parts.alias("parts"), F.count(F.lit(1)).alias("rows")))
+    held = dealt_join(open_rows, parts.select("key", "parts"), ["key"], open_rows.count(), parts.select("key", F.col("rows").alias("n")))
+    own, every = F.pmod(F.xxhash64("rid"), "parts").cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    asks = held.where(F.col("class") != F.col("main")).withColumn("i", own).withColumn("j", every).withColumn("asks", F.lit(True))
+    homes = held.withColumn("j", own).withColumn("i", every).withColumn("asks", F.lit(False))
+    both = asks.select("key", "i", "j", "asks", "rid", "class").unionByName(homes.select("key", "i", "j", "asks", "rid", "class")).join(facts, "rid")
+    met = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_linked, "src long, dst long")
+    return settled(met.distinct())
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each class of similar texts (five-word shingles, 0.8 of them in common, directly or by way of others).
 
