@@ -1,9 +1,12 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components by alternating large-star and small-star rounds; few pairs take one task instead."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import settled
 from .joins import dealt_join
@@ -33,6 +36,28 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+#: Pairs of whole-number nodes that one task takes instead of rounds.
+TASK_PAIRS = 200_000
+
+
+def _lowest_of_all(batches):
+    """(u, v) of pairs with u > v: every node but the lowest of its component, with that."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    u, v = (np.concatenate([x[i] for x in held]) if held else np.zeros(0, np.int64) for i in (0, 1))
+    ids, code = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, low = code[: len(u)], code[len(u) :], np.arange(len(ids))
+    while True:
+        least, before = np.minimum(low[a], low[b]), low
+        low = low.copy()
+        np.minimum.at(low, before[a], least)  # the roots of both ends learn of each other
+        np.minimum.at(low, before[b], least)
+        low = low[low]
+        if (low == before).all():
+            break
+    below = low < np.arange(len(ids))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[below].astype(np.int64)), pa.array(ids[low[below]].astype(np.int64))], ["u", "v"])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) for every node of (src, dst); a component is named by its lowest node.
 
@@ -44,6 +69,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     loops = pairs.where("u = v").select("u").distinct()
     edges = settled(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _mark(edges)
+    if 0 < before[0] <= TASK_PAIRS and isinstance(edges.schema["u"].dataType, (T.LongType, T.IntegerType)):
+        kind = edges.schema["u"].dataType
+        edges = settled(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(_lowest_of_all, "u long, v long").select(F.col("u").cast(kind).alias("u"), F.col("v").cast(kind).alias("v")))
+        before = (0,)
     for _ in range(max_rounds):
         if not before[0]:
             break

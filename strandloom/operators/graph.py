@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settled
+from .communities import leiden  # noqa: F401
 from .components import connected_components
 
 
@@ -101,53 +102,6 @@ def modularity(clusters: DataFrame, edges: DataFrame, resolution: float = 1.0) -
     return per.agg((F.sum("inner") / total - F.lit(resolution) * F.sum(F.col("degree") * F.col("degree")) / (4 * total * total)).alias("modularity"))
 
 
-def _move(labels: DataFrame, links: DataFrame, total: float, parity: int, resolution: float) -> DataFrame:
-    """Nodes (id, label, degree, before) of one parity move to the neighbouring community of largest modularity gain."""
-    size = labels.groupBy("label").agg(F.sum("degree").alias("size"))
-    half = lambda c: F.pmod(F.xxhash64(c), F.lit(2)) == parity
-    near = links.where(half("src")).join(labels.select(F.col("id").alias("dst"), "label"), "dst").select(F.col("src").alias("id"), "label", "weight")
-    stay = labels.where(half("id")).select("id", "label", F.lit(0.0).alias("weight"))
-    offers = near.unionByName(stay).groupBy("id", "label").agg(F.sum("weight").alias("w"))
-    offers = offers.join(labels.select("id", F.col("label").alias("own"), "degree"), "id").join(size, "label")
-    stays = F.col("label") == F.col("own")
-    gain = F.col("w") - resolution * F.col("degree") * (F.col("size") - F.when(stays, F.col("degree")).otherwise(0.0)) / (2 * total)
-    best = offers.groupBy("id").agg(F.max(F.struct(F.round(gain, 9).alias("gain"), stays.alias("stays"), (-F.col("label")).alias("low"))).alias("top"))
-    return labels.join(best, "id", "left").select("id", F.coalesce(-F.col("top.low"), "label").alias("label"), "degree", "before")
-
-
-def leiden(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 4, rounds: int = 8) -> DataFrame:
-    """(cluster_id, member_id): modularity communities, each connected.
-
-    Levels of local moving over hashed halves of the nodes, refinement (a
-    community is split into its connected parts, so none hangs together by its label alone)
-    and aggregation of communities to nodes. A level ends when no label changes, or after ``rounds``; levels end
-    when nothing is joined, or after ``levels``. All of it is joins and sums; the driver holds the total weight.
-    """
-    edges = settled(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    total = edges.agg(F.sum("weight")).first()[0] or 0.0
-    member = settled(nodes.select(F.col("id").alias("member_id"), F.col("id").alias("id")).distinct())
-    for _ in range(levels if total else 0):
-        loops = edges.where("src = dst").select(F.col("src").alias("id"), (2 * F.col("weight")).alias("weight"))
-        links = settled(both_ways(edges.where("src <> dst")))
-        labels = links.select(F.col("src").alias("id"), "weight").unionByName(loops).groupBy("id").agg(F.sum("weight").alias("degree")).withColumn("label", F.col("id"))
-        for _ in range(rounds):
-            labels = settled(labels.withColumn("before", F.col("label")))
-            labels = settled(_move(_move(labels, links, total, 0, resolution), links, total, 1, resolution))
-            if not _changed(labels):
-                break
-        a, b = (labels.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label")) for end in ("src", "dst"))
-        parts = settled(connected_components(links.join(a, "src").join(b, "dst").where("src_label = dst_label and src < dst").select("src", "dst")))
-        if not parts.limit(1).count():
-            break
-        name = parts.select(F.col("node").alias("id"), F.col("component").alias("to"))
-        member = settled(member.join(name, "id", "left").select("member_id", F.coalesce("to", "id").alias("id")))
-        a, b = (name.withColumnsRenamed({"id": end, "to": f"{end}_to"}) for end in ("src", "dst"))
-        joined = edges.join(a, "src", "left").join(b, "dst", "left").select(F.coalesce("src_to", "src").alias("x"), F.coalesce("dst_to", "dst").alias("y"), "weight")
-        edges = settled(joined.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.sum("weight").alias("weight")))
-    low = member.groupBy("id").agg(F.min("member_id").alias("cluster_id"))
-    return member.join(low, "id").select("cluster_id", "member_id")
-
-
 #: Neighbours in one row of the walks' table; a hub has several rows.
 RANGE_ROWS = 64
 
