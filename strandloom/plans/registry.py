@@ -331,7 +331,12 @@ def core_distance(s):
     return rounded(D.core_distance(_planar(s), 3), "core")
 
 
-@query("SELECT p.src, p.dst, round(greatest(p.distance, a.core, b.core), 6) + 0.0 AS distance FROM planar p JOIN core a ON a.id = p.src JOIN core b ON b.id = p.dst", "planar", "core")
+@query(
+    "SELECT src, dst, round(greatest(distance, ca, cb), 6) + 0.0 AS distance FROM (SELECT src, dst, distance, max(core) FILTER (at_src) AS ca, max(core) FILTER (NOT at_src) AS cb FROM "
+    "(SELECT p.src, p.dst, p.distance, p.at_src, c.core FROM (SELECT *, unnest([true, false]) AS at_src FROM planar) p JOIN core c ON c.id = CASE WHEN p.at_src THEN p.src ELSE p.dst END) GROUP BY src, dst, distance) WHERE ca IS NOT NULL AND cb IS NOT NULL",
+    "planar",
+    "core",
+)
 def mutual_reachability(s):
     return rounded(D.mutual_reachability(_planar(s), 3), "distance")
 
