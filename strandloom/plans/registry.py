@@ -16,6 +16,7 @@ from ..operators import raster as R
 from ..operators import visibility as V
 from ..operators import voting as O
 from ..session import settled, shared_dir
+from ..sources import scene_files as S
 from ..sources import sparse_model as M
 from . import pipelines as P
 from .analogs import HEIGHT, WIDTH, Scene, sql
@@ -420,3 +421,27 @@ def points_text(s):
     rows = s.table("lineitem").groupBy("l_orderkey").agg(F.array_join(seen, " ").alias("track"))
     line = F.concat_ws(" ", "l_orderkey", F.lit("0.5 1.5 2.5 1 2 3 0.25"), "track")
     return M.tracks(M.read_points_text(s.spark, _text_folder(s, "points", rows.select(line.alias("value")))))
+
+
+@query("SELECT l_suppkey AS cam_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity, l_extendedprice, l_orderkey) - 1 AS INTEGER) AS pos, l_orderkey AS point3d_id, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem".replace("SELECT l_suppkey AS", "SELECT CAST(l_suppkey AS INTEGER) AS", 1))
+def images_text(s):
+    """Posed images with their features (two lines an image) written as a text model and read back."""
+    seen = F.sort_array(F.collect_list(F.struct("l_quantity", "l_extendedprice", "l_orderkey")))
+    rows = s.table("lineitem").groupBy("l_suppkey").agg(F.array_join(F.transform(seen, lambda x: F.concat_ws(" ", x["l_quantity"], x["l_extendedprice"], x["l_orderkey"])), " ").alias("seen"))
+    line = F.concat(F.concat_ws(" ", "l_suppkey", F.lit("1 0 0 0 0.5 0.25 2 1"), F.concat(F.lit("view"), "l_suppkey", F.lit(".png"))), F.lit("\n"), "seen")
+    return M.features(M.read_images_text(s.spark, _text_folder(s, "images", rows.select(line.alias("value")))))
+
+
+@query(
+    "SELECT CAST(p.first + j AS BIGINT) AS line3d_id, CAST(row_number() OVER (PARTITION BY p.part, j ORDER BY l_suppkey, l_orderkey, l_linenumber) - 1 AS INTEGER) AS proj_pos, CAST(l_suppkey AS INTEGER) AS cam_id, CAST(l_orderkey * 10 + l_linenumber AS INTEGER) AS seg_id, p.part + j / 4 AS x1 "
+    "FROM (SELECT *, unnest(range(n)) AS j FROM (SELECT part, n, sum(n) OVER (ORDER BY part) - n AS first FROM (SELECT DISTINCT l_partkey AS part, 1 + l_partkey % 3 AS n FROM lineitem))) p JOIN lineitem ON l_partkey = p.part"
+)
+def lines3d_text(s):
+    """3D lines and the residuals they share written as text and read back: a row a part, with one to three lines."""
+    seen = F.sort_array(F.collect_list(F.struct("l_suppkey", "l_orderkey", "l_linenumber")))
+    rows = s.table("lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.count(F.lit(1)).alias("m"), F.array_join(F.transform(seen, lambda x: F.concat_ws(" ", x["l_suppkey"], x["l_orderkey"] * 10 + x["l_linenumber"], F.lit("0 0 1 1"))), " ").alias("seen"))
+    n = 1 + F.col("part") % 3
+    ends = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.concat_ws(" ", F.col("part") + j / 4, F.lit("0 0 1 1 1"))), " ")
+    path = _text_folder(s, "lines", rows.orderBy("part").select(F.concat_ws(" ", n, ends, "m", "seen").alias("value")))
+    lines, residuals = S.read_lines3d(s.spark, path)
+    return residuals.join(lines.select("line3d_id", "x1"), "line3d_id").select("line3d_id", "proj_pos", "cam_id", "seg_id", "x1")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import clipped, colour
+from .text_blocks import KEY, block_lines, with_totals_before
 
 
 def read_segments(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,11 +25,14 @@ def read_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_lines3d(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(lines, residuals) of a text file of rows ``n (6 numbers) x n m (cam seg 4 numbers) x m``; the lines of a row share its residuals."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("row", "line")).where("trim(line) <> ''")
-    rows = rows.select("row", F.split(F.trim("line"), r"\s+").alias("e")).withColumn("n", F.col("e")[0].cast("int"))
-    rows = rows.withColumn("m", F.get("e", 1 + 6 * F.col("n")).cast("int"))
-    rows = rows.withColumn("first", F.sum("n").over(Window.orderBy("row")) - F.col("n"))  # one file is one task: ids run over its rows
+    """(lines, residuals) of a text file of rows ``n (6 numbers) x n m (cam seg 4 numbers) x m``; the lines of a row share its residuals.
+
+    Ids run over the rows of the file (of files in order of their names), whatever the splits.
+    """
+    rows = block_lines(spark, path, F.trim("value") != "").withColumn("e", F.split(F.trim("value"), r"\s+")).drop("value").withColumn("n", F.col("e")[0].cast("int"))
+    rows = with_totals_before(rows, F.col("n")).withColumn("m", F.get("e", 1 + 6 * F.col("n")).cast("int"))
+    # a window holds the lines of one split
+    rows = rows.withColumn("first", F.col("before") + F.sum("n").over(Window.partitionBy(*KEY).orderBy("at")) - F.col("n"))
     number = lambda i: F.get("e", i).cast("double")
     counted = lambda n: F.when(n > 0, F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1))
     lines = rows.withColumn("j", F.explode(counted(F.col("n"))))

@@ -9,10 +9,11 @@ from __future__ import annotations
 import struct
 from itertools import batched
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import base_name, pose
+from .text_blocks import block_lines, with_totals_before
 
 #: Fixed values of the public format: parameters of camera models 0 to 10, and their names.
 MODEL_PARAMETERS = (3, 4, 4, 5, 8, 8, 12, 5, 4, 5, 12)
@@ -127,14 +128,14 @@ def read_points_text(spark: SparkSession, path: str) -> DataFrame:
 
 def read_images_text(spark: SparkSession, path: str) -> DataFrame:
     """Two lines an image: the header, then its features (a line that may be empty)."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
-    order = Window.partitionBy("file").orderBy("at")
-    own = lines.where("not startswith(line, '#')").withColumn("next", F.lead("line").over(order))
+    lines = with_totals_before(block_lines(spark, path, ~F.startswith("value", F.lit("#"))), F.lit(1), "file")
+    lines = lines.select("file", (F.col("before") + F.col("at") - F.col("low")).alias("k"), F.trim("value").alias("line"))
     # headers and feature lines alternate from the first line that is not blank
-    own = own.withColumn("started", F.max((F.trim("line") != "").cast("int")).over(order)).where("started = 1")
-    own = own.withColumn("k", F.row_number().over(order)).where("k % 2 = 1 and trim(line) <> ''")
-    e, f = F.split(F.trim("line"), r"\s+"), F.split(F.trim(F.coalesce("next", F.lit(""))), r"\s+")
-    own = own.select(e.alias("e"), F.when(F.trim(F.coalesce("next", F.lit(""))) == "", F.array().cast("array<string>")).otherwise(f).alias("f"))
+    begin = lines.where("line <> ''").groupBy("file").agg(F.min("k").alias("begin"))
+    pairs = lines.join(F.broadcast(begin), "file").where("k >= begin").withColumn("k", F.col("k") - F.col("begin"))  # a row a file
+    line = lambda i: F.max(F.when(F.col("k") % 2 == i, F.col("line")))
+    own = pairs.groupBy("file", F.floor(F.col("k") / 2).alias("pair")).agg(line(0).alias("head"), F.coalesce(line(1), F.lit("")).alias("next")).where("head <> ''")
+    own = own.select(F.split("head", r"\s+").alias("e"), F.when(F.col("next") == "", F.array().cast("array<string>")).otherwise(F.split("next", r"\s+")).alias("f"))
     e, f = F.col("e"), F.col("f")
     count = F.floor(F.size(f) / 3).cast("int")
     features = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.struct(F.get(f, 3 * i).cast("double").alias("x"), F.get(f, 3 * i + 1).cast("double").alias("y"), F.get(f, 3 * i + 2).cast("bigint").alias("point3d_id")))).otherwise(F.array().cast(FEATURES))

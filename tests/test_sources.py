@@ -47,6 +47,27 @@ def test_segments_and_lines(spark, tmp_path):
     assert sorted((r.line3d_id, r.cam_id, r.seg_id) for r in residuals.collect()) == [(0, 5, 7), (1, 5, 7)]
 
 
+def test_splits_change_no_id(spark, tmp_path):
+    rows = [f"{1 + i % 2} " + "1 2 3 4 5 6 " * (1 + i % 2) + f"1 {i} 7 0 0 1 1" for i in range(300)]
+    (tmp_path / "lines.txt").write_text("\n".join(rows) + "\n\n")
+    images = [f"{i} 1 0 0 0 0 0 0 1 n{i}.png\n" + " ".join(f"{j} {i} {j}" for j in range(i % 4)) for i in range(300)]
+    (tmp_path / "images.txt").write_text("# a\n\n# b\n" + "\n".join(images[:150]) + "\n# c\n" + "\n".join(images[150:]))
+    got = []
+    for size in ("128m", "200"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            lines, residuals = S.read_lines3d(spark, f"file://{tmp_path}/lines.txt")
+            pictures = M.read_images_text(spark, f"file://{tmp_path}/images.txt")
+            assert (spark.read.text(f"file://{tmp_path}/lines.txt").rdd.getNumPartitions() > 40) == (size == "200")
+            got.append([sorted(map(tuple, df.collect())) for df in (lines, residuals, pictures.select("image_id", "name", "features"))])
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got[0] == got[1]
+    lines, residuals, pictures = got[0]
+    assert [r[0] for r in lines] == list(range(450)) and [(r[0], r[2]) for r in residuals] == [(k, i) for k, i in enumerate(i for i in range(300) for _ in range(1 + i % 2))]
+    assert [(i, name, len(f)) for i, name, f in pictures] == [(i, f"n{i}.png", i % 4) for i in range(300)]
+
+
 def filtered_png(values, kind):
     """A 16-bit PNG whose lines use one filter."""
     own = np.asarray(values).astype(">u2").view(np.uint8).reshape(len(values), -1).astype(int)
