@@ -102,28 +102,41 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return _binary(spark, path, _points, POINTS)
 
 
-def _records(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).select(F.trim("value").alias("value")).where("value <> '' and not startswith(value, '#')")
-    return lines.select(F.split("value", r"\s+").alias("e"))
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(F.trim("value").alias("value")).where("value <> '' and not startswith(value, '#')")
 
 
 def _numbers(values, kind: str):
     return F.transform(values, lambda v: v.cast(kind))
 
 
+def _tuples(line: str, skipped: int, kind: str):
+    """The words of a line after the first few as tuples of the array type ``kind``; an unfinished tuple is left out.
+
+    The line is split once for all of its tuples: it may hold many thousands.
+    """
+    fields = [part.split(": ") for part in kind.removeprefix("array<struct<").removesuffix(">>").split(", ")]
+    wide = len(fields)
+
+    def made(words):
+        count = F.floor((F.size(words) - skipped) / wide).cast("int")
+        tuples = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.struct(*(F.get(words, skipped + wide * i + k).cast(t).alias(n) for k, (n, t) in enumerate(fields))))
+        return F.when(count > 0, tuples).otherwise(F.array().cast(kind))
+
+    return F.transform(F.array(F.split(F.col(line), r"\s+")), made)[0]
+
+
 def read_intrinsics_text(spark: SparkSession, path: str) -> DataFrame:
     e = F.col("e")
+    lines = _lines(spark, path).select(F.split("value", r"\s+").alias("e"))
     rest = F.when(F.size(e) > 4, F.slice(e, F.lit(5), F.size(e) - 4)).otherwise(F.array().cast("array<string>"))
-    return _records(spark, path).select(e[0].cast("int").alias("camera_id"), e[1].alias("model"), e[2].cast("bigint").alias("width"), e[3].cast("bigint").alias("height"), _numbers(rest, "double").alias("params"))
+    return lines.select(e[0].cast("int").alias("camera_id"), e[1].alias("model"), e[2].cast("bigint").alias("width"), e[3].cast("bigint").alias("height"), _numbers(rest, "double").alias("params"))
 
 
 def read_points_text(spark: SparkSession, path: str) -> DataFrame:
     e = F.col("e")
-    pairs = F.floor((F.size(e) - 8) / 2).cast("int")
-    track = F.when(pairs > 0, F.transform(F.sequence(F.lit(0), F.greatest(pairs, F.lit(1)) - 1), lambda i: F.struct(F.get(e, 8 + 2 * i).cast("int").alias("image_id"), F.get(e, 9 + 2 * i).cast("int").alias("point2d_idx")))).otherwise(F.array().cast(TRACK))
-    return _records(spark, path).select(
-        e[0].cast("bigint").alias("point3d_id"), _numbers(F.slice(e, 2, 3), "double").alias("xyz"), _numbers(F.slice(e, 5, 3), "int").alias("rgb"), e[7].cast("double").alias("error"), track.alias("track")
-    )
+    lines = _lines(spark, path).select("value", F.split("value", r"\s+", 9).alias("e"))
+    return lines.select(e[0].cast("bigint").alias("point3d_id"), _numbers(F.slice(e, 2, 3), "double").alias("xyz"), _numbers(F.slice(e, 5, 3), "int").alias("rgb"), e[7].cast("double").alias("error"), _tuples("value", 8, TRACK).alias("track"))
 
 
 def read_images_text(spark: SparkSession, path: str) -> DataFrame:
@@ -135,11 +148,9 @@ def read_images_text(spark: SparkSession, path: str) -> DataFrame:
     pairs = lines.join(F.broadcast(begin), "file").where("k >= begin").withColumn("k", F.col("k") - F.col("begin"))  # a row a file
     line = lambda i: F.max(F.when(F.col("k") % 2 == i, F.col("line")))
     own = pairs.groupBy("file", F.floor(F.col("k") / 2).alias("pair")).agg(line(0).alias("head"), F.coalesce(line(1), F.lit("")).alias("next")).where("head <> ''")
-    own = own.select(F.split("head", r"\s+").alias("e"), F.when(F.col("next") == "", F.array().cast("array<string>")).otherwise(F.split("next", r"\s+")).alias("f"))
-    e, f = F.col("e"), F.col("f")
-    count = F.floor(F.size(f) / 3).cast("int")
-    features = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.struct(F.get(f, 3 * i).cast("double").alias("x"), F.get(f, 3 * i + 1).cast("double").alias("y"), F.get(f, 3 * i + 2).cast("bigint").alias("point3d_id")))).otherwise(F.array().cast(FEATURES))
-    return own.select(e[0].cast("int").alias("image_id"), _numbers(F.slice(e, 2, 4), "double").alias("qvec"), _numbers(F.slice(e, 6, 3), "double").alias("tvec"), e[8].cast("int").alias("camera_id"), e[9].alias("name"), features.alias("features"))
+    e = F.col("e")
+    own = own.select(F.split("head", r"\s+").alias("e"), _tuples("next", 0, FEATURES).alias("features"))
+    return own.select(e[0].cast("int").alias("image_id"), _numbers(F.slice(e, 2, 4), "double").alias("qvec"), _numbers(F.slice(e, 6, 3), "double").alias("tvec"), e[8].cast("int").alias("camera_id"), e[9].alias("name"), "features")
 
 
 def cameras(images: DataFrame, intrinsics: DataFrame, scale: float = 1.0) -> DataFrame:
