@@ -149,8 +149,16 @@ RELATIONS |= {
     "near_lines": "SELECT src, dst FROM planar2 WHERE distance <= 0.05",
     "line_reach (id, low) USING KEY (id)": "SELECT DISTINCT src, src FROM near_lines UNION SELECT e.dst, min(r.low) FROM line_reach r JOIN near_lines e ON e.src = r.id JOIN recurring.line_reach s ON s.id = e.dst WHERE r.low < s.low GROUP BY e.dst",
 }
+RELATIONS |= {
+    "seg_owner": "SELECT cam_id, seg_id, mask_id FROM (SELECT *, row_number() OVER (PARTITION BY cam_id, seg_id ORDER BY n_px DESC, mask_id) AS k FROM onmask WHERE mask_id <> -1) WHERE k = 1",
+    # around each mask, one pixel wider than its box: the pixels that a walk from the corner reaches by sides without touching the mask
+    "around_mask": "SELECT cam_id, mask_id, min(row) - 1 AS top, max(row) + 1 AS bottom, min(col) - 1 AS low, max(col) + 1 AS high FROM cover GROUP BY 1, 2",
+    "free_pixels": "SELECT b.cam_id, b.mask_id, b.row, b.col, b.corner FROM (SELECT cam_id, mask_id, row, CAST(unnest(range(low, high + 1)) AS INTEGER) AS col, row = top AS corner FROM (SELECT *, CAST(unnest(range(top, bottom + 1)) AS INTEGER) AS row FROM around_mask)) b ANTI JOIN cover c ON c.cam_id = b.cam_id AND c.mask_id = b.mask_id AND c.row = b.row AND c.col = b.col",
+    "outside_walk": "SELECT cam_id, mask_id, row, col FROM free_pixels WHERE corner UNION SELECT f.cam_id, f.mask_id, f.row, f.col FROM outside_walk w, (SELECT unnest([[0, 1], [1, 0], [0, -1], [-1, 0]]) AS d) JOIN free_pixels f ON f.cam_id = w.cam_id AND f.mask_id = w.mask_id AND f.row = w.row + d[1] AND f.col = w.col + d[2]",
+    "edge_pixels": "SELECT DISTINCT c.cam_id, c.mask_id, c.row, c.col FROM cover c, (SELECT unnest([[0, 1], [1, 0], [0, -1], [-1, 0]]) AS d) JOIN outside_walk w ON w.cam_id = c.cam_id AND w.mask_id = c.mask_id AND w.row = c.row + d[1] AND w.col = c.col + d[2]",
+}
 #: Relations that are used more than once and are dear to work out.
-KEPT = frozenset(("planar", "core", "cand", "occ", "votes", "direct", "fine", "s2l", "medges", "mask_nodes", "cover"))
+KEPT = frozenset(("planar", "core", "cand", "occ", "votes", "direct", "fine", "s2l", "medges", "mask_nodes", "cover", "seg_owner", "free_pixels"))
 
 
 def sql(query: str, *needs: str) -> str:

@@ -12,6 +12,7 @@ from ..functions import geometry as G
 from ..operators import association as A
 from ..operators import density as D
 from ..operators import graph as C
+from ..operators import overlay as K
 from ..operators import raster as R
 from ..operators import visibility as V
 from ..operators import voting as O
@@ -445,3 +446,45 @@ def lines3d_text(s):
     path = _text_folder(s, "lines", rows.orderBy("part").select(F.concat_ws(" ", n, ends, "m", "seen").alias("value")))
     lines, residuals = S.read_lines3d(s.spark, path)
     return residuals.join(lines.select("line3d_id", "x1"), "line3d_id").select("line3d_id", "proj_pos", "cam_id", "seg_id", "x1")
+
+
+_CANVAS = "(SELECT DISTINCT cam_id, row, col FROM (SELECT DISTINCT CAST(label AS BIGINT) AS cam_id FROM emb), (SELECT CAST(unnest(range(48)) AS INTEGER) AS row), (SELECT CAST(unnest(range(64)) AS INTEGER) AS col))"
+
+
+def _images(s: Scene) -> DataFrame:
+    return s.segments.select("cam_id").distinct()
+
+
+@query(
+    "SELECT v.cam_id, v.row, v.col, "
+    + ", ".join(f"CASE WHEN e.row IS NOT NULL THEN 0 ELSE CAST(floor({255 * (1 - K.MASK_ALPHA)!r}::DOUBLE + coalesce(c.mask_id * {step} % {prime} + 50, 200) * 0.7::DOUBLE) AS INTEGER) END AS {name}" for name, step, prime in (("red", 37, 199), ("green", 53, 193), ("blue", 71, 191)))
+    + f" FROM {_CANVAS} v LEFT JOIN cover c USING (cam_id, row, col) LEFT JOIN (SELECT DISTINCT cam_id, row, col FROM edge_pixels) e ON e.cam_id = v.cam_id AND e.row = v.row AND e.col = v.col",
+    "emb", "cover", "edge_pixels",
+)
+def mask_overlay(s):
+    """Every image with its masks in colours and their outer outlines in black."""
+    return K.mask_overlay(R.mask_cover(s.mask_runs), _images(s), HEIGHT, WIDTH)
+
+
+@query(
+    "SELECT v.cam_id, v.row, v.col, "
+    + ", ".join(f"CAST(coalesce(t.seg_mask * {step} % {prime}, round_even({200 * (1 - K.FILL_ALPHA)!r}::DOUBLE + coalesce(f.mask_id * {step} % {prime}, 200) * 0.3::DOUBLE, 0)) AS INTEGER) AS {name}" for name, step, prime in (("red", 37, 149), ("green", 53, 139), ("blue", 71, 131)))
+    + f" FROM {_CANVAS} v LEFT JOIN (SELECT * FROM cover SEMI JOIN seg_owner o ON o.cam_id = cover.cam_id AND o.mask_id = cover.mask_id) f ON f.cam_id = v.cam_id AND f.row = v.row AND f.col = v.col "
+    "LEFT JOIN (SELECT w.cam_id, w.row, w.col, o.mask_id AS seg_mask FROM (SELECT p.cam_id, p.row + CASE WHEN steep THEN 0 ELSE more END AS row, p.col + CASE WHEN steep THEN more ELSE 0 END AS col, max(p.seg_id) AS seg_id "
+    "FROM pix p SEMI JOIN seg_owner so ON so.cam_id = p.cam_id AND so.seg_id = p.seg_id JOIN (SELECT seg_id, abs(r1 - r0) > abs(c1 - c0) AS steep FROM segs) d ON d.seg_id = p.seg_id, (SELECT unnest([0, 1]) AS more) GROUP BY 1, 2, 3) w JOIN seg_owner o ON o.cam_id = w.cam_id AND o.seg_id = w.seg_id) t ON t.cam_id = v.cam_id AND t.row = v.row AND t.col = v.col",
+    "emb", "cover", "seg_owner", "pix", "segs",
+)
+def association_overlay(s):
+    """Every image with the masks that segments lie on, and the segments in their masks' colours."""
+    own = settled(R.majority_mask(_on_masks(s), "cam_id", "seg_id", background=False))
+    return K.association_overlay(R.mask_cover(s.mask_runs), s.segments, own, _images(s), HEIGHT, WIDTH)
+
+
+@query("SELECT v.cam_id, v.row, v.col, " + ", ".join(f"CAST(coalesce(c.mask_id * {step} % {prime} + 50, 0) AS INTEGER) AS {name}" for name, step, prime in (("red", 37, 199), ("green", 53, 193), ("blue", 71, 191))) + f" FROM {_CANVAS} v LEFT JOIN cover c USING (cam_id, row, col)", "emb", "cover")
+def instance_overlay(s):
+    return K.instance_colours(R.mask_cover(s.mask_runs), _images(s), HEIGHT, WIDTH)
+
+
+@query("SELECT cam_id, count(DISTINCT mask_id) AS objects, cam_id || '_' || count(DISTINCT mask_id) || 'objs.png' AS name FROM cover GROUP BY 1", "cover")
+def overlay_names(s):
+    return K.object_names(R.mask_cover(s.mask_runs), _images(s))

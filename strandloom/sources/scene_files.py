@@ -86,16 +86,30 @@ def png_gray(raw: bytes):
     return out.view(">u2").astype(int) if size == 2 else out.astype(int)
 
 
-def gray_png(values, depth: int = 16) -> bytes:
+def _png(lines, width: int, depth: int, colour_type: int) -> bytes:
     import numpy as np
 
-    own = np.asarray(values).astype(">u2" if depth == 16 else np.uint8)
-    lines = np.concatenate([np.zeros((own.shape[0], 1), np.uint8), own.view(np.uint8).reshape(own.shape[0], -1)], 1)
+    lines = np.concatenate([np.zeros((len(lines), 1), np.uint8), lines], 1)
     part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    head = struct.pack(">IIBBBBB", own.shape[1], own.shape[0], depth, 0, 0, 0, 0)
+    head = struct.pack(">IIBBBBB", width, len(lines), depth, colour_type, 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines.tobytes())) + part(b"IEND", b"")
 
 
+def gray_png(values, depth: int = 16) -> bytes:
+    import numpy as np
+
+    own = np.asarray(values).astype(">u2" if depth == 16 else np.uint8)
+    return _png(own.view(np.uint8).reshape(own.shape[0], -1), own.shape[1], depth, 0)
+
+
+def rgb_png(values) -> bytes:
+    """An 8-bit colour PNG of an array of height, width and three channels."""
+    import numpy as np
+
+    own = np.ascontiguousarray(values, np.uint8)
+    return _png(own.reshape(own.shape[0], -1), own.shape[1], 8, 2)
+
+
 def runs_of(image, keep) -> list[tuple[int, int, int, int]]:
     """(row, c0, c1, value) of the runs whose value ``keep`` accepts."""
     import numpy as np
@@ -188,6 +202,20 @@ def write_merged_masks(runs: DataFrame, sizes: DataFrame) -> DataFrame:
     return sizes.join(runs, "img_name", "left").groupBy("img_name").applyInPandas(paint, "img_name string, png binary")
 
 
+def write_overlays(pixels: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, png): colour images of (cam_id, row, col, red, green, blue); names has (cam_id, name). A group is one image."""
+    import pandas as pd
+
+    def paint(rows: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        image = np.zeros((int(rows.row.max()) + 1, int(rows.col.max()) + 1, 3), np.uint8)
+        image[rows.row, rows.col] = rows[["red", "green", "blue"]]
+        return pd.DataFrame({"name": [rows["name"].iloc[0]], "png": [rgb_png(image)]})
+
+    return pixels.join(names.select("cam_id", F.col("name").alias("file")), "cam_id").groupBy("file").applyInPandas(lambda rows: paint(rows.rename(columns={"file": "name"})), "name string, png binary")
+
+
 def write_mask_arrays(runs: DataFrame, sizes: DataFrame) -> DataFrame:
     """(img_name, npy): int16 arrays of (img_name, mask_id, row, c0, c1) runs, background -1; sizes has (img_name, width, height)."""
     import pandas as pd
