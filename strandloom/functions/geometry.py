@@ -94,13 +94,3 @@ def colour(key: Column) -> list[Column]:
     """A stable colour for an id, each channel 50 to 255."""
     h = F.xxhash64(key)
     return [(F.pmod(F.shiftrightunsigned(h, 16 * i), F.lit(206)) + 50).cast("int") for i in range(3)]
-
-
-def coerced(v: Column) -> list[Column]:
-    """A text as whole number, else as decimal number, else as it is: three columns, one of them set."""
-    is_whole, is_number = v.rlike(r"^\s*[+-]?[0-9]+\s*$"), v.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$")
-    return [
-        F.when(is_whole, F.trim(v).try_cast("bigint")),
-        F.when(~is_whole & is_number, F.trim(v).try_cast("double")),
-        F.when(~is_whole & ~is_number, v),
-    ]

@@ -13,14 +13,19 @@ BACKGROUND = -1
 def raster_pixels(segments: DataFrame, height: int, width: int) -> DataFrame:
     """(cam_id, seg_id, row, col) of segments (cam_id, seg_id, y1, x1, y2, x2); pixels outside the image are left out.
 
-    The line takes one pixel for each step along its longer axis; the other axis
+    A segment with an unknown end has none. The line takes one pixel for each step along its longer axis; the other axis
     follows in closed form, so no step depends on the one before.
     """
     r0, c0, r1, c1 = (half_even(F.col(c)) for c in ("y1", "x1", "y2", "x2"))
     own = segments.select("cam_id", "seg_id", r0.alias("r0"), c0.alias("c0"), (r1 - r0).alias("dr"), (c1 - c0).alias("dc"))
     own = own.withColumn("n", F.greatest(F.abs("dr"), F.abs("dc"))).withColumn("minor", F.least(F.abs("dr"), F.abs("dc")))
-    own = own.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
-    k = F.when(F.col("n") == 0, 0).otherwise(F.floor((2 * F.col("minor") * F.col("i") + F.col("n")) / (2 * F.greatest("n", F.lit(1)))))
+    # only steps whose longer axis lies inside the image: a segment that reaches far out makes no more
+    tall = F.abs("dr") > F.abs("dc")
+    start, way, last = F.when(tall, F.col("r0")).otherwise(F.col("c0")), F.when(tall, F.col("dr")).otherwise(F.col("dc")), F.when(tall, height - 1).otherwise(width - 1)
+    own = own.withColumns({"low": F.greatest(F.lit(0), F.when(way > 0, -start).otherwise(start - last)), "high": F.least("n", F.when(way > 0, last - start).otherwise(start))})
+    own = own.where("low <= high").withColumn("minor", F.col("minor").cast("long")).withColumn("i", F.explode(F.sequence("low", "high")))
+    n = F.col("n").cast("long")
+    k = F.when(n == 0, 0).otherwise(F.expr("(2L * minor * i + n) div (2L * greatest(n, 1))"))
     sign = lambda c: F.when(F.col(c) > 0, 1).otherwise(-1)
     steep = F.abs("dr") > F.abs("dc")
     row = F.col("r0") + sign("dr") * F.when(steep, F.col("i")).otherwise(k)

@@ -151,6 +151,9 @@ RELATIONS |= {
 }
 RELATIONS |= {
     "seg_owner": "SELECT cam_id, seg_id, mask_id FROM (SELECT *, row_number() OVER (PARTITION BY cam_id, seg_id ORDER BY n_px DESC, mask_id) AS k FROM onmask WHERE mask_id <> -1) WHERE k = 1",
+    # half-rounds of label propagation: nodes of one parity take the label of most weight around them, ties to the smallest
+    "spread(turn, id, label)": "SELECT 0, id, id FROM nodes UNION ALL SELECT turn + 1, id, coalesce(won, label) FROM (SELECT s.turn, s.id, s.label, b.won FROM spread s LEFT JOIN "
+    "(SELECT src, min_by(label, (-w, label)) AS won FROM (SELECT l.src, o.label, sum(l.weight) AS w, any_value(o.turn) AS turn FROM links l JOIN spread o ON o.id = l.dst GROUP BY 1, 2) WHERE src % 2 = turn % 2 GROUP BY 1) b ON b.src = s.id) WHERE turn < 40",
     # around each mask, one pixel wider than its box: the pixels that a walk from the corner reaches by sides without touching the mask
     "around_mask": "SELECT cam_id, mask_id, min(row) - 1 AS top, max(row) + 1 AS bottom, min(col) - 1 AS low, max(col) + 1 AS high FROM cover GROUP BY 1, 2",
     "free_pixels": "SELECT b.cam_id, b.mask_id, b.row, b.col, b.corner FROM (SELECT cam_id, mask_id, row, CAST(unnest(range(low, high + 1)) AS INTEGER) AS col, row = top AS corner FROM (SELECT *, CAST(unnest(range(top, bottom + 1)) AS INTEGER) AS row FROM around_mask)) b ANTI JOIN cover c ON c.cam_id = b.cam_id AND c.mask_id = b.mask_id AND c.row = b.row AND c.col = b.col",
@@ -158,7 +161,7 @@ RELATIONS |= {
     "edge_pixels": "SELECT DISTINCT c.cam_id, c.mask_id, c.row, c.col FROM cover c, (SELECT unnest([[0, 1], [1, 0], [0, -1], [-1, 0]]) AS d) JOIN outside_walk w ON w.cam_id = c.cam_id AND w.mask_id = c.mask_id AND w.row = c.row + d[1] AND w.col = c.col + d[2]",
 }
 #: Relations that are used more than once and are dear to work out.
-KEPT = frozenset(("planar", "core", "cand", "occ", "votes", "direct", "fine", "s2l", "medges", "mask_nodes", "cover", "seg_owner", "free_pixels"))
+KEPT = frozenset(("planar", "core", "cand", "occ", "votes", "direct", "fine", "s2l", "medges", "mask_nodes", "cover", "seg_owner", "free_pixels", "links"))
 
 
 def sql(query: str, *needs: str) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.values import coerced, leaves
 from ..operators import association as A
 from ..operators import density as D
 from ..operators import graph as C
@@ -360,11 +361,11 @@ def partition_modularity(s):
 
 @query("SELECT event_id, CAST(CASE WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN v END AS BIGINT) AS whole, CAST(CASE WHEN NOT regexp_full_match(v, '[+-]?[0-9]+') AND regexp_full_match(v, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN v END AS DOUBLE) AS number, CASE WHEN NOT regexp_full_match(v, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN v END AS text FROM (SELECT event_id, json_extract_string(props, '$.k') AS v FROM events)")
 def json_coerce(s):
-    whole, number, text = G.coerced(F.get_json_object("props", "$.k"))
+    whole, number, text = coerced(F.get_json_object("props", "$.k"))
     return s.table("events").select("event_id", whole.alias("whole"), number.alias("number"), text.alias("text"))
 
 
-@query()
+@query("SELECT label AS cluster_id, id AS member_id FROM spread WHERE turn = 40", "nodes", "links", "spread")
 def label_propagation_clusters(s):
     return P.whispers(_direct(s))
 
@@ -488,3 +489,15 @@ def instance_overlay(s):
 @query("SELECT cam_id, count(DISTINCT mask_id) AS objects, cam_id || '_' || count(DISTINCT mask_id) || 'objs.png' AS name FROM cover GROUP BY 1", "cover")
 def overlay_names(s):
     return K.object_names(R.mask_cover(s.mask_runs), _images(s))
+
+
+
+@query(
+    "SELECT event_id, '$.a.k' AS path, CAST(json_extract_string(props, '$.k') AS BIGINT) AS whole, CAST(NULL AS DOUBLE) AS number, CAST(NULL AS VARCHAR) AS text, CAST(NULL AS BOOLEAN) AS truth FROM events "
+    "UNION ALL SELECT event_id, '$.b[0]', user_id, NULL, NULL, NULL FROM events UNION ALL SELECT event_id, '$.b[1]', NULL, value, NULL, NULL FROM events UNION ALL SELECT event_id, '$.b[2]', NULL, NULL, event_type, NULL FROM events "
+    "UNION ALL SELECT event_id, '$.b[3]', NULL, NULL, NULL, user_id % 2 = 0 FROM events UNION ALL SELECT event_id, '$.b[4][0].c d', NULL, value, NULL, NULL FROM events UNION ALL SELECT event_id, '$.7', NULL, NULL, NULL, NULL FROM events"
+)
+def json_leaves(s):
+    """Nested objects and lists made of each event, coerced down to every leaf."""
+    parts = ['{"a": ', F.col("props"), ', "b": ["', F.col("user_id").cast("string"), '", "', F.col("value").cast("string"), '", "', F.col("event_type"), '", ', (F.col("user_id") % 2 == 0).cast("string"), ', [{"c d": ', F.col("value").cast("string"), '}, {}]], "7": null}']
+    return leaves(s.table("events").select("event_id", F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("nested")), "event_id", "nested")

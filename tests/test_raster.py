@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from strandloom.operators import raster as R
 
 
@@ -55,3 +56,28 @@ def test_majority_ties(spark):
     without = {r.seg_id: r.mask_id for r in R.majority_mask(pixels, "cam_id", "seg_id", background=False).collect()}
     with_it = {r.seg_id: r.mask_id for r in R.majority_mask(pixels, "cam_id", "seg_id", background=True).collect()}
     assert without == {1: 3, 2: 7} and with_it == {1: 3}
+
+
+def test_far_segments_make_only_pixels_inside(spark):
+    """Ends up to a thousand million pixels away; the pixels inside are those of the closed form, step by step."""
+    rng = np.random.default_rng(4)
+    ends = [tuple(float(v) for v in rng.integers(-60, 90, 4)) for _ in range(60)]
+    far = [(5.0, -1e9, 5.0, 1e9), (-1e9, -1e9, 1e9, 1e9), (1e9, 7.0, -1e9, 7.0), (3.0, 3.0, 3.0, 3.0), (-3.0, 3.0, -3.0, 3.0), (None, 1.0, 2.0, 2.0)]
+    df = spark.createDataFrame([(0, i, *e) for i, e in enumerate(ends + far)], "cam_id long, seg_id long, y1 double, x1 double, y2 double, x2 double")
+    got = {}
+    for r in R.raster_pixels(df, 20, 30).collect():
+        got.setdefault(r.seg_id, set()).add((r.row, r.col))
+    for i, (a, b, c, d) in enumerate(ends):
+        dr, dc = int(c - a), int(d - b)
+        n, m = max(abs(dr), abs(dc)), min(abs(dr), abs(dc))
+        want = set()
+        for step in range(n + 1):
+            k = (2 * m * step + n) // (2 * n) if n else 0
+            row = int(a) + (1 if dr > 0 else -1) * (step if abs(dr) > abs(dc) else k)
+            col = int(b) + (1 if dc > 0 else -1) * (k if abs(dr) > abs(dc) else step)
+            if 0 <= row < 20 and 0 <= col < 30:
+                want.add((row, col))
+        assert got.get(i, set()) == want
+    base = len(ends)
+    assert got[base] == {(5, c) for c in range(30)} and got[base + 1] == {(k, k) for k in range(20)} and got[base + 2] == {(r, 7) for r in range(20)}
+    assert got[base + 3] == {(3, 3)} and base + 4 not in got and base + 5 not in got

@@ -126,10 +126,15 @@ def test_stage_is_made_once(spark, tmp_path):
 
 
 def test_coercion(spark):
-    from strandloom.functions.geometry import coerced
+    from strandloom.functions.values import coerced, leaves
 
     df = spark.createDataFrame([("1",), ("1.5",), ("x",), (" 2 ",), (None,)], "v string").select(*(c.alias(n) for c, n in zip(coerced(F.col("v")), ("whole", "number", "text"))))
     assert [tuple(r) for r in df.collect()] == [(1, None, None), (None, 1.5, None), (None, None, "x"), (2, None, None), (None, None, None)]
+    nested = [(1, '{"1": {"x": ["2", "2.5", "b", {"": "03"}]}, "t": true, "n": null, "e": [], "f": 1.25, "i": 7}'), (2, '"9"'), (3, "no json"), (4, None), (5, '"' + "9" * 30 + '"')]
+    got = sorted(map(tuple, leaves(spark.createDataFrame(nested, "k long, j string"), "k", "j").collect()), key=str)
+    want = [(1, "$.1.x[0]", 2, None, None, None), (1, "$.1.x[1]", None, 2.5, None, None), (1, "$.1.x[2]", None, None, "b", None), (1, "$.1.x[3].", 3, None, None, None), (1, "$.f", None, 1.25, None, None)]
+    want += [(1, "$.i", 7, None, None, None), (1, "$.n", None, None, None, None), (1, "$.t", None, None, None, True), (2, "$", 9, None, None, None), (5, "$", None, None, None, None)]
+    assert got == sorted(want, key=str)
 
 
 def test_arriving_masks_are_merged_once(spark, tmp_path):
