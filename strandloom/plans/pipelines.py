@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA, Word2Vec
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import colour
 from ..operators import association, density, graph, raster, visibility, voting
+from ..operators.overlay import bright
 from ..session import settled
 
 
@@ -61,6 +63,34 @@ def drawn(clusters: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.select("cluster_id", "member_id", "x1", "y1", "z1", "x2", "y2", "z2", red.alias("red"), green.alias("green"), blue.alias("blue"))
 
 
+#: The grey of noise, and the opacity of noise and of clusters.
+NOISE_GREY, NOISE_ALPHA, CLUSTER_ALPHA = 128, 0.3, 0.7
+
+
+def projected_clusters(projected: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(line3d_id, cluster_id, x1, y1, x2, y2, red, green, blue, alpha): what a plot of lines on the ground shows; noise is cluster -1 and grey."""
+    own = projected.join(clusters.select(F.col("member_id").alias("line3d_id"), "cluster_id"), "line3d_id", "left")
+    noise = F.col("cluster_id").isNull()
+    shades = [F.when(noise, NOISE_GREY).otherwise(c).alias(n) for c, n in zip(bright(F.col("cluster_id")), ("red", "green", "blue"))]
+    return own.select("line3d_id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"), "x1", "y1", "x2", "y2", *shades, F.when(noise, NOISE_ALPHA).otherwise(CLUSTER_ALPHA).alias("alpha"))
+
+
+def plane_of_vectors(vectors: DataFrame) -> DataFrame:
+    """(id, u, v): vectors (id, v: array of doubles) on their two directions of most variance, around the mean.
+
+    The covariance is summed by Spark; the driver holds a square of the number of dimensions. The largest
+    weight of a direction is positive. A plane by neighbourhoods instead of variance has no counterpart here.
+    """
+    rows = settled(vectors.select("id", array_to_vector("v").alias("at")))
+    model = PCA(k=2, inputCol="at", outputCol="to").fit(rows)
+    mean = rows.select(Summarizer.mean(F.col("at")).alias("m")).first().m.toArray()
+    ways = model.pc.toArray()
+    ways = ways * [1 if w[abs(w).argmax()] > 0 else -1 for w in ways.T]
+    at = vector_to_array("at")
+    part = lambda k: F.aggregate(F.zip_with(at, F.array(*(F.lit(float(w)) for w in ways[:, k])), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) - float(mean @ ways[:, k])
+    return rows.select("id", part(0).alias("u"), part(1).alias("v"))
+
+
 METHODS: dict[str, Callable[..., DataFrame]] = {
     "maximum": graph.strict_clusters,
     "whispers": whispers,

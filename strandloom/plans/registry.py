@@ -501,3 +501,20 @@ def json_leaves(s):
     """Nested objects and lists made of each event, coerced down to every leaf."""
     parts = ['{"a": ', F.col("props"), ', "b": ["', F.col("user_id").cast("string"), '", "', F.col("value").cast("string"), '", "', F.col("event_type"), '", ', (F.col("user_id") % 2 == 0).cast("string"), ', [{"c d": ', F.col("value").cast("string"), '}, {}]], "7": null}']
     return leaves(s.table("events").select("event_id", F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("nested")), "event_id", "nested")
+
+
+@query(
+    "SELECT l.line3d_id, coalesce(k.cluster_id, -1) AS cluster_id, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2, "
+    + ", ".join(f"CAST(coalesce(k.cluster_id * {step} % {prime} + 50, 128) AS INTEGER) AS {name}" for name, step, prime in (("red", 37, 199), ("green", 53, 193), ("blue", 71, 191)))
+    + ", CASE WHEN k.cluster_id IS NULL THEN 0.3::DOUBLE ELSE 0.7::DOUBLE END AS alpha FROM lines3d l LEFT JOIN (SELECT cluster_id, member_id FROM clusters WHERE cluster_id IN (SELECT cluster_id FROM clusters GROUP BY 1 HAVING count(*) > 1)) k ON k.member_id = l.line3d_id",
+    "lines3d", "links", "clusters",
+)
+def projected_plot(s):
+    """Every line on the ground in the colour of its cluster; lines in none are noise."""
+    return rounded(P.projected_clusters(D.ground_projection(s.lines3d), C.larger_clusters(_clusters(s))), "x1", "y1", "x2", "y2")
+
+
+@query()
+def embedding_plane(s):
+    """Every embedding on the two directions of most variance."""
+    return rounded(P.plane_of_vectors(s.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))), "u", "v")

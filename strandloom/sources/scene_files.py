@@ -173,6 +173,25 @@ def read_black_patches(spark: SparkSession, folder: str) -> DataFrame:
     return _mask_files(spark, f"{folder}/*.png", lambda path, raw: [(path.split("/")[-1], r, a, b) for r, a, b, _ in runs_of((png_gray(raw) <= 127).astype(int), lambda v: v == 1)], "file string, row int, c0 int, c1 int")
 
 
+def read_labels(spark: SparkSession, path: str, lines: DataFrame | None = None) -> DataFrame:
+    """(line3d_id, label) of a saved array of labels in order of line ids, or of a Parquet folder with these columns; -1 is noise.
+
+    With ``lines``, a label for a line that is not there, or a line without label, is an error.
+    """
+
+    def decode(_, raw):
+        import numpy as np
+
+        return enumerate(np.load(io.BytesIO(raw), allow_pickle=False).astype(int).tolist())
+
+    labels = _mask_files(spark, path, decode, "line3d_id long, label long") if path.endswith(".npy") else spark.read.parquet(path).select("line3d_id", "label")
+    if lines is not None:
+        odd = labels.join(lines.select(F.col("line3d_id"), F.lit(True).alias("known")), "line3d_id", "full").where("known is null or label is null")
+        if not odd.isEmpty():
+            raise ValueError("labels and lines do not belong together")
+    return labels
+
+
 def read_dense(spark: SparkSession, glob: str) -> DataFrame:
     """(path, width, height, channels, data) of depth and normal maps: ``w&h&c&`` and column-major float32; data is row-major."""
 
