@@ -14,7 +14,8 @@ every sentence, and back from every sentence's end, the shortest run of at least
 space do not count). Of equal runs the one in the smallest doc_id, and there the
 first, stays; every sentence that another of them covers is removed.
 
-Runs meet by hash in shards, ``SHARDS`` for each shuffle partition; every task sends each shard packed columns.
+Runs meet by hash in shards, ``SHARDS`` for each shuffle partition and more where the texts, counted first, are
+longer than ``SHARD_BYTES`` a shard; every task sends each shard packed columns.
 Before that, each task settles its own repeats:
 of equal runs in a chunk only the first can be first overall, so the others are
 marked on the spot and a passage that a third of all documents hold meets once for each
@@ -49,7 +50,9 @@ REACH = 3
 MOST = 20
 #: Runs that a task compares among themselves before they are sent.
 CHUNK_RUNS = 1_000_000
+#: Shards for each shuffle partition at least, and bytes of text for each shard at most: a shard is one group in a task.
 SHARDS = 4
+SHARD_BYTES = 64 << 20
 #: Columns of packed runs: hash, more of it, document, text, first sentence, number of sentences (with SETTLED on top).
 RUN = [("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("sub", "<u4"), ("a", "<u4"), ("size", "<u2")]
 SETTLED = 1 << 15
@@ -214,7 +217,8 @@ def repeated_spans(rows: DataFrame, key: str, sub: str, sentences: int = SENTENC
     """(doc, sub, place): sentence ranges, first and end in one number, that repeat a run that comes before."""
     if max(sentences, min_words) >= SETTLED:
         raise ValueError("a run can be too long")
-    shards = SHARDS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = max(SHARDS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     runs = rows.select(key, sub, "text").mapInArrow(_spans(sentences, min_words, shards), "shard int, packed binary")
     return runs.groupBy("shard").applyInArrow(_meet, "doc long, sub long, place long")
 

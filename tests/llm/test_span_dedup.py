@@ -141,3 +141,13 @@ def test_copies_of_one_document_lose_the_same(spark):
     passage = " ".join(" ".join(words(rng, 11)).capitalize() + "." for _ in range(3))
     df = spark.createDataFrame([(1, passage), (2, passage + " End."), (2, passage + " End.")], "doc_id long, text string").repartition(3)
     assert sorted(r.clean_text for r in S.deduplicated(df, ["doc_id"]).collect()) == sorted(["End.", "End.", passage])
+
+
+def test_more_shards_change_nothing(spark, monkeypatch):
+    passage = " ".join(f"word{i} goes here and there." for i in range(12))
+    docs = spark.createDataFrame([(i, f"Document {i} begins {i * 7} times. {passage} It ends with {i * 3} lines.") for i in range(40)] + [(40, None), (41, "")], "doc_id long, text string")
+    got = []
+    for size in (S.SHARD_BYTES, 50):
+        monkeypatch.setattr(S, "SHARD_BYTES", size)
+        got.append(sorted(map(tuple, S.deduplicated(docs, ["doc_id"]).collect()), key=lambda r: r[0]))
+    assert got[0] == got[1] and sum(r[2] > 0 for r in got[0]) == 39
