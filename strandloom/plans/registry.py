@@ -434,6 +434,41 @@ def images_text(s):
     return M.features(M.read_images_text(s.spark, _text_folder(s, "images", rows.select(line.alias("value")))))
 
 
+def _binary_folder(s: Scene, name: str, rows: DataFrame, schema: str) -> str:
+    path = f"{shared_dir(s.spark)}/{name}-{uuid.uuid4().hex}"
+    M.write_binary(rows, path, schema)
+    return path
+
+
+@query("SELECT CAST(c_custkey AS INTEGER) AS camera_id, 'PINHOLE' AS model, 640 + c_nationkey AS width, CAST(480 AS BIGINT) AS height, round(abs(c_acctbal), 2) AS fx, round(abs(c_acctbal) + 1, 2) AS fy FROM customer".replace("640 + c_nationkey", "CAST(640 + c_nationkey AS BIGINT)"))
+def intrinsics_binary(s):
+    """Cameras written as a binary model and read back."""
+    focal = F.round(F.abs("c_acctbal"), 2).cast("double")
+    params = F.array(focal, F.round(F.abs("c_acctbal") + 1, 2).cast("double"), F.lit(320.0), F.lit(240.0))
+    rows = s.table("customer").select(F.col("c_custkey").cast("int").alias("camera_id"), F.lit("PINHOLE").alias("model"), (F.lit(640) + F.col("c_nationkey")).cast("bigint").alias("width"), F.lit(480).cast("bigint").alias("height"), params.alias("params"))
+    got = M.read_intrinsics(s.spark, _binary_folder(s, "cameras", rows, M.INTRINSICS))
+    return got.select("camera_id", "model", "width", "height", F.col("params")[0].alias("fx"), F.col("params")[1].alias("fy"))
+
+
+@query("SELECT l_orderkey AS point3d_id, l_linenumber - 1 AS pos, CAST(l_suppkey AS INTEGER) AS cam_id FROM (SELECT l_orderkey, l_suppkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS INTEGER) AS l_linenumber FROM lineitem)")
+def points_binary(s):
+    """Tracks written as a binary model and read back, one row an observation."""
+    seen = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey"))), lambda x: F.struct(x["l_suppkey"].cast("int").alias("image_id"), x["l_linenumber"].cast("int").alias("point2d_idx")))
+    fixed = [F.array(*map(F.lit, (0.5, 1.5, 2.5))).alias("xyz"), F.array(*map(F.lit, (1, 2, 3))).alias("rgb"), F.lit(0.25).alias("error")]
+    rows = s.table("lineitem").groupBy(F.col("l_orderkey").alias("point3d_id")).agg(seen.alias("track")).select("*", *fixed)
+    return M.tracks(M.read_points(s.spark, _binary_folder(s, "points", rows, M.POINTS)))
+
+
+@query("SELECT l_suppkey AS cam_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity, l_extendedprice, l_orderkey) - 1 AS INTEGER) AS pos, l_orderkey AS point3d_id, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem".replace("SELECT l_suppkey AS", "SELECT CAST(l_suppkey AS INTEGER) AS", 1))
+def images_binary(s):
+    """Posed images with their features written as a binary model and read back."""
+    seen = F.sort_array(F.collect_list(F.struct("l_quantity", "l_extendedprice", "l_orderkey")))
+    features = F.transform(seen, lambda x: F.struct(x["l_quantity"].cast("double").alias("x"), x["l_extendedprice"].cast("double").alias("y"), x["l_orderkey"].cast("bigint").alias("point3d_id")))
+    fixed = [F.array(*map(F.lit, (1.0, 0.0, 0.0, 0.0))).alias("qvec"), F.array(*map(F.lit, (0.5, 0.25, 2.0))).alias("tvec"), F.lit(1).alias("camera_id"), F.concat(F.lit("view"), "image_id", F.lit(".png")).alias("name")]
+    rows = s.table("lineitem").groupBy(F.col("l_suppkey").cast("int").alias("image_id")).agg(features.alias("features")).select("*", *fixed)
+    return M.features(M.read_images(s.spark, _binary_folder(s, "images", rows, M.IMAGES)))
+
+
 @query(
     "SELECT CAST(p.first + j AS BIGINT) AS line3d_id, CAST(row_number() OVER (PARTITION BY p.part, j ORDER BY l_suppkey, l_orderkey, l_linenumber) - 1 AS INTEGER) AS proj_pos, CAST(l_suppkey AS INTEGER) AS cam_id, CAST(l_orderkey * 10 + l_linenumber AS INTEGER) AS seg_id, p.part + j / 4 AS x1 "
     "FROM (SELECT *, unnest(range(n)) AS j FROM (SELECT part, n, sum(n) OVER (ORDER BY part) - n AS first FROM (SELECT DISTINCT l_partkey AS part, 1 + l_partkey % 3 AS n FROM lineitem))) p JOIN lineitem ON l_partkey = p.part"

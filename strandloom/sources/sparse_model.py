@@ -1,11 +1,13 @@
 """Sparse photogrammetry models, binary and text.
 
-Binary files are little-endian records behind a count and have no index, so a
-file is one task; text files are split by lines.
+Binary files are little-endian records behind a count and have no index: a pass
+over the lengths cuts them into splits. They may lie in any file system that pyarrow
+opens, and may be of any size. Text files are split by lines.
 """
 
 from __future__ import annotations
 
+import io
 import struct
 from itertools import batched
 
@@ -26,80 +28,151 @@ TRACK = "array<struct<image_id: int, point2d_idx: int>>"
 POINTS = f"point3d_id bigint, xyz array<double>, rgb array<int>, error double, track {TRACK}"
 
 
-#: Records that are Python objects at one time.
-CHUNK_ROWS = 10_000
+#: Records that are Python objects at one time, and bytes of a split, about.
+CHUNK_ROWS, SPLIT_BYTES = 10_000, 64 << 20
+
+
+def _file_system(path: str):
+    """The pyarrow file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or path.startswith("/"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
 
 
 class _Cursor:
-    def __init__(self, raw: bytes):
-        self.raw, self.at = raw, 0
+    """Reads a record's fields from a stream; one that skims passes over tables without decoding them."""
 
-    def take(self, layout: str) -> tuple:
-        own = struct.Struct("<" + layout)
-        out = own.unpack_from(self.raw, self.at)
-        self.at += own.size
+    def __init__(self, path: str, at: int = 0, skim: bool = False):
+        system, name = _file_system(path)
+        self.stream, self.skim = io.BufferedReader(system.open_input_file(name), 1 << 16 if skim else 1 << 20), skim
+        self.stream.seek(at)
+
+    def _bytes(self, size: int) -> bytes:
+        out = self.stream.read(size)
+        if len(out) < size:
+            raise ValueError("the file ends within a record")
         return out
 
+    def take(self, layout: str) -> tuple:
+        return struct.unpack("<" + layout, self._bytes(struct.calcsize("<" + layout)))
+
     def table(self, layout: str, *names: str) -> list[dict]:
-        """A count and as many equal records, decoded in one go."""
+        """A count and as many equal records."""
         size = self.take("Q")[0] * struct.calcsize("<" + layout)
-        rows = struct.iter_unpack("<" + layout, memoryview(self.raw)[self.at : self.at + size])
-        self.at += size
-        return [dict(zip(names, row)) for row in rows]
+        if self.skim:
+            self.stream.seek(size, io.SEEK_CUR)
+            return []
+        return [dict(zip(names, row)) for row in struct.iter_unpack("<" + layout, self._bytes(size))]
 
     def name(self) -> str:
-        end = self.raw.index(b"\0", self.at)
-        out = self.raw[self.at : end].decode()
-        self.at = end + 1
-        return out
+        out = bytearray()
+        while (byte := self._bytes(1)) != b"\0":
+            out += byte
+        return out.decode()
 
 
-def _intrinsics(c: _Cursor):
-    for _ in range(c.take("Q")[0]):
-        camera, model, width, height = c.take("iiQQ")
-        yield camera, MODEL_NAMES[model], width, height, list(c.take(f"{MODEL_PARAMETERS[model]}d"))
+def _intrinsic(c: _Cursor):
+    camera, model, width, height = c.take("iiQQ")
+    return camera, MODEL_NAMES[model], width, height, list(c.take(f"{MODEL_PARAMETERS[model]}d"))
 
 
-def _images(c: _Cursor):
-    for _ in range(c.take("Q")[0]):
-        image, *values, camera = c.take("i7di")
-        name = c.name()
-        yield image, values[:4], values[4:], camera, name, c.table("ddq", "x", "y", "point3d_id")
+def _image(c: _Cursor):
+    image, *values, camera = c.take("i7di")
+    return image, values[:4], values[4:], camera, c.name(), c.table("ddq", "x", "y", "point3d_id")
 
 
-def _points(c: _Cursor):
-    for _ in range(c.take("Q")[0]):
-        point, x, y, z, r, g, b, error = c.take("QdddBBBd")
-        yield point, [x, y, z], [r, g, b], error, c.table("ii", "image_id", "point2d_idx")
+def _point(c: _Cursor):
+    point, x, y, z, r, g, b, error = c.take("QdddBBBd")
+    return point, [x, y, z], [r, g, b], error, c.table("ii", "image_id", "point2d_idx")
 
 
-def _binary(spark: SparkSession, path: str, records, schema: str) -> DataFrame:
-    names = {INTRINSICS: "camera_id model width height params", IMAGES: "image_id qvec tvec camera_id name features", POINTS: "point3d_id xyz rgb error track"}[schema].split()
+def _names(schema: str) -> list[str]:
+    return {INTRINSICS: "camera_id model width height params", IMAGES: "image_id qvec tvec camera_id name features", POINTS: "point3d_id xyz rgb error track"}[schema].split()
 
-    def run(batches):
+
+def _binary(spark: SparkSession, path: str, record, schema: str) -> DataFrame:
+    """Records of all files of a path: one task a file passes over the lengths and cuts splits, and splits of any file are read by themselves."""
+    names, split_bytes = _names(schema), SPLIT_BYTES
+
+    def cuts(batches):
         import pandas as pd
 
         for batch in batches:
-            for content in batch.content:
-                cursor = _Cursor(bytes(content))
-                for rows in batched(records(cursor), CHUNK_ROWS):
-                    yield pd.DataFrame(rows, columns=names)
-                if cursor.at != len(cursor.raw):
+            for file, length in zip(batch["path"], batch["length"].tolist()):
+                cursor, out = _Cursor(file, skim=True), []
+                begin, rows, left = 8, 0, cursor.take("Q")[0]
+                while left:
+                    record(cursor)
+                    rows, left, at = rows + 1, left - 1, cursor.stream.tell()
+                    if at - begin >= split_bytes or not left:
+                        out.append((file, begin, rows))
+                        begin, rows = at, 0
+                if cursor.stream.tell() > length:
+                    raise ValueError("the file ends within a record")
+                if cursor.stream.tell() < length:
                     raise ValueError("bytes are left after the last record")
+                yield pd.DataFrame(out, columns=["path", "begin", "rows"])
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for file, begin, rows in batch.itertuples(index=False):
+                cursor = _Cursor(file, begin)
+                for chunk in batched((record(cursor) for _ in range(rows)), CHUNK_ROWS):
+                    yield pd.DataFrame(chunk, columns=names)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # a listing: contents are not read
+    parts = max(1, -(-(files.agg(F.sum("length")).first()[0] or 0) // split_bytes))
+    return files.mapInPandas(cuts, "path string, begin long, rows long").repartition(parts).mapInPandas(run, schema)
+
+
+def _encoded(schema: str, row) -> bytes:
+    if schema == INTRINSICS:
+        model = MODEL_NAMES.index(row.model)
+        return struct.pack(f"<iiQQ{MODEL_PARAMETERS[model]}d", row.camera_id, model, row.width, row.height, *row.params)
+    if schema == IMAGES:
+        head = struct.pack("<i7di", row.image_id, *row.qvec, *row.tvec, row.camera_id) + row.name.encode() + b"\0"
+        return head + struct.pack("<Q", len(row.features)) + b"".join(struct.pack("<ddq", f["x"], f["y"], f["point3d_id"]) for f in row.features)
+    head = struct.pack("<QdddBBBd", row.point3d_id, *row.xyz, *row.rgb, row.error) + struct.pack("<Q", len(row.track))
+    return head + b"".join(struct.pack("<ii", t["image_id"], t["point2d_idx"]) for t in row.track)
+
+
+def write_binary(rows: DataFrame, folder: str, schema: str) -> None:
+    """Rows of a schema as binary files, one for each partition; a task that runs again writes its own file anew.
+
+    The count stands before the records, so a partition's records are held as bytes.
+    """
+
+    def run(batches):
+        import pandas as pd
+        from pyspark import TaskContext
+
+        body, count = [], 0
+        for batch in batches:
+            body += [_encoded(schema, row) for row in batch.itertuples(index=False)]
+            count += len(batch)
+        system, name = _file_system(f"{folder}/part-{TaskContext.get().partitionId():06d}.bin")
+        system.create_dir(name.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(name) as out:
+            out.write(struct.pack("<Q", count) + b"".join(body))
+        yield pd.DataFrame({"count": [count]})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+    rows.select(_names(schema)).mapInPandas(run, "count long").agg(F.sum("count")).collect()
 
 
 def read_intrinsics(spark: SparkSession, path: str) -> DataFrame:
-    return _binary(spark, path, _intrinsics, INTRINSICS)
+    return _binary(spark, path, _intrinsic, INTRINSICS)
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    return _binary(spark, path, _images, IMAGES)
+    return _binary(spark, path, _image, IMAGES)
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    return _binary(spark, path, _points, POINTS)
+    return _binary(spark, path, _point, POINTS)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:

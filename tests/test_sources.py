@@ -68,6 +68,25 @@ def test_splits_change_no_id(spark, tmp_path):
     assert [(i, name, len(f)) for i, name, f in pictures] == [(i, f"n{i}.png", i % 4) for i in range(300)]
 
 
+def test_binary_splits_change_no_row(spark, tmp_path, monkeypatch):
+    images = [(i, [1.0, 0.0, 0.0, 0.0], [0.5, 1.0, 2.0], 1, f"n{i}.png", [(float(j), float(i), j) for j in range(i % 5)]) for i in range(200)]
+    points = [(i, [1.0, 2.0, 3.0], [1, 2, 255], 0.5, [(i, j) for j in range(i % 3)]) for i in range(300)]
+    for rows, schema, read in ((images, M.IMAGES, M.read_images), (points, M.POINTS, M.read_points)):
+        folder = f"file://{tmp_path}/{read.__name__}"
+        M.write_binary(spark.createDataFrame(rows, schema).repartition(2), folder, schema)
+        got = []
+        for size in (1 << 26, 300):
+            monkeypatch.setattr(M, "SPLIT_BYTES", size)
+            df = read(spark, folder)
+            assert (df.rdd.getNumPartitions() > 20) == (size == 300)
+            got.append(sorted(df.collect()))
+        assert got[0] == got[1] == sorted(spark.createDataFrame(rows, schema).collect())
+    whole = next((tmp_path / "read_points").glob("*.bin")).read_bytes()
+    (tmp_path / "short.bin").write_bytes(whole[:-5])
+    with pytest.raises(Exception, match="ends within a record"):
+        M.read_points(spark, f"file://{tmp_path}/short.bin").collect()
+
+
 def filtered_png(values, kind):
     """A 16-bit PNG whose lines use one filter."""
     own = np.asarray(values).astype(">u2").view(np.uint8).reshape(len(values), -1).astype(int)
