@@ -165,3 +165,20 @@ def test_arriving_masks_are_merged_once(spark, tmp_path):
         merge_arriving_runs(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     out = sorted((r.cam_id, r.c0, r.c1, r.mask_id) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert out == [(0, 0, 7, 5), (1, 0, 7, 5)]
+
+
+def test_late_masks_redo_their_image_alone(spark, tmp_path):
+    from strandloom.operators.raster import merged_masks
+    from strandloom.streaming.incremental import latest, merge_arriving_runs
+
+    schema = "cam_id long, mask_id long, row int, c0 int, c1 int"
+    runs = [(cam, mask, row, 3 * mask, 3 * mask + 4 + cam) for cam in range(3) for mask in range(4) for row in range(2)]
+    want = sorted(map(tuple, merged_masks(spark.createDataFrame(runs, schema)).collect()))
+    for name, arrivals in (("a", [runs[:5], runs[5:12] + runs[:2], runs[12:]]), ("b", [runs[::-1][:9], runs[::-1][9:]])):
+        for part in arrivals:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}/in")
+            merge_arriving_runs(spark, f"{tmp_path}/{name}/in", schema, f"{tmp_path}/{name}/out", f"{tmp_path}/{name}/state").awaitTermination()
+        got = latest(spark, f"{tmp_path}/{name}/out")
+        assert sorted(map(tuple, got.select("cam_id", *[c for c in merged_masks(spark.createDataFrame(runs, schema)).columns if c != "cam_id"]).collect())) == want
+    # the third arrival of the first order holds images 1 and 2 only
+    assert {r.cam_id for r in spark.read.parquet(f"{tmp_path}/a/out/batch=2").collect()} == {1, 2}
