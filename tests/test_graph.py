@@ -206,3 +206,27 @@ def test_walks_from_a_hub_follow_the_weights(spark, monkeypatch):
     walks = C.random_walks(spark.createDataFrame([(0,)], "id long"), spark.createDataFrame(star, "src long, dst long, weight long"), walks=600, length=2).collect()
     ends = [w.path[1] for w in walks]
     assert len(ends) == 600 and 0.5 < ends.count(40) / 600 < 0.7 and len(set(ends)) > 30
+
+
+def test_common_views_are_counted_where_pairs_are_made(spark):
+    rows = [(c, n, (n * 7 + c * c) % 5) for c in range(12) for n in range(20) if (n * c) % 3 != 1]
+    lm = spark.createDataFrame(rows, "cam_id long, line3d_id long, mask_id long")
+    seen, masks = {}, {}
+    for c, n, m in rows:
+        seen.setdefault(n, set()).add(c)
+        masks.setdefault(n, set()).add((c, m))
+    want = {(a, b, len(masks[a] & masks[b]), len(seen[a] & seen[b])) for a in seen for b in seen if a < b and masks[a] & masks[b]}
+    for got in (C.covisible_pairs(lm), C.covisible(C.cooccurrence(lm), lm)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "array_intersect" in plan  # one row a pair meets the lists; no row for each view of each pair
+        assert {tuple(r) for r in got.collect()} == want
+    assert {(r.src, r.dst): r.weight for r in C.normalised_pairs(lm).collect()} == {(a, b): w / n for a, b, w, n in want}
+
+
+def test_shuffles_of_many_rows_get_more_tasks(spark, monkeypatch):
+    from strandloom.operators import joins
+
+    monkeypatch.setattr(joins, "TASK_ROWS", 10)
+    lm = spark.createDataFrame([(0, n, 0) for n in range(20)], "cam_id long, line3d_id long, mask_id long")
+    pairs = C.cooccurrence(lm)
+    assert pairs.rdd.getNumPartitions() == 19 and pairs.count() == 190
