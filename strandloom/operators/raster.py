@@ -134,27 +134,28 @@ def merged_masks(runs: DataFrame, threshold: float = 0.5) -> DataFrame:
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         height, width = int(rows.row.max()) + 1, int(rows.c1.max()) + 1
         canvas = np.full((height, width), BACKGROUND, np.int64)
-        area = (rows.c1 - rows.c0 + 1).groupby(rows.mask_id).sum()
-        order = sorted(area.index, key=lambda m: (-area[m], m))
-        painted: list[int] = []
-        parts = dict(list(rows.groupby("mask_id")))
-        for m in order:
-            own = np.zeros((height, width), bool)
-            for r in parts[m].itertuples():
-                own[r.row, r.c0 : r.c1 + 1] = True
-            ids, counts = np.unique(canvas[own], return_counts=True)
-            shared = dict(zip(ids.tolist(), counts.tolist()))
-            best, most = None, -1
-            for p in painted:
-                n = shared.get(p, 0)
-                if n / area[m] >= threshold and n > most:
-                    best, most = p, n
+        masks, own = np.unique(rows.mask_id.to_numpy(), return_inverse=True)
+        runs_of = np.argsort(own, kind="stable")
+        row, c0, c1 = (rows[c].to_numpy()[runs_of] for c in ("row", "c0", "c1"))
+        begin = np.searchsorted(own[runs_of], np.arange(len(masks) + 1))
+        area = np.add.reduceat(c1.astype(np.int64) - c0 + 1, begin[:-1])
+        painted: dict[int, int] = {}  # in the order of painting
+        for k in np.lexsort((masks, -area)).tolist():
+            m, part = int(masks[k]), slice(begin[k], begin[k + 1])
+            top, left = int(row[part].min()), int(c0[part].min())
+            window = canvas[top : int(row[part].max()) + 1, left : int(c1[part].max()) + 1]  # a mask touches its own box only
+            inside = np.zeros(window.shape, bool)
+            for r, a, b in zip((row[part] - top).tolist(), (c0[part] - left).tolist(), (c1[part] - left).tolist()):
+                inside[r, a : b + 1] = True
+            ids, counts = np.unique(window[inside], return_counts=True)
+            # only masks that lie below are asked, not all painted before; the most shared, of equals the first painted
+            fit = [(-n, painted[p], p) for p, n in zip(ids.tolist(), counts.tolist()) if p in painted and n / area[k] >= threshold]
+            best = min(fit)[2] if fit else next(iter(painted)) if threshold <= 0 and painted else None
             if best is None:
-                canvas[own & (canvas == BACKGROUND)] = m
-                painted.append(int(m))
+                window[inside & (window == BACKGROUND)] = m
+                painted.setdefault(m, len(painted))
             else:
-                canvas[own] = best
-                painted.append(best)
+                window[inside] = best
         out = []
         for r in range(height):
             line = canvas[r]

@@ -81,3 +81,34 @@ def test_far_segments_make_only_pixels_inside(spark):
     base = len(ends)
     assert got[base] == {(5, c) for c in range(30)} and got[base + 1] == {(k, k) for k in range(20)} and got[base + 2] == {(r, 7) for r in range(20)}
     assert got[base + 3] == {(3, 3)} and base + 4 not in got and base + 5 not in got
+
+
+def test_merging_many_masks_of_one_image_is_as_defined_and_does_not_ask_all_painted(spark):
+    """Against the definition, mask by mask; then many masks of one image, which took minutes when each asked all painted before."""
+    import random
+    import time
+
+    rng = random.Random(4)
+
+    def masks(n, wide):
+        return [(1, m, row, c, c + rng.randrange(6)) for m in range(n) for top, c in [(rng.randrange(wide), rng.randrange(wide))] for row in range(top, top + rng.randrange(1, 6))]
+
+    rows = masks(120, 24)
+    pixels = {}
+    for _, m, r, a, b in rows:
+        pixels.setdefault(m, set()).update((r, c) for c in range(a, b + 1))
+    canvas, painted = {}, []
+    for m in sorted(pixels, key=lambda m: (-len(pixels[m]), m)):
+        shared = [sum(canvas.get(p) == q for p in pixels[m]) for q in painted]
+        fit = [(n, -i) for i, n in enumerate(shared) if n / len(pixels[m]) >= 0.5]
+        if fit:
+            canvas.update(dict.fromkeys(pixels[m], painted[-max(fit)[1]]))
+        else:
+            canvas.update({p: m for p in pixels[m] if p not in canvas})
+            painted.append(m)
+    frame = lambda rows: spark.createDataFrame(rows, "cam_id long, mask_id long, row int, c0 int, c1 int")
+    got = {(r.row, c): r.mask_id for r in R.merged_masks(frame(rows)).collect() for c in range(r.c0, r.c1 + 1)}
+    assert got == canvas
+    many = frame(masks(12_000, 600)).localCheckpoint()
+    begin = time.monotonic()
+    assert R.merged_masks(many).count() and time.monotonic() - begin < 20
