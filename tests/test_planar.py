@@ -44,3 +44,24 @@ def test_a_far_outlier_makes_nobody_else_look_far(spark, monkeypatch):
         totals.append(sum(counted))
     assert totals[1] <= 2 * totals[0]
     assert labels[1].pop(999) == -1 and labels[0] == labels[1] and len(set(labels[0].values())) == 4
+
+
+def test_lines_within_are_those_of_all_pairs_however_they_are_dealt(spark, monkeypatch):
+    from strandloom.functions.geometry import line_distance
+    from strandloom.operators import joins
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    lines = [(i, *(rng.uniform(-3, 3) for _ in range(4))) for i in range(90)] + [(100, 0.0, 0.0, 0.0, 0.0), (101, 0.1, 0.0, 0.1, 0.0), (102, None, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(lines, SCHEMA)
+    ends = ("x1", "y1", "x2", "y2")
+    a, b = (df.select(*(F.col(c).alias(f"{s}_{c}") for c in df.columns)) for s in "ab")
+    distance = line_distance(*(tuple(F.col(f"{s}_{c}") for c in ends) for s in "ab"))
+    every = a.join(b, F.col("a_line3d_id") < F.col("b_line3d_id")).select("a_line3d_id", "b_line3d_id", distance.alias("d"))
+    want = {(r[0], r[1]): r[2] for r in every.where("d <= 0.2").collect()}
+    monkeypatch.setattr(D, "meeting_boxes", None)  # which makes a row for each pair of boxes that overlap
+    for rows, block in ((1_000, 1 << 17), (20, 50)):
+        monkeypatch.setattr(joins, "HOT_ROWS", rows)
+        monkeypatch.setattr(D, "BLOCK", block)
+        got = [tuple(r) for r in D.lines_within(df, 0.2).collect()]
+        assert len(got) == len(want) and {r[:2]: r[2] for r in got} == want
