@@ -91,3 +91,13 @@ def test_grid_finds_all_near_pairs(spark):
         want = {(a[0], b[0]) for a, b in itertools.combinations(lines, 2) if plain_distance(a[1:], b[1:]) <= most}
         rows = D.lines_within(df, most).collect()
         assert len(rows) == len(want) and {(r.src, r.dst) for r in rows} == want
+
+
+def test_overlap_of_many_tracks_gets_more_tasks(spark, monkeypatch):
+    from strandloom.operators import joins
+
+    tracks = spark.createDataFrame([(p, k, (p * 7 + k * k) % 9) for p in range(30) for k in range(4)], "point3d_id long, pos long, cam_id long")
+    want = sorted(map(tuple, A.view_overlap(tracks).collect()))
+    monkeypatch.setattr(joins, "TASK_ROWS", 10)
+    got = A.view_overlap(tracks)
+    assert got.rdd.getNumPartitions() > 12 and sorted(map(tuple, got.collect())) == want
