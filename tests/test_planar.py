@@ -65,3 +65,58 @@ def test_lines_within_are_those_of_all_pairs_however_they_are_dealt(spark, monke
         monkeypatch.setattr(D, "BLOCK", block)
         got = [tuple(r) for r in D.lines_within(df, 0.2).collect()]
         assert len(got) == len(want) and {r[:2]: r[2] for r in got} == want
+
+
+def _planar_lines(rng, spots, each):
+    return [(each * s + i, *(v for _ in range(2) for v in (x + rng.uniform(0, 2), y + rng.uniform(0, 2)))) for s, (x, y) in enumerate(spots) for i in range(each)]
+
+
+def test_the_planar_tree_is_that_of_all_pairs_with_no_row_for_a_pair(spark, monkeypatch):
+    from strandloom.functions.geometry import line_distance
+    from strandloom.operators import joins
+    from pyspark.sql import functions as F
+
+    lines = _planar_lines(random.Random(9), [(0, 0), (5, 1), (40, 7)], 20) + [(90, 0.5, 0.5, 0.5, 0.5), (91, 0.5, 0.5, 0.5, 0.5)]
+    df, k = spark.createDataFrame(lines, SCHEMA), 4
+    ends = ("x1", "y1", "x2", "y2")
+    a, b = (df.select(*(F.col(c).alias(f"{s}_{c}") for c in df.columns)) for s in "ab")
+    distance = line_distance(*(tuple(F.col(f"{s}_{c}") for c in ends) for s in "ab"))
+    every = {(r[0], r[1]): r[2] for r in a.join(b, F.col("a_line3d_id") < F.col("b_line3d_id")).select("a_line3d_id", "b_line3d_id", distance).collect()}
+    core = {n: sorted(d for p, d in every.items() if n in p)[k - 1] for n, *_ in lines}
+    root, want = {n: n for n in core}, set()
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for d, i, j in sorted((max(d, core[i], core[j]), i, j) for (i, j), d in every.items()):
+        if find(i) != find(j):
+            root[find(i)] = find(j)
+            want.add((d, i, j))
+    monkeypatch.setattr(D, "meeting_boxes", None)  # which makes a row for each pair of boxes that overlap
+    for rows, block in ((1_000, 1 << 17), (15, 40)):
+        monkeypatch.setattr(joins, "HOT_ROWS", rows)
+        monkeypatch.setattr(D, "BLOCK", block)
+        cores = D.core_of_lines(df, k, 0.3, 200.0, 1.0)
+        assert {r.id: r.core for r in cores.collect()} == core
+        assert {tuple(r) for r in D.planar_forest(df, cores, 0.3, 200.0, 1.0).select("distance", "src", "dst").collect()} == want
+
+
+def test_a_far_outlier_brings_no_more_lines_together_in_cells(spark, monkeypatch):
+    lines, counted = _planar_lines(random.Random(6), [(0, 0), (6, 0)], 10), []
+
+    def counting(*args, own=D._sides):
+        sides = own(*args)
+        counted.append(sum(a.join(b, ["grid", "cx", "cy"]).count() for a, b in sides))
+        return sides
+
+    monkeypatch.setattr(D, "_sides", counting)
+    monkeypatch.setattr(D, "FEW_ASKS", 10)
+    totals = []
+    for rows in (lines, [*lines, (999, 1e4, 1e4, 1e4 + 1, 1e4)]):
+        counted.clear()
+        df = spark.createDataFrame(rows, SCHEMA)
+        D.planar_forest(df, D.core_of_lines(df, 3, 0.5, 4e4, 1.0), 0.5, 4e4, 1.0).collect()
+        totals.append(sum(counted))
+    assert 0 < totals[1] <= 2 * totals[0]
