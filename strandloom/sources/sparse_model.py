@@ -8,11 +8,16 @@ opens, and may be of any size. Text files are split by lines.
 from __future__ import annotations
 
 import io
+import shutil
 import struct
-from itertools import batched
+import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.geometry import base_name, pose
 from .text_blocks import block_lines, with_totals_before
@@ -28,8 +33,11 @@ TRACK = "array<struct<image_id: int, point2d_idx: int>>"
 POINTS = f"point3d_id bigint, xyz array<double>, rgb array<int>, error double, track {TRACK}"
 
 
-#: Records that are Python objects at one time, and bytes of a split, about.
-CHUNK_ROWS, SPLIT_BYTES = 10_000, 64 << 20
+#: The table that ends a record of a schema, and its entries.
+TABLES = {IMAGES: ("features", np.dtype([("x", "<f8"), ("y", "<f8"), ("point3d_id", "<i8")])), POINTS: ("track", np.dtype([("image_id", "<i4"), ("point2d_idx", "<i4")]))}
+
+#: Records and bytes that leave a reader at one time, at most (one record may be larger), and bytes of a split, about.
+CHUNK_ROWS, CHUNK_BYTES, SPLIT_BYTES = 10_000, 8 << 20, 64 << 20
 
 
 def _file_system(path: str):
@@ -58,13 +66,14 @@ class _Cursor:
     def take(self, layout: str) -> tuple:
         return struct.unpack("<" + layout, self._bytes(struct.calcsize("<" + layout)))
 
-    def table(self, layout: str, *names: str) -> list[dict]:
-        """A count and as many equal records."""
-        size = self.take("Q")[0] * struct.calcsize("<" + layout)
+    def table(self, schema: str) -> np.ndarray:
+        """A count and as many equal records, as an array."""
+        kind = TABLES[schema][1]
+        size = self.take("Q")[0] * kind.itemsize
         if self.skim:
             self.stream.seek(size, io.SEEK_CUR)
-            return []
-        return [dict(zip(names, row)) for row in struct.iter_unpack("<" + layout, self._bytes(size))]
+            return np.zeros(0, kind)
+        return np.frombuffer(self._bytes(size), kind)
 
     def name(self) -> str:
         out = bytearray()
@@ -80,21 +89,33 @@ def _intrinsic(c: _Cursor):
 
 def _image(c: _Cursor):
     image, *values, camera = c.take("i7di")
-    return image, values[:4], values[4:], camera, c.name(), c.table("ddq", "x", "y", "point3d_id")
+    return image, values[:4], values[4:], camera, c.name(), c.table(IMAGES)
 
 
 def _point(c: _Cursor):
     point, x, y, z, r, g, b, error = c.take("QdddBBBd")
-    return point, [x, y, z], [r, g, b], error, c.table("ii", "image_id", "point2d_idx")
+    return point, [x, y, z], [r, g, b], error, c.table(POINTS)
 
 
 def _names(schema: str) -> list[str]:
     return {INTRINSICS: "camera_id model width height params", IMAGES: "image_id qvec tvec camera_id name features", POINTS: "point3d_id xyz rgb error track"}[schema].split()
 
 
+def _decoded(records: list[tuple], schema: str, fields: pa.Schema) -> pa.RecordBatch:
+    table, columns = TABLES.get(schema, (None,)), []
+    for field, values in zip(fields, zip(*records)):
+        if field.name == table[0]:
+            entry, flat = field.type.value_type, np.concatenate(values)
+            entries = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[n])) for n in table[1].names], fields=[entry.field(n) for n in table[1].names])
+            columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), entries, type=field.type))
+        else:
+            columns.append(pa.array(values, field.type))
+    return pa.RecordBatch.from_arrays(columns, schema=fields)
+
+
 def _binary(spark: SparkSession, path: str, record, schema: str) -> DataFrame:
     """Records of all files of a path: one task a file passes over the lengths and cuts splits, and splits of any file are read by themselves."""
-    names, split_bytes = _names(schema), SPLIT_BYTES
+    split_bytes, chunk_bytes, fields = SPLIT_BYTES, CHUNK_BYTES, to_arrow_schema(T.StructType.fromDDL(schema))
 
     def cuts(batches):
         import pandas as pd
@@ -116,51 +137,78 @@ def _binary(spark: SparkSession, path: str, record, schema: str) -> DataFrame:
                 yield pd.DataFrame(out, columns=["path", "begin", "rows"])
 
     def run(batches):
-        import pandas as pd
-
         for batch in batches:
-            for file, begin, rows in batch.itertuples(index=False):
-                cursor = _Cursor(file, begin)
-                for chunk in batched((record(cursor) for _ in range(rows)), CHUNK_ROWS):
-                    yield pd.DataFrame(chunk, columns=names)
+            for split in batch.to_pylist():
+                cursor, held, since = _Cursor(split["path"], split["begin"]), [], split["begin"]
+                for left in reversed(range(split["rows"])):
+                    held.append(record(cursor))
+                    at = cursor.stream.tell()
+                    if len(held) >= CHUNK_ROWS or at - since >= chunk_bytes or not left:
+                        yield _decoded(held, schema, fields)
+                        held, since = [], at
 
     files = spark.read.format("binaryFile").load(path).select("path", "length")  # a listing: contents are not read
     parts = max(1, -(-(files.agg(F.sum("length")).first()[0] or 0) // split_bytes))
-    return files.mapInPandas(cuts, "path string, begin long, rows long").repartition(parts).mapInPandas(run, schema)
+    return files.mapInPandas(cuts, "path string, begin long, rows long").repartition(parts).mapInArrow(run, schema)
 
 
-def _encoded(schema: str, row) -> bytes:
+def _head(schema: str, row: dict) -> bytes:
     if schema == INTRINSICS:
-        model = MODEL_NAMES.index(row.model)
-        return struct.pack(f"<iiQQ{MODEL_PARAMETERS[model]}d", row.camera_id, model, row.width, row.height, *row.params)
+        model = MODEL_NAMES.index(row["model"])
+        return struct.pack(f"<iiQQ{MODEL_PARAMETERS[model]}d", row["camera_id"], model, row["width"], row["height"], *row["params"])
     if schema == IMAGES:
-        head = struct.pack("<i7di", row.image_id, *row.qvec, *row.tvec, row.camera_id) + row.name.encode() + b"\0"
-        return head + struct.pack("<Q", len(row.features)) + b"".join(struct.pack("<ddq", f["x"], f["y"], f["point3d_id"]) for f in row.features)
-    head = struct.pack("<QdddBBBd", row.point3d_id, *row.xyz, *row.rgb, row.error) + struct.pack("<Q", len(row.track))
-    return head + b"".join(struct.pack("<ii", t["image_id"], t["point2d_idx"]) for t in row.track)
+        return struct.pack("<i7di", row["image_id"], *row["qvec"], *row["tvec"], row["camera_id"]) + row["name"].encode() + b"\0"
+    return struct.pack("<QdddBBBd", row["point3d_id"], *row["xyz"], *row["rgb"], row["error"])
+
+
+def _entries(table: pa.StructArray, kind: np.dtype) -> bytes:
+    out = np.empty(len(table), kind)
+    for name in kind.names:
+        values = table.field(name)
+        if table.null_count or values.null_count:
+            raise ValueError(f"{name} of an entry is unknown")
+        out[name] = values.to_numpy()
+    return struct.pack("<Q", len(table)) + out.tobytes()
+
+
+def _encoded(schema: str, batch: pa.RecordBatch):
+    """The bytes of each record of a batch; entries of its table are arrays and never Python objects."""
+    if schema not in TABLES:
+        yield from (_head(schema, row) for row in batch.to_pylist())
+        return
+    name, kind = TABLES[schema]
+    tables = batch.column(batch.schema.get_field_index(name))
+    if tables.null_count:
+        raise ValueError(f"{name} of a record is unknown")
+    ends, entries = tables.offsets.to_numpy(), tables.values
+    for i, row in enumerate(batch.drop_columns([name]).to_pylist()):
+        yield _head(schema, row) + _entries(entries.slice(ends[i], ends[i + 1] - ends[i]), kind)
 
 
 def write_binary(rows: DataFrame, folder: str, schema: str) -> None:
     """Rows of a schema as binary files, one for each partition; a task that runs again writes its own file anew.
 
-    The count stands before the records, so a partition's records are held as bytes.
+    The count stands before the records, so a partition's records wait in a temporary file of the task.
     """
 
     def run(batches):
-        import pandas as pd
         from pyspark import TaskContext
 
-        body, count = [], 0
-        for batch in batches:
-            body += [_encoded(schema, row) for row in batch.itertuples(index=False)]
-            count += len(batch)
-        system, name = _file_system(f"{folder}/part-{TaskContext.get().partitionId():06d}.bin")
-        system.create_dir(name.rpartition("/")[0], recursive=True)
-        with system.open_output_stream(name) as out:
-            out.write(struct.pack("<Q", count) + b"".join(body))
-        yield pd.DataFrame({"count": [count]})
-
-    rows.select(_names(schema)).mapInPandas(run, "count long").agg(F.sum("count")).collect()
+        count = 0
+        with tempfile.TemporaryFile() as body:
+            for batch in batches:
+                for record in _encoded(schema, batch):
+                    body.write(record)
+                count += batch.num_rows
+            body.seek(0)
+            system, name = _file_system(f"{folder}/part-{TaskContext.get().partitionId():06d}.bin")
+            system.create_dir(name.rpartition("/")[0], recursive=True)
+            with system.open_output_stream(name) as out:
+                out.write(struct.pack("<Q", count))
+                shutil.copyfileobj(body, out, 1 << 20)
+        yield pa.RecordBatch.from_pydict({"count": pa.array([count], pa.int64())})
+
+    rows.select(_names(schema)).mapInArrow(run, "count long").agg(F.sum("count")).collect()
 
 
 def read_intrinsics(spark: SparkSession, path: str) -> DataFrame:

@@ -182,3 +182,27 @@ def test_late_masks_redo_their_image_alone(spark, tmp_path):
         assert sorted(map(tuple, got.select("cam_id", *[c for c in merged_masks(spark.createDataFrame(runs, schema)).columns if c != "cam_id"]).collect())) == want
     # the third arrival of the first order holds images 1 and 2 only
     assert {r.cam_id for r in spark.read.parquet(f"{tmp_path}/a/out/batch=2").collect()} == {1, 2}
+
+
+def test_tables_of_binary_records_are_never_python_objects(spark, tmp_path, monkeypatch):
+    import tracemalloc
+
+    entries = [(i + 0.5, 2.0 * i, i % 7 - 1) for i in range(20_000)]
+    rows = [(k, [1.0, 0.0, 0.0, 0.0], [0.5, 0.25, 2.0], 1, f"view{k}.png", entries[: 20_000 * (k % 3) // 2]) for k in range(9)]
+    folder = f"file://{tmp_path}/images"
+    M.write_binary(spark.createDataFrame(rows, M.IMAGES).coalesce(1), folder, M.IMAGES)
+    monkeypatch.setattr(M, "CHUNK_BYTES", 300_000)  # less than one image: chunks end by bytes
+    back = M.read_images(spark, folder).orderBy("image_id").collect()
+    assert [(r.image_id, r.name, [tuple(f) for f in r.features]) for r in back] == [(r[0], r[4], r[5]) for r in rows]
+    cursor = M._Cursor(next(f"{p}" for p in (tmp_path / "images").iterdir() if p.stat().st_size > 1_000_000), 8)
+    tracemalloc.start()
+    records = [M._image(cursor) for _ in range(9)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(r[-1]) for r in records) == 90_000 and peak < 3 * 24 * 90_000 + (2 << 20)
+
+
+def test_an_unknown_entry_is_not_written(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0], [0.0, 0.0, 0.0], 1, "a", [(1.0, 2.0, None)])], M.IMAGES)
+    with pytest.raises(Exception, match="unknown"):
+        M.write_binary(rows, f"file://{tmp_path}/none", M.IMAGES)
