@@ -123,7 +123,7 @@ def graph_pipeline(residuals: DataFrame, seg_mask: DataFrame, lines: DataFrame,
 
 def voting_pipeline(residuals: DataFrame, seg_mask: DataFrame, tracks: DataFrame, k: int = 10) -> DataFrame:
     near = association.neighbours(association.view_overlap(tracks), k)
-    votes = settled(voting.mask_votes(residuals, seg_mask, near))
+    votes = settled(voting.votes_cast(residuals, seg_mask, near))
     return voting.voting_clusters(residuals, seg_mask, voting.mask_components(voting.mask_edges(votes)))
 
 

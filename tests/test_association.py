@@ -101,3 +101,45 @@ def test_overlap_of_many_tracks_gets_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(joins, "TASK_ROWS", 10)
     got = A.view_overlap(tracks)
     assert got.rdd.getNumPartitions() > 12 and sorted(map(tuple, got.collect())) == want
+
+
+def test_rows_meet_neighbours_with_a_list_and_not_once_for_each(spark, monkeypatch):
+    import random
+
+    from strandloom.operators import joins
+
+    rng = random.Random(4)
+    views, met = range(12), []
+    near = [(a, b) for a in views for b in rng.sample(views, 7) if a != b]
+    res = [(rng.choice((1, 1, 1, 2, 3, 4)), n % 5, rng.choice(views), n) for n in range(160)]
+    masks = [(c, s, s % 9) for _, _, c, s in res]
+    frame = spark.createDataFrame(res, "line3d_id long, proj_pos long, cam_id long, seg_id long")
+    seg_mask = spark.createDataFrame(masks, "cam_id long, seg_id long, mask_id long")
+    last = {}
+    for line, pos, cam, seg in res:
+        last[line, cam] = max(last.get((line, cam), (-1, -1)), (pos, seg))
+    want = sorted((c, s, b, last[line, b][1]) for line, _, c, s in res for a, b in near if a == c and (line, b) in last)
+    seen = {}
+    for line, _, c, s in res:
+        for a, b in near:
+            if a == c and (line, b) in last:
+                seen.setdefault((c, s % 9, b), set()).add(last[line, b][1] % 9)
+    votes = {(c, m, b): (0, None) for c, _, m in masks for a, b in near if a == c} | {k: (len(v), min(v)) for k, v in seen.items()}
+
+    def counting(many, few, *args, own=joins.dealt):
+        met.append(many.count())
+        return own(many, few, *args)
+
+    monkeypatch.setattr(A, "dealt", counting)
+    ranked = spark.createDataFrame([(a, 2, b) for a, b in near], "cam_id long, rank int, neighbour_id long")
+    for hot in (1_000, 10):
+        monkeypatch.setattr(joins, "HOT_ROWS", hot)
+        monkeypatch.setattr(joins, "TASK_ROWS", 10 * hot)
+        got = A.correspondence(frame, spark.createDataFrame(near, "src_cam long, tgt_cam long")).collect()
+        assert sorted(map(tuple, got)) == want
+        assert {tuple(r)[:3]: tuple(r)[3:] for r in O.mask_votes(frame, seg_mask, ranked).collect()} == votes
+        cast = O.votes_cast(frame, seg_mask, ranked)
+        assert {tuple(r)[:3]: tuple(r)[3:] for r in cast.collect()} == {k: v for k, v in votes.items() if v[0]}
+        every = O.mask_votes(frame, seg_mask, ranked)
+        assert sorted(O.mask_edges(cast).collect()) == sorted(O.mask_edges(every).collect())
+    assert met and max(met) <= len(res)
