@@ -230,3 +230,35 @@ def test_shuffles_of_many_rows_get_more_tasks(spark, monkeypatch):
     lm = spark.createDataFrame([(0, n, 0) for n in range(20)], "cam_id long, line3d_id long, mask_id long")
     pairs = C.cooccurrence(lm)
     assert pairs.rdd.getNumPartitions() == 19 and pairs.count() == 190
+
+
+def test_line_masks_and_pairs_get_tasks_by_their_rows_and_are_made_once(spark, monkeypatch):
+    from strandloom.operators import association as A
+    from strandloom.operators import graph as C
+    from strandloom.operators import joins
+    from strandloom.plans import registry
+
+    rng = random.Random(11)
+    res = [(rng.randrange(8), n, rng.randrange(5), n) for n in range(120)]
+    frame = spark.createDataFrame(res, "line3d_id long, proj_pos long, cam_id long, seg_id long")
+    masks = spark.createDataFrame([(c, s, s % 2) for _, _, c, s in res], "cam_id long, seg_id long, mask_id long")
+    plain = {tuple(r) for r in A.direct_line_mask(frame, masks).collect()}
+    edges = {tuple(r) for r in C.cooccurrence(A.direct_line_mask(frame, masks)).collect()}
+    made = []
+
+    def counting(*args, own=C._shared_masks):
+        made.append(args)
+        return own(*args)
+
+    monkeypatch.setattr(C, "_shared_masks", counting)
+    monkeypatch.setattr(joins, "TASK_ROWS", 10)
+    direct = A.direct_line_mask(frame, masks)
+    assert direct.rdd.getNumPartitions() == 12 and {tuple(r) for r in direct.collect()} == plain
+    assert {tuple(r) for r in C.cooccurrence(direct).collect()} == edges
+    clusters, kept = C.strict_graph(direct, 2)
+    assert {tuple(r) for r in kept.collect()} == {e for e in edges if e[2] >= 2}
+    assert {tuple(r) for r in clusters.collect()} == {tuple(r) for r in C.strict_clusters(direct, 2).collect()}
+    monkeypatch.setattr(joins, "TASK_ROWS", 1_000_000)
+    made.clear()
+    registry.QUERIES["partition_modularity"](spark, "/root/testdata/sf0.001").collect()
+    assert len(made) == 1
