@@ -21,15 +21,18 @@ def _nodes(line_mask: DataFrame) -> DataFrame:
 
 
 def whispers(line_mask: DataFrame, required_views: int = 3) -> DataFrame:
-    return graph.label_propagation(_nodes(line_mask), graph.cooccurrence(line_mask, required_views))
+    kept = graph.kept_masks(line_mask)
+    return graph.label_propagation(_nodes(kept), graph.kept_cooccurrence(kept, required_views))
 
 
 def leiden(line_mask: DataFrame, required_views: int = 3) -> DataFrame:
-    return graph.leiden(_nodes(line_mask), graph.cooccurrence(line_mask, required_views))
+    kept = graph.kept_masks(line_mask)
+    return graph.leiden(_nodes(kept), graph.kept_cooccurrence(kept, required_views))
 
 
 def leiden_normalised(line_mask: DataFrame, required_views: int = 3) -> DataFrame:
-    return graph.leiden(_nodes(line_mask), graph.normalised(graph.cooccurrence(line_mask, required_views), line_mask))
+    kept = graph.kept_masks(line_mask)
+    return graph.leiden(_nodes(kept), graph.normalised(graph.kept_cooccurrence(kept, required_views), kept))
 
 
 def similarity_density(line_mask: DataFrame, required_views: int = 3, min_cluster_size: int = 5) -> DataFrame:
@@ -37,7 +40,8 @@ def similarity_density(line_mask: DataFrame, required_views: int = 3, min_cluste
 
     Lines that share too few views are all as far apart as a weight of zero says.
     """
-    edges, nodes = settled(graph.cooccurrence(line_mask, required_views)), settled(_nodes(line_mask))
+    kept = graph.kept_masks(line_mask)
+    edges, nodes = settled(graph.kept_cooccurrence(kept, required_views)), settled(_nodes(kept))
     far = (edges.agg(F.max("weight")).first()[0] or 0) + 1e-6
     labels = density.density_clusters(settled(density.similarity_distance(edges)), min_cluster_size, 1, nodes, far)
     return density.clusters_of(labels, nodes, keep_noise=True)
@@ -45,15 +49,16 @@ def similarity_density(line_mask: DataFrame, required_views: int = 3, min_cluste
 
 def walks_density(line_mask: DataFrame, required_views: int = 3, walks: int = 200, length: int = 30, dim: int = 64, seed: int = 1) -> DataFrame:
     """Random walks, word vectors of them, and density clusters of the vectors; noise stays alone."""
-    edges = settled(graph.cooccurrence(line_mask, required_views))
+    kept = graph.kept_masks(line_mask)
+    edges = settled(graph.kept_cooccurrence(kept, required_views))
     linked = settled(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
     if not linked.limit(1).count():
-        return _nodes(line_mask).select(F.col("id").alias("cluster_id"), F.col("id").alias("member_id"))
+        return _nodes(kept).select(F.col("id").alias("cluster_id"), F.col("id").alias("member_id"))
     text = settled(graph.random_walks(linked, edges, walks, length, seed).select(F.transform("path", lambda x: x.cast("string")).alias("path")))
     model = Word2Vec(vectorSize=dim, windowSize=10, minCount=1, seed=seed, numPartitions=8, inputCol="path", outputCol="v").fit(text)
     vectors = settled(model.getVectors().select(F.col("word").cast("long").alias("id"), vector_to_array("vector").alias("v")))
     labels = density.density_clusters(settled(density.embedded_neighbours(vectors)), 5, 3, vectors.select("id"))
-    return density.clusters_of(labels, _nodes(line_mask), keep_noise=True)
+    return density.clusters_of(labels, _nodes(kept), keep_noise=True)
 
 
 def drawn(clusters: DataFrame, lines: DataFrame) -> DataFrame:
