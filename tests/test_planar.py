@@ -120,3 +120,66 @@ def test_a_far_outlier_brings_no_more_lines_together_in_cells(spark, monkeypatch
         D.planar_forest(df, D.core_of_lines(df, 3, 0.5, 4e4, 1.0), 0.5, 4e4, 1.0).collect()
         totals.append(sum(counted))
     assert 0 < totals[1] <= 2 * totals[0]
+
+
+def _embedded(spark, tmp_path, n=120, seed=12):
+    """A folder whose embeddings are n lines."""
+    rng = random.Random(seed)
+    path = str(tmp_path / "scene")
+    spark.createDataFrame([(i, [rng.gauss(0, 0.1) for _ in range(20)], i % 3) for i in range(n)], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    return path
+
+
+def test_queries_over_near_lines_keep_no_row_for_a_pair(spark, tmp_path, monkeypatch):
+    from strandloom.operators import joins
+    from strandloom.plans import registry
+    from strandloom.plans.analogs import Scene
+
+    path, kept = _embedded(spark, tmp_path), []
+    lines = D.ground_projection(Scene(spark, path).lines3d)
+    pairs = D.lines_within(lines, registry.REACH).localCheckpoint()
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    want = {
+        "core_distance": rows(registry.rounded(D.core_distance(pairs, 3), "core")),
+        "eps_components": rows(D.components_within(pairs, registry.REACH / 4)),
+        "mutual_reachability": rows(registry.rounded(D.mutual_reachability(pairs, 3), "distance")),
+        "pair_distance": rows(registry.rounded(pairs, "distance")),
+    }
+
+    def counting(df, *name, own):
+        out = own(df, *name)
+        kept.append(out.count())
+        return out
+
+    for module, name in ((D, "settled"), (D, "stored"), (registry, "settled")):
+        if hasattr(module, name):
+            monkeypatch.setattr(module, name, lambda df, *n, own=getattr(module, name): counting(df, *n, own=own))
+    for few in (1_000, 10):
+        monkeypatch.setattr(joins, "HOT_ROWS", few)
+        for name, rows_ in want.items():
+            kept.clear()
+            assert rows(registry.QUERIES[name](spark, path)) == rows_ and rows_
+            assert max(kept, default=0) < len(want["pair_distance"]) / 2
+
+
+def test_lines_that_cross_far_from_their_ends_do_not_meet(spark, monkeypatch):
+    rng = random.Random(14)
+    lines, counted = [(i, rng.uniform(0, 2), rng.uniform(0, 20), rng.uniform(18, 20), rng.uniform(0, 20)) for i in range(150)], []
+
+    def counting(*args, own=D._sides):
+        sides = own(*args)
+        counted.append(sum(a.join(b, ["grid", "cx", "cy"]).count() for a, b in sides))
+        return sides
+
+    monkeypatch.setattr(D, "_sides", counting)
+    D.core_of_lines(spark.createDataFrame(lines, SCHEMA), 3, 0.1, 60.0, 0.25).collect()
+    assert 0 < counted[0] < 150 * 150 / 2
+
+
+def test_rounds_of_the_planar_tree_do_not_multiply_estimates(spark):
+    lines = [(i, float(2**i), 0.0, float(2**i), 0.0) for i in range(24)]
+    df = spark.createDataFrame(lines, SCHEMA)
+    core = df.selectExpr("line3d_id AS id", "0.5D AS core")
+    tree = D.planar_forest(df, core, 1.0, 2.0**26, 1.0)
+    assert tree.count() == 23
+    assert len(str(tree._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 30
