@@ -262,3 +262,71 @@ def test_line_masks_and_pairs_get_tasks_by_their_rows_and_are_made_once(spark, m
     made.clear()
     registry.QUERIES["partition_modularity"](spark, "/root/testdata/sf0.001").collect()
     assert len(made) == 1
+
+
+def test_many_pairs_go_in_packs(spark, monkeypatch):
+    """Packed or joined, of any size of tasks, pairs and their common views are the same; packs hold far less than rows."""
+    from strandloom.operators import joins, packed_pairs
+
+    rng = random.Random(21)
+    rows = [(c - 5, n * 97 - 700, rng.randrange(3) + c) for c in range(14) for n in range(30) if rng.random() < 0.7]
+    rows += [(40, n * 97 - 700, None) for n in range(0, 30, 2)] + [(None, 5, 1), (None, 6, 1), (41, None, 1), (41, 7, 1)]
+    lm = spark.createDataFrame(rows, "cam_id long, line3d_id long, mask_id int")
+    seen, masks = {}, {}
+    for c, n, m in rows:
+        if c is not None and n is not None:
+            seen.setdefault(n, set()).add(c)
+            if m is not None:
+                masks.setdefault(n, set()).add((c, m))
+    want = sorted((a, b, len(masks[a] & masks[b]), len(seen[a] & seen[b])) for a in masks for b in masks if a < b and masks[a] & masks[b])
+    assert sorted(map(tuple, C.covisible_pairs(lm).collect())) == want
+    monkeypatch.setattr(joins, "TASK_ROWS", 100)
+    made = []
+    monkeypatch.setattr(packed_pairs, "summed", lambda packs, n, own=packed_pairs.summed: own(made.append(packs) or packs, n))
+    for sizes in ({}, {"MASK_LINES": 7, "PAIRS": 25, "BYTES": 50}):
+        for name, value in sizes.items():
+            monkeypatch.setattr(packed_pairs, name, value)
+        got = C.covisible_pairs(lm)
+        assert sorted(map(tuple, got.collect())) == want and got.dtypes == [("src", "bigint"), ("dst", "bigint"), ("weight", "bigint"), ("common", "bigint")]
+    assert sum(len(r.pack) for r in made[0].collect()) < 8 * sum(w[2] for w in want)
+
+
+def test_numbers_come_back_from_their_bytes():
+    import numpy as np
+    import pyarrow as pa
+    from strandloom.operators import packed_pairs as K
+
+    lists = [[-(2**62), -5, 0, 127, 128, 2**61], [3], [2**40, 2**40 + 1], list(range(-300, 300, 7))]
+    batch = pa.record_batch({"line3d_id": pa.array(range(4), pa.int64()), "views": pa.array(lists, pa.list_(pa.int64()))})
+    (packed,) = K.packed_lists([batch])
+    views, counts = K._unpacked(packed.column("views"))
+    assert counts.tolist() == [len(x) for x in lists] and views.tolist() == [v for x in lists for v in x]
+    assert K._numbers(np.zeros(0, np.uint8))[0].tolist() == []
+
+
+def test_packs_do_not_depend_on_the_sizes_of_batches_and_blocks(monkeypatch):
+    import pyarrow as pa
+    from strandloom.operators import packed_pairs as K
+
+    rng, rows = random.Random(23), []
+    seen = {n: sorted(rng.sample(range(12), rng.randrange(4, 12))) for n in range(-20, 20)}
+    for n, views in seen.items():
+        rows += [(c, (n * c) % 3, n) for c in views]
+    rows.sort(key=lambda r: r[:2])
+    masks = {n: {(c, m) for c, m, k in rows if k == n} for n in seen}
+    want = sorted((a, b, len(masks[a] & masks[b]), len(set(seen[a]) & set(seen[b]))) for a in seen for b in seen if a < b and masks[a] & masks[b])
+
+    def got(size):
+        lists = [pa.record_batch({"line3d_id": pa.array([r[2] for r in rows]), "views": pa.array([seen[r[2]] for r in rows], pa.list_(pa.int64()))})]
+        views = next(K.packed_lists(lists)).column("views")
+        whole = pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows]) for i in range(3)), views], ["cam_id", "mask_id", "line3d_id", "views"])
+        packs = [p for b in K.pairs_of_masks(5)(whole.slice(i, size) for i in range(0, len(rows), size)) for p in b.to_pylist()]
+        packs.sort(key=lambda p: p["bucket"])
+        sums = K.summed_pairs([pa.RecordBatch.from_pylist([p]) for p in packs])
+        return sorted(tuple(r.values()) for b in sums for r in b.to_pylist())
+
+    assert got(1_000) == want
+    for pairs, size in ((40, 7), (3, 1)):
+        monkeypatch.setattr(K, "PAIRS", pairs)
+        monkeypatch.setattr(K, "BYTES", 300)
+        assert got(size) == want
